@@ -1,15 +1,70 @@
-"""Corpus pipeline: language ID, n-gram Jaccard join, secret scans, mixing, best-fit packing."""
+"""Corpus pipeline: language ID, n-gram Jaccard join, secret scans, mixing to target weights, best-fit packing.
+
+Each stage works on all rows that its predecessor kept and returns the columns of documents, the last one pieces with
+their places. Stages are written as Parquet to the shared checkpoint folder and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import jaccard_join, language_id, mixing, packing, secrets
+from quire.llm.common import stored
+
+#: Documents whose best language has a lower mean probability are rejected; four languages' chance level is 0.25.
+LEAST_SCORE = 0.3
+REDACTED = "[REDACTED]"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: no letter in them, or no language that stands out."""
+    net = language_id.learned(docs)
+    kept = language_id.predicted(docs, net).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*docs.columns)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of linked documents, once; rows without doc_id stay."""
+    groups = stored(jaccard_join.grouped(docs))
+    gone = groups.where("component_id <> doc_id").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    repeated = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return repeated.unionByName(kept.where("doc_id IS NULL"))
+
+
+def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret found in the texts; no document goes."""
+    clean = secrets.scanned(docs, redact=REDACTED)
+    return clean.withColumn("n_chars", F.when(F.col("spans") != "", F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and leaves out documents so that sources' words come near their targets."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("jaccard_join", join_near_duplicates),
+    ("secret_scans", scan_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+#: Learned and hash-based stages; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, packing, secrets, url_filter
+from quire.llm import embedding_dedup, jaccard_join, language_id, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_language_id": language_id.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_quality_rules": quality.op9_quality_rules,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 SQL = {"op2_mix_sources": mixing.SQL, "op3_url_filter": url_filter.SQL}
