@@ -1 +1 @@
-"""."""
+"""Column functions: text, links, review diffs, geometry, images."""

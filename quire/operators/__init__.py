@@ -1 +1 @@
-"""."""
+"""Operators, DataFrames to DataFrame."""

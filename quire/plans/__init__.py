@@ -1 +1 @@
-"""."""
+"""Registered queries and the SQL they are checked against."""
