@@ -5,8 +5,9 @@
 2. Equal sets join to one class, so a class of copies is one set from here on.
 3. The global n-gram order runs from rare to frequent. By the prefix filter, linked sets share one of their first
    n - ceil(3n/4) + 1 n-grams. In every list of sets with such an n-gram (and similar sizes) all are paired with
-   the list's head, a number of pairs in proportion to the lists. Only sets of a list that are then still in different
-   components are paired with each other; no candidate is capped.
+   one set of it, a number of pairs in proportion to the lists; in further turns with another one, if they aren't in its
+   component yet. Sets of a list that are then still in different components are all paired with each other, each pair
+   at its first common n-gram, so none is lost; no candidate is capped.
 4. Vertical partitioning: the global order is cut into fragments at pivots (quantiles), each set is cut into a segment
    per fragment, pairs' overlaps are counted fragment by fragment and summed per pair; the sum decides exactly.
 
@@ -32,6 +33,8 @@ WORDS = 5
 #: The similarity, as parts of the union: 3 of 4.
 PART, OF = 3, 4
 FRAGMENTS = 4
+#: Turns in which lists are joined to one of their sets before what is left apart is paired in full.
+STAR_ROUNDS = 2
 
 
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,15 +82,21 @@ def ordered(sets: DataFrame) -> DataFrame:
     each = sets.select("cid", "n", F.explode("toks").alias("tok"))
     common = each.groupBy("tok").agg(F.count("*").cast("int").alias("f")).where("f > 1")
     lists = each.join(common, "tok").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("toks"))
-    return lists.where(OF * F.size("toks") >= PART * F.col("n"))
+    # high where a set's n-grams are widely shared and few are its own: the text that a group's copies come from
+    centre = F.aggregate("toks", F.lit(0.0), lambda total, t: total + F.log(t["f"].cast("double"))) / F.col("n")
+    return lists.where(OF * F.size("toks") >= PART * F.col("n")).withColumn("centre", centre)
+
+
+def prefix_length() -> F.Column:
+    """How many of a set's ordered n-grams are in its prefix (n-grams of one set only come first and aren't listed)."""
+    return F.size("toks") - F.ceil(PART * F.col("n") / OF).cast("int") + 1
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """(tok, size_class, cid, n, pos) for each n-gram of each set's prefix; linked sets' size classes differ by at most 1."""
-    prefix = F.size("toks") - F.ceil(PART * F.col("n") / OF).cast("int") + 1
+    """(tok, size_class, cid, n, centre, pos) for each n-gram of each set's prefix; linked sets' size classes differ by at most 1."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OF / PART)) + 1e-9).cast("int")
-    rows = sets.select("cid", "n", size_class.alias("size_class"), (F.col("n") - F.size("toks")).alias("rare"), F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("at", "t"))
-    return rows.select(F.col("t.tok").alias("tok"), "size_class", "cid", "n", (F.col("rare") + F.col("at")).alias("pos"))
+    rows = sets.select("cid", "n", "centre", size_class.alias("size_class"), (F.col("n") - F.size("toks")).alias("rare"), F.posexplode(F.slice("toks", F.lit(1), prefix_length())).alias("at", "t"))
+    return rows.select(F.col("t.tok").alias("tok"), "size_class", "cid", "n", "centre", (F.col("rare") + F.col("at")).alias("pos"))
 
 
 def may_link(a: str, b: str) -> F.Column:
@@ -97,6 +106,16 @@ def may_link(a: str, b: str) -> F.Column:
     return (OF * F.least(na, nb) >= PART * F.greatest(na, nb)) & ((PART + OF) * left >= PART * (na + nb))
 
 
+def prefixes_allow() -> F.Column:
+    """Whether a and b can link by their prefixes, asked at the first n-gram that these share.
+
+    What they share up to the end of the prefix that ends first is in both; behind it the set of that prefix has
+    ceil(3n/4) - 1 n-grams left."""
+    both = F.array_intersect("a.prefix", "b.prefix")
+    left = F.greatest(*[F.ceil(PART * F.col(f"{x}.n") / OF) - 1 for x in "ab"])
+    return (both[0] == F.col("a.tok")) & ((PART + OF) * (F.size(both) + left) >= PART * (F.col("a.n") + F.col("b.n")))
+
+
 def pairs_of(joined: DataFrame) -> DataFrame:
     low = F.col("a.cid") < F.col("b.cid")
     ends = [F.when(low, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(f"{c}_a") for c in ("cid", "n")]
@@ -128,27 +147,43 @@ def verified(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     return total.where((PART + OF) * F.col("o") >= PART * (F.col("n_a") + F.col("n_b"))).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
 
 
-def links(sets: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+def links(sets: DataFrame, fragments: int = FRAGMENTS, rounds: int = STAR_ROUNDS) -> DataFrame:
     """(node, root) over linked sets: components of the exact link graph of sets (cid, n, toks in global order)."""
     lists, segs = cut(postings(sets)), segments(sets, fragments)
-    heads = lists.groupBy("tok", "size_class").agg(F.min(F.struct("cid", "n", "pos")).alias("h")).select("tok", "size_class", "h.*")
     near = F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class")
-    joined = lists.select("tok", near, "cid", "n", "pos").alias("a").join(heads.alias("b"), (F.col("a.tok") == F.col("b.tok")) & (F.col("a.size_class") == F.col("b.size_class")) & (F.col("a.cid") != F.col("b.cid")) & may_link("a", "b"))
-    first = cut(pairs_of(joined))
-    stars = cut(verified(first, segs))
-    roots = components(stars)
-    # what the heads left apart
-    named = lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = named.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    apart = named.join(mixed, "tok", "left_semi")
-    a, b = apart.select("tok", near, "cid", "n", "pos", "root").alias("a"), apart.alias("b")
+    same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.size_class") == F.col("b.size_class"))
+    done = stars = roots = None
+    apart = lists.withColumn("root", F.col("cid"))
+    for turn in range(rounds):
+        # every list's sets are paired with one of them, first its most central, then another one each turn, if they are
+        # not in its component yet
+        pick = F.struct(F.lit(0.0) if turn else -F.col("centre"), F.xxhash64("cid", F.lit(turn)), "cid")
+        heads = apart.groupBy("tok", "size_class").agg(F.min_by(F.struct("cid", "n", "pos", "root"), pick).alias("h")).select("tok", "size_class", "h.*")
+        joined = apart.select("tok", near, "cid", "n", "pos", "root").alias("a").join(heads.alias("b"), same & (F.col("a.root") != F.col("b.root")) & may_link("a", "b"))
+        pairs = pairs_of(joined)
+        if done is not None:
+            pairs = pairs.join(done, ["cid_a", "cid_b"], "left_anti").select("cid_a", "n_a", "cid_b", "n_b")
+        pairs = cut(pairs)
+        found = cut(verified(pairs, segs))
+        done = pairs if done is None else done.unionByName(pairs)
+        if found.isEmpty():
+            break
+        stars = found if stars is None else stars.unionByName(found)
+        roots = components(stars)
+        named = lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        mixed = named.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
+        apart = cut(named.join(mixed, "tok", "left_semi"))
+    # the rest: every pair of sets of one list and different components, at its first common n-gram
+    prefix = sets.select("cid", F.transform(F.slice("toks", F.lit(1), prefix_length()), lambda t: t["tok"]).alias("prefix"))
+    rest = apart.join(prefix, "cid")
+    a, b = rest.select("tok", near, "cid", "n", "pos", "root", "prefix").alias("a"), rest.alias("b")
     smaller = F.struct("a.n", "a.cid") < F.struct("b.n", "b.cid")
-    joined = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.size_class") == F.col("b.size_class")) & (F.col("a.root") != F.col("b.root")) & smaller & may_link("a", "b"))
-    rest = pairs_of(joined).join(first, ["cid_a", "cid_b"], "left_anti").select("cid_a", "n_a", "cid_b", "n_b")
-    more = cut(verified(rest, segs))
-    if more.isEmpty():
-        return roots
-    return components(stars.unionByName(more))
+    joined = a.join(b, same & (F.col("a.root") != F.col("b.root")) & smaller & may_link("a", "b") & prefixes_allow())
+    more = pairs_of(joined).join(done, ["cid_a", "cid_b"], "left_anti").select("cid_a", "n_a", "cid_b", "n_b")
+    more = cut(verified(more, segs))
+    if not more.isEmpty():
+        return components(more if stars is None else stars.unionByName(more))
+    return roots if roots is not None else components(more)
 
 
 def grouped(docs: DataFrame, n: int = WORDS, sketch_bits: int = 28) -> DataFrame:
