@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -268,7 +269,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
     usable = cut(nodes_of(table))
     nodes = cut(usable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
     edges, recall = None, 1.0
-    for (width,) in nodes.select(F.length("v")).distinct().orderBy(F.length("v")).collect():  # one pass for each dimension
+    widths = sorted(r[0] for r in nodes.select(F.length("v")).distinct().collect())
+    for width in widths:  # one pass for each dimension
         own = nodes.where(F.length("v") == width).select("id", "v")
         total = own.count()
         if total > 1:
@@ -279,7 +281,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
         out = named.select("id", (F.col("m") - 1).alias("n"), F.col("rep").alias("root"))
     else:
         roots = components(edges)
-        counts = counted(roots.withColumnRenamed("node", "id").join(nodes, "id").select("root", "id", "m", "v"), threshold)
+        members = roots.withColumnRenamed("node", "id").join(nodes, "id").select("root", "id", "m", "v")
+        counts = reduce(DataFrame.unionByName, [counted(members.where(F.length("v") == w), threshold) for w in widths])
         per = roots.withColumnRenamed("node", "rep").join(counts.withColumnRenamed("id", "rep"), "rep")
         out = named.join(per, "rep", "left").select("id", (F.coalesce("n", "m") - 1).alias("n"), F.coalesce("root", "rep").alias("root"))
     out = out.groupBy("id").agg(F.max("n").alias("n"), F.min("root").alias("root"))
