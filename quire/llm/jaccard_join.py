@@ -6,8 +6,8 @@
 3. The global n-gram order runs from rare to frequent. By the prefix filter, linked sets share one of their first
    n - ceil(3n/4) + 1 n-grams. In every list of sets with such an n-gram (and similar sizes) all are paired with
    one set of it, a number of pairs in proportion to the lists; in further turns with another one, if they aren't in its
-   component yet. Sets of a list that are then still in different components are all paired with each other, each pair
-   at its first common n-gram, so none is lost; no candidate is capped.
+   component yet. Sets of a list that are then still in different components are all paired with each other, but for pairs
+   whose prefixes (as bitmaps) can't hold enough common n-grams, so none is lost; no candidate is capped.
 4. Vertical partitioning: the global order is cut into fragments at pivots (quantiles), each set is cut into a segment
    per fragment, pairs' overlaps are counted fragment by fragment and summed per pair; the sum decides exactly.
 
@@ -34,7 +34,9 @@ WORDS = 5
 PART, OF = 3, 4
 FRAGMENTS = 4
 #: Turns in which lists are joined to one of their sets before what is left apart is paired in full.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Words of 64 bits in the bitmap of a prefix.
+BITMAP = 8
 
 
 def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +108,24 @@ def may_link(a: str, b: str) -> F.Column:
     return (OF * F.least(na, nb) >= PART * F.greatest(na, nb)) & ((PART + OF) * left >= PART * (na + nb))
 
 
+def prefix_bits() -> list[F.Column]:
+    """A set's prefix as a bitmap of BITMAP words of 64 bits: a bit for each n-gram, set by its hash."""
+    words = []
+    for k in range(BITMAP):
+        one = f"aggregate(filter(prefix, t -> pmod(t, {BITMAP}) = {k}), 0L, (s, t) -> s | shiftleft(1L, CAST(pmod(shiftright(t, {BITMAP.bit_length() - 1}), 64) AS INT)))"
+        words.append(F.expr(one).alias(f"w{k}"))
+    return words
+
+
 def prefixes_allow() -> F.Column:
-    """Whether a and b can link by their prefixes, asked at the first n-gram that these share.
+    """Whether a and b can link by their prefixes.
 
-    What they share up to the end of the prefix that ends first is in both; behind it the set of that prefix has
-    ceil(3n/4) - 1 n-grams left."""
-    both = F.array_intersect("a.prefix", "b.prefix")
+    What they share up to the end of the prefix that ends first is in both prefixes; behind it the set of that prefix has
+    ceil(3n/4) - 1 n-grams left. Each bit that only one bitmap has is an n-gram at least that isn't shared."""
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}.w{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{k}")))) for k in range(BITMAP)), F.lit(0))
+    both = F.least(F.col("a.size") - only("a", "b"), F.col("b.size") - only("b", "a"))
     left = F.greatest(*[F.ceil(PART * F.col(f"{x}.n") / OF) - 1 for x in "ab"])
-    return (both[0] == F.col("a.tok")) & ((PART + OF) * (F.size(both) + left) >= PART * (F.col("a.n") + F.col("b.n")))
+    return (PART + OF) * (both + left) >= PART * (F.col("a.n") + F.col("b.n"))
 
 
 def pairs_of(joined: DataFrame) -> DataFrame:
@@ -149,13 +161,13 @@ def verified(pairs: DataFrame, segs: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, fragments: int = FRAGMENTS, rounds: int = STAR_ROUNDS) -> DataFrame:
     """(node, root) over linked sets: components of the exact link graph of sets (cid, n, toks in global order)."""
-    lists, segs = cut(postings(sets)), segments(sets, fragments)
+    lists, segs = postings(sets), segments(sets, fragments)
     near = F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class")
     same = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.size_class") == F.col("b.size_class"))
     done = stars = roots = None
     apart = lists.withColumn("root", F.col("cid"))
     for turn in range(rounds):
-        # every list's sets are paired with one of them, first its most central, then another one each turn, if they are
+        # every list's sets are paired with one of them, first its most central, then (if there are more turns) another, if they are
         # not in its component yet
         pick = F.struct(F.lit(0.0) if turn else -F.col("centre"), F.xxhash64("cid", F.lit(turn)), "cid")
         heads = apart.groupBy("tok", "size_class").agg(F.min_by(F.struct("cid", "n", "pos", "root"), pick).alias("h")).select("tok", "size_class", "h.*")
@@ -170,13 +182,14 @@ def links(sets: DataFrame, fragments: int = FRAGMENTS, rounds: int = STAR_ROUNDS
             break
         stars = found if stars is None else stars.unionByName(found)
         roots = components(stars)
-        named = lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        named = lists.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).repartition("tok")
         mixed = named.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-        apart = cut(named.join(mixed, "tok", "left_semi"))
-    # the rest: every pair of sets of one list and different components, at its first common n-gram
+        apart = stored(named.join(mixed, "tok", "left_semi"))
+    # the rest: every pair of sets of one list and different components whose prefixes allow a link
     prefix = sets.select("cid", F.transform(F.slice("toks", F.lit(1), prefix_length()), lambda t: t["tok"]).alias("prefix"))
-    rest = apart.join(prefix, "cid")
-    a, b = rest.select("tok", near, "cid", "n", "pos", "root", "prefix").alias("a"), rest.alias("b")
+    bits = prefix.select("cid", F.size("prefix").alias("size"), *prefix_bits())
+    rest = apart.drop("centre").join(bits, "cid")
+    a, b = rest.withColumn("size_class", near).alias("a"), rest.alias("b")
     smaller = F.struct("a.n", "a.cid") < F.struct("b.n", "b.cid")
     joined = a.join(b, same & (F.col("a.root") != F.col("b.root")) & smaller & may_link("a", "b") & prefixes_allow())
     more = pairs_of(joined).join(done, ["cid_a", "cid_b"], "left_anti").select("cid_a", "n_a", "cid_b", "n_b")

@@ -158,7 +158,8 @@ def test_jaccard_join(docs, rows, bits):
 @pytest.mark.parametrize("rounds", [1, 2])
 def test_jaccard_join_of_a_dense_group(spark, rounds, monkeypatch):
     """Many variants of one text, some further apart from the first than from each other."""
-    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
+    turns = jaccard_join.links
+    monkeypatch.setattr(jaccard_join, "links", lambda sets: turns(sets, rounds=rounds))
     rng, base = random.Random(8), [f"b{i}" for i in range(80)]
     rows = []
     for i in range(150):
