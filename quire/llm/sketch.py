@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from quire.llm.common import U64, Block, blocks
 
 BLOCK_BITS = 16
-FLUSH_ITEMS = 2_000_000
+FLUSH_ITEMS = 1_000_000
 
 
 def encoded(cells: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -50,9 +50,6 @@ class Repeats:
     def __init__(self, bits: int, rows: int, shared) -> None:
         self.bits, self.rows, self.shared = bits, rows, shared
 
-    def __contains__(self, h) -> bool:
-        return bool(self.of(np.array([h], dtype=U64))[0])
-
     def of(self, h: np.ndarray) -> np.ndarray:
         """Whether each item hash is estimated to occur twice or more."""
         packed = np.frombuffer(self.shared.value, dtype=np.uint8)
@@ -119,8 +116,7 @@ def repeats(docs: DataFrame, items: Callable[[Block], np.ndarray], lower: bool =
 
     seen = docs.select("text").mapInArrow(sketch, "block int, level byte, cells binary")
     merged = seen.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    packed = np.zeros(rows << bits >> 3, dtype=np.uint8)
-    width = 1 << BLOCK_BITS >> 3
-    for block, data in merged.collect():
-        packed[block * width : (block + 1) * width] = np.frombuffer(data, dtype=np.uint8)
-    return Repeats(bits, rows, docs.sparkSession.sparkContext.broadcast(packed.tobytes()))
+    packed, width = bytearray(rows << bits >> 3), 1 << BLOCK_BITS >> 3
+    for block, data in merged.toLocalIterator():
+        packed[block * width : (block + 1) * width] = data
+    return Repeats(bits, rows, docs.sparkSession.sparkContext.broadcast(packed))

@@ -29,7 +29,7 @@ from quire.llm.sketch import Repeats, repeats
 WINDOW = 20
 GRAM = 8
 #: Candidate windows that a task holds at a time.
-CHUNK_WINDOWS = 1_500_000
+CHUNK_WINDOWS = 700_000
 NO_ID = -(1 << 63)
 
 
@@ -60,6 +60,15 @@ def anchor_items(n: int, gram: int):
     return items
 
 
+#: Set in a place: a run of windows known to be repeated, whose last start stands for the second fingerprint.
+DIRECT = 1 << 31
+
+
+def placed(text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A text's hash and a place in it in one number, in the order of both."""
+    return text.astype(np.int64) << 32 | start
+
+
 class Chunk:
     """Candidate windows held by a task until they are deduplicated among themselves."""
 
@@ -81,8 +90,8 @@ class Chunk:
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[head]) | (text != text[head]) | (start != start[head])
-        names = ["h1", "h2", "id", "th", "start", "last", "direct"]
-        yield record(names, [signed(h1[new]), signed(h2[new]), doc[new], text[new], start[new], start[new], np.zeros(int(new.sum()), bool)])
+        names = ["h1", "h2", "id", "place"]
+        yield record(names, [signed(h1[new]), signed(h2[new]), doc[new], placed(text[new], start[new])])
         if later.any():
             doc, text, start = doc[later], text[later], start[later]
             by = np.lexsort((start, text, doc))
@@ -92,11 +101,11 @@ class Chunk:
             begin = np.flatnonzero(new)
             end = np.append(begin[1:], len(doc)) - 1
             own = mix(doc[begin].view(U64) ^ mix(start[begin].astype(U64)))
-            yield record(names, [signed(own), signed(mix(own)), doc[begin], text[begin], start[begin], start[end], np.ones(len(begin), bool)])
+            yield record(names, [signed(own), start[end].astype(np.int64), doc[begin], placed(text[begin], start[begin]) | DIRECT])
 
 
 def repeated_windows(keyed: DataFrame, n: int, gram: int, found: Repeats) -> DataFrame:
-    """(id, th, start, last): runs of windows of keyed (id, th, text) whose words also start earlier."""
+    """(id, th, run): runs of windows of keyed (id, th, text) whose words also start earlier; a run is last << 32 | start."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
@@ -118,9 +127,14 @@ def repeated_windows(keyed: DataFrame, n: int, gram: int, found: Repeats) -> Dat
         if chunk.size:
             yield from chunk.drain(n)
 
-    rows = keyed.mapInArrow(candidates, "h1 long, h2 long, id long, th int, start int, last int, direct boolean")
-    nth = F.rank().over(W.partitionBy("h1", "h2", "direct").orderBy("id", "th", "start"))
-    return rows.withColumn("nth", nth).where("direct or nth > 1").select("id", "th", "start", "last")
+    rows = keyed.mapInArrow(candidates, "h1 long, h2 long, id long, place long")
+    # a run and a window never share a group: only a run's place has the mark
+    direct = F.col("place").bitwiseAND(F.lit(DIRECT)) != 0
+    nth = F.rank().over(W.partitionBy("h1", "h2", direct).orderBy("id", "place"))
+    start = F.col("place").bitwiseAND(F.lit(DIRECT - 1))
+    last = F.when(direct, F.col("h2")).otherwise(start)
+    found = rows.withColumn("nth", nth).where(direct | (F.col("nth") > 1))
+    return found.select("id", F.shiftright("place", 32).cast("int").alias("th"), F.shiftleft(last, 32).bitwiseOR(start).alias("run"))
 
 
 def keys(docs: DataFrame) -> DataFrame:
@@ -135,19 +149,20 @@ def removed(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
     new = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()), ("removed", T.StringType())]
     kept = [f for f in docs.schema.fields if f.name not in dict(new)]
     own = docs.select(*[F.col(f"`{f.name}`").alias(f"_d{i}") for i, f in enumerate(kept)], F.col("text").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.hash("text").alias("_th"))
-    per = runs.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "last")).alias("_runs"))
+    per = runs.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list("run").alias("_runs"))
     names = [f"_d{i}" for i, f in enumerate(kept) if f.name != "text"]
-    joined = own.join(per, ["_id", "_th"], "left").select(*names, "text", F.col("_runs.start").alias("_start"), F.col("_runs.last").alias("_last"))
+    joined = own.join(per, ["_id", "_th"], "left").select(*names, "text", "_runs")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept] + [T.StructField(a, t) for a, t in new])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in blocks(batches):
             flags = np.zeros(int(block.first[-1]) + 1, dtype=np.int32)
-            start, last = part.column("_start"), part.column("_last")
-            at = np.repeat(block.first[:-1], np.diff(_offsets(start)))
+            runs = part.column("_runs")
+            at = np.repeat(block.first[:-1], np.diff(_offsets(runs)))
             if len(at):
-                np.add.at(flags, at + start.flatten().to_numpy(), 1)
-                np.add.at(flags, at + last.flatten().to_numpy() + n, -1)
+                run = runs.flatten().to_numpy()
+                np.add.at(flags, at + (run & 0xFFFFFFFF), 1)
+                np.add.at(flags, at + (run >> 32) + n, -1)
             keep = np.cumsum(flags)[:-1] == 0
             out = dict(zip([f.name for f in kept if f.name != "text"], (part.column(c) for c in names), strict=True))
             out["text"] = part.column("text")
