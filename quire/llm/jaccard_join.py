@@ -203,6 +203,7 @@ def grouped(docs: DataFrame, n: int = WORDS, sketch_bits: int = 28) -> DataFrame
     """(doc_id, n_shingles, component_id) of every row of docs."""
     found = repeats(docs, lambda block: shingle_sets(block, n)[0], lower=True, bits=sketch_bits, rows=1)
     signs = stored(signatures(docs, n, found))
+    found.release()
     sets = signs.where("toks IS NOT NULL").groupBy("fp1", "fp2").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
     roots = links(stored(ordered(sets.select(F.col("fp1").alias("cid"), "n", "toks"))))
     rows = signs.select("doc_id", "n", "fp1").join(roots.withColumnRenamed("node", "fp1"), "fp1", "left").select("doc_id", "n", F.coalesce("root", "fp1").alias("root"))

@@ -50,6 +50,10 @@ class Repeats:
     def __init__(self, bits: int, rows: int, shared) -> None:
         self.bits, self.rows, self.shared = bits, rows, shared
 
+    def release(self) -> None:
+        """Frees the bits on the driver and the executors, once nothing that uses them is still to be computed."""
+        self.shared.destroy()
+
     def of(self, h: np.ndarray) -> np.ndarray:
         """Whether each item hash is estimated to occur twice or more."""
         packed = np.frombuffer(self.shared.value, dtype=np.uint8)
