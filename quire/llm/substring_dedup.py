@@ -128,6 +128,11 @@ def repeated_windows(keyed: DataFrame, n: int, gram: int, found: Repeats) -> Dat
             yield from chunk.drain(n)
 
     rows = keyed.mapInArrow(candidates, "h1 long, h2 long, id long, place long")
+    return later_windows(rows)
+
+
+def later_windows(rows: DataFrame) -> DataFrame:
+    """(id, th, run) of all but the first of equal windows among rows (h1, h2, id, place) that chunks passed on."""
     # a run and a window never share a group: only a run's place has the mark
     direct = F.col("place").bitwiseAND(F.lit(DIRECT)) != 0
     nth = F.rank().over(W.partitionBy("h1", "h2", direct).orderBy("id", "place"))

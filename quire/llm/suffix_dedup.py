@@ -3,16 +3,18 @@
 Of all suffixes of all documents only those at content-selected places are retained: the leftmost of the smallest
 GRAM-word grams in every REACH+GRAM-word stretch. Any passage of at least `least` words that repeats holds such a place
 within its first REACH words in every copy, and so a retained suffix whose next `head` = least - REACH + 1 words are
-in the passage. Suffixes are sorted by the fingerprint of these words (their order among unequal heads doesn't matter
+in the passage. Suffixes are grouped by the fingerprint of these words (their order among unequal heads doesn't matter
 for equality), and each is compared with the first of its run: smallest document, then earliest place. From equal
 heads the match is extended word by word to the left and to the right, at most REACH - 1 words each way, further words being
 covered from the passage's next retained suffixes. A match of `least` words or more marks its words in the later
-copy as repeated; these are cut out.
+copy as repeated; these are cut out. A head lies in REACH windows of `least` words. Those in which a suffix differs from
+its run's first one may still repeat among the run's other suffixes: in runs of three or more they are grouped by the
+fingerprint of all their words, and all but the first of each group are marked too.
 
-So a word is removed if and only if such an extended match of a retained suffix with the first suffix of its run
-covers it. A count-min sketch of all heads comes first; only suffixes whose head is estimated to occur twice or more
-are sorted at all. The runs' first suffixes are found by an aggregation with map-side combine and joined back by key, a join
-whose hot keys adaptive execution splits, so that no run is ever gathered in one task.
+So a word is removed if and only if a window of `least` words over it also starts earlier. A count-min sketch of all heads
+comes first; only suffixes whose head is estimated to occur twice or more are grouped at all. The runs' first suffixes are
+found by an aggregation with map-side combine and joined back by key, a join whose hot keys adaptive execution splits, so
+that no run is ever gathered in one task; of equal windows a task passes on only the first.
 
 Defined results: as in substring_dedup.py for nulls, repeated ids, long texts, empty tables and other columns.
 """
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Block, blocks, record, sequence_hashes, signed
+from quire.llm.common import U64, Block, blocks, mix, record, sequence_hashes, signed
 from quire.llm.sketch import Repeats, repeats
-from quire.llm.substring_dedup import anchors, keys, removed
+from quire.llm.substring_dedup import CHUNK_WINDOWS, Chunk, anchors, keys, later_windows, removed
 
 LEAST = 50
 REACH = 9
@@ -89,34 +91,76 @@ def suffixes(keyed: DataFrame, found: Repeats, least: int, reach: int, gram: int
     return keyed.mapInArrow(retain, "h1 long, h2 long, id long, th int, place int, context binary")
 
 
+def decoded(column: pa.Array, side: int) -> np.ndarray:
+    """Contexts as numbers, a row for each suffix: its left words outwards, then its right ones, 0 beyond the text."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 2 * side, KEPT)
+    out = np.zeros((len(raw), 2 * side, 8), dtype=np.uint8)
+    out[:, :, :KEPT] = raw
+    return out.view(np.uint64)[:, :, 0]
+
+
+def reached(own: np.ndarray, other: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words to the left and to the right of equal heads."""
+    same = ((own == other) & (own != 0)).astype(np.int32)
+    return np.cumprod(same[:, :side], axis=1).sum(axis=1), np.cumprod(same[:, side:], axis=1).sum(axis=1)
+
+
+def chained(words: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of each row's first 0, 1, 2, ... words."""
+    out = np.full((len(words), words.shape[1] + 1), seed, dtype=U64)
+    for i in range(words.shape[1]):
+        out[:, i + 1] = mix(out[:, i] * U64(0x9E3779B97F4A7C15) + words[:, i])
+    return out
+
+
 def matches(rows: DataFrame, least: int, reach: int) -> DataFrame:
-    """(id, th, run), a run being last << 32 | start: words covered by extended matches of at least `least` words with their runs' first suffixes."""
+    """(id, th, run), a run being last << 32 | start: windows of `least` words around retained suffixes whose words also start earlier."""
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "place", "context")).alias("o"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("h1", "h2", F.col("o.id").alias("o_id"), F.col("o.th").alias("o_th"), F.col("o.place").alias("o_place"), F.col("o.context").alias("o_context"))
+    first = first.select("h1", "h2", "n", F.col("o.id").alias("o_id"), F.col("o.th").alias("o_th"), F.col("o.place").alias("o_place"), F.col("o.context").alias("o_context"))
     later = (F.col("id") != F.col("o_id")) | (F.col("th") != F.col("o_th")) | (F.col("place") != F.col("o_place"))
-    both = rows.join(first, ["h1", "h2"]).where(later).select("id", "th", "place", "context", "o_context")
-    side, head = reach - 1, least - reach + 1
+    both = rows.join(first, ["h1", "h2"]).where(later).select("h1", "h2", "n", "id", "th", "place", "context", "o_context")
+    side = reach - 1
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, 2 * side, KEPT) for c in ("context", "o_context"))
-            same = ((a == b).all(axis=2) & (a != 0).any(axis=2)).astype(np.int32)
-            left, right = np.cumprod(same[:, :side], axis=1).sum(axis=1), np.cumprod(same[:, side:], axis=1).sum(axis=1)
-            long = left + head + right >= least
+            left, right = reached(decoded(batch.column("context"), side), decoded(batch.column("o_context"), side), side)
+            long = left + right >= side
             place = batch.column("place").to_numpy()[long]
-            start, last = (place - left[long]).astype(np.int64), (place + head + right[long] - 1).astype(np.int64)
+            start, last = (place - left[long]).astype(np.int64), (place - side + right[long]).astype(np.int64)
             yield record(["id", "th", "run"], [batch.column("id").to_numpy()[long], batch.column("th").to_numpy()[long], last << 32 | start])
 
-    return both.mapInArrow(extend, "id long, th int, run long")
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows around a head that differ from the run's first suffix, by fingerprints of their words."""
+        chunk = Chunk()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = decoded(batch.column("context"), side)
+            left, right = reached(own, decoded(batch.column("o_context"), side), side)
+            prints = [(chained(own[:, :side], seed), chained(own[:, side:], seed + 1)) for seed in (1, 3)]
+            h1, h2, ids, th, place = (batch.column(c).to_numpy() for c in ("h1", "h2", "id", "th", "place"))
+            for k in range(side + 1):  # k words to the left of the head, side - k behind it
+                whole = (own[:, k - 1] != 0 if k else True) & (own[:, 2 * side - k - 1] != 0 if k < side else True)
+                at = np.flatnonzero(whole & ((k > left) | (side - k > right)))
+                if len(at):
+                    keys = (mix(mix(h[at].view(U64) ^ l[at, k]) ^ r[at, side - k]) + U64(k) for h, (l, r) in zip((h1, h2), prints, strict=True))
+                    chunk.add(*keys, ids[at], th[at], place[at] - np.int32(k))
+            if chunk.size >= CHUNK_WINDOWS:
+                yield from chunk.drain(least)
+        if chunk.size:
+            yield from chunk.drain(least)
+
+    windows = both.where("n > 2").mapInArrow(others, "h1 long, h2 long, id long, place long")
+    return both.mapInArrow(extend, "id long, th int, run long").unionByName(later_windows(windows))
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST, reach: int = REACH, gram: int = GRAM, sketch_bits: int = 27) -> DataFrame:
     """docs with n_words, n_removed, kept_text and removed (word ranges cut out); see the module's text."""
     keyed = keys(docs)
     found = repeats(keyed, suffix_items(least, reach, gram), bits=sketch_bits)
-    return removed(docs, matches(suffixes(keyed, found, least, reach, gram), least, reach), 1)
+    return removed(docs, matches(suffixes(keyed, found, least, reach, gram), least, reach), least)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

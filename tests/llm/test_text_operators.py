@@ -133,6 +133,27 @@ def test_suffix_dedup_planted(spark):
     assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {i: 60 if i % 3 == 0 and i else 0 for i in range(30)}
 
 
+def test_suffix_dedup_behind_an_earlier_near_copy(spark):
+    """Later copies of a passage are found though the first suffix with their head belongs to a document that shares less than 50 words."""
+    rng = random.Random(8)
+    fresh = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
+    texts = []
+    for case in range(60):
+        passage = fresh(50 + case % 3 * 5)
+        shared = 42 + case % 8
+        at = rng.randrange(len(passage) - shared + 1)
+        texts.append(fresh(20) + passage[at : at + shared] + fresh(20))
+        texts += [fresh(rng.randrange(30)) + passage + fresh(rng.randrange(30)) for _ in range(3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), sketch_bits=16).collect()}
+    assert got == {i: 50 + i // 4 % 3 * 5 if i % 4 > 1 else 0 for i, _ in rows}
+
+
+def test_suffix_dedup_by_windows(docs, rows):
+    out = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.deduplicated(docs, sketch_bits=16).collect()}
+    assert out == {i: e[1] for i, e in removed_by_windows(rows, 50).items()}
+
+
 def shingles(text):
     w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
