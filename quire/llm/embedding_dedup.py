@@ -3,7 +3,8 @@
 Equal vectors join to one node with a multiplicity. The neighbour graph starts from vectors that are next to each other
 in sorted orders of random projections and is refined by NN-descent: each node's neighbours, direct and reverse, are
 compared with each other (neighbours of neighbours) and every node keeps its best. A node whose whole list lies over the
-threshold is saturated and gets a list twice as long. A bounded set of audit vectors is compared with all vectors in
+threshold is saturated and gets a list twice as long. Lists drop links only at saturated nodes, so components with a
+saturated node are then compared exactly with all vectors outside them that their mean and radius leave in reach. A bounded set of audit vectors is compared with all vectors in
 blocks; while the graph holds too few of their true links, further projections and rounds follow.
 
 Edges at or over the threshold, verified in double precision, give the components. Links are then counted exactly
@@ -31,7 +32,7 @@ from quire.llm.common import components, cut, record
 
 THRESHOLD = 0.9
 NEIGHBOURS = 8
-#: Longest list of a saturated node; components and their exact counts take care of what longer lists would add.
+#: Longest list of a saturated node; exact counts in components and crossed() between them take care of what longer lists would add.
 NEIGHBOURS_MOST = 64
 PROJECTIONS = 8
 NEXT = 6
@@ -40,6 +41,8 @@ ROUNDS = 3
 AUDIT = 512
 RECALL = 0.98
 BLOCK = 256
+#: Vectors of each side of a tile in the comparison of components with what is outside.
+TILE = 1024
 
 
 def nodes_of(table: DataFrame) -> DataFrame:
@@ -193,6 +196,83 @@ def audited(nodes: DataFrame, size: int, threshold: float, total: int) -> DataFr
     return nodes.mapInArrow(compare, "a long, b long")
 
 
+def centres(members: DataFrame) -> DataFrame:
+    """(root, mean): sum of the unit vectors of each component of members (root, v)."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                root, x = batch.column("root").to_numpy(), units(batch.column("v"))
+                own, back = np.unique(root, return_inverse=True)
+                total = np.zeros((len(own), x.shape[1]))
+                np.add.at(total, back, x)
+                dims = x.shape[1]
+                yield record(["root", "d", "s"], [np.repeat(own, dims), np.tile(np.arange(dims, dtype=np.int32), len(own)), total.ravel()])
+
+    return members.mapInArrow(sums, "root long, d int, s double").groupBy("root", "d").agg(F.sum("s").alias("s")).groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("mean"))
+
+
+def tiled(queries: DataFrame, base: DataFrame, work: Callable[[dict, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work on all pairs of rows (g, id, own, r, v) of queries (side 1) and base (side 0) with equal g, in tiles."""
+    blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    sizes = cut(blocks(queries, "qs").join(blocks(base, "bs"), "g"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.join(sizes, "g").select("g", block("qs").alias("qb"), every("bs").alias("bb"), F.lit(1).alias("side"), "id", "own", "r", "v")
+    b = base.join(sizes, "g").select("g", every("qs").alias("qb"), block("bs").alias("bb"), F.lit(0).alias("side"), "id", "own", "r", "v")
+    return streamed(q.unionByName(b), ["g", "qb", "bb"], ["side", "id"], work, schema)
+
+
+def crossed(nodes: DataFrame, roots: DataFrame, saturated: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): for every vector and every component with a saturated node that it is not in, its closest link to it, if any."""
+    own = cut(nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "v"))
+    members = cut(own.join(own.join(saturated, "id").select("root").distinct(), "root").select("root", "id", "v"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, c = units(batch.column("v")), batch.column("mean").flatten().to_numpy().reshape(batch.num_rows, -1)
+                cos = np.einsum("ij,ij->i", x, c) / np.maximum(np.linalg.norm(c, axis=1), 1e-300)
+                yield record(["root", "r"], [batch.column("root"), np.arccos(np.clip(cos, -1, 1))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c = batch.column("mean").flatten().to_numpy().reshape(batch.num_rows, -1)
+                yield record(["root", "r", "v"], [batch.column("root"), batch.column("r"), pa.array([x.tobytes() for x in c], pa.binary())])
+
+    means = cut(centres(members))
+    radii = members.join(means, "root").select("root", "v", "mean").mapInArrow(spread, "root long, r double").groupBy("root").agg(F.max("r").alias("r"))
+    balls = cut(means.join(radii, "root").mapInArrow(pack, "root long, r double, v binary"))
+
+    def reach(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side = table.column("side").to_numpy()
+        if side.min() == side.max():
+            return
+        q, b = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        v, ids, root, r = table.column("v").combine_chunks(), table.column("id").to_numpy(), table.column("own").to_numpy(), table.column("r").to_numpy()
+        x, c = units(v.take(pa.array(q))), np.frombuffer(b"".join(v.take(pa.array(b)).to_pylist()), dtype=np.float64).reshape(len(b), -1)
+        angle = np.arccos(np.clip(x @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)).T, -1, 1))
+        i, j = np.nonzero((angle <= r[b] + math.acos(threshold) + 1e-6) & (root[q][:, None] != root[b][None, :]))
+        yield record(["g", "id"], [root[b][j], ids[q][i]])
+
+    def closest(_, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side = table.column("side").to_numpy()
+        if side.min() == side.max():
+            return
+        x, ids = units(table.column("v").combine_chunks()), table.column("id").to_numpy()
+        q, b = side == 1, side == 0
+        s = x[q] @ x[b].T
+        top = s.argmax(axis=1)
+        ok = s[np.arange(len(s)), top] >= threshold
+        yield record(["a", "b"], [ids[q][ok], ids[b][top[ok]]])
+
+    row = lambda df, g, own, r: df.select(F.col(g).alias("g") if g else F.lit(0).cast("long").alias("g"), "id", F.col(own).alias("own"), r.cast("double").alias("r"), "v")
+    near = cut(tiled(row(own, None, "root", F.lit(0)), row(balls.withColumn("id", F.col("root")), None, "root", F.col("r")), reach, "g long, id long"))
+    outside = cut(row(near.join(nodes, "id"), "g", "g", F.lit(0)))
+    return cut(tiled(outside, row(members, "root", "root", F.lit(0)), closest, "a long, b long"))
+
+
 def neighbour_graph(nodes: DataFrame, dims: int, total: int, threshold: float) -> tuple[DataFrame, float]:
     """Edges (a, b) at or over the threshold, and the audit's recall of components' links."""
     truth = cut(audited(nodes, AUDIT, threshold, total))
@@ -209,6 +289,10 @@ def neighbour_graph(nodes: DataFrame, dims: int, total: int, threshold: float) -
         close = graph.select("a", F.explode("list").alias("e")).where(F.col("e.s") >= threshold - 1e-3).select(F.least("a", "e.b").alias("a"), F.greatest("a", "e.b").alias("b")).distinct()
         edges = cut(linked(close, nodes, threshold))
         roots = components(edges)
+        across = crossed(nodes, roots, graph.where(F.col("width") > NEIGHBOURS).select(F.col("a").alias("id")), threshold)
+        if not across.isEmpty():
+            edges = cut(edges.unionByName(across))
+            roots = components(edges)
         # a true link counts as found if both ends are in one component, where all links are counted exactly
         sides = truth.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         n, hit = sides.agg(F.count("*"), F.count_if(F.col("ra") == F.col("rb"))).first()
@@ -221,17 +305,7 @@ def neighbour_graph(nodes: DataFrame, dims: int, total: int, threshold: float) -
 def counted(members: DataFrame, threshold: float) -> DataFrame:
     """(id, n): number of vectors (by multiplicity) that each member (root, id, m, v) of a component is linked to, itself included m times."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                root, x = batch.column("root").to_numpy(), units(batch.column("v"))
-                own, back = np.unique(root, return_inverse=True)
-                total = np.zeros((len(own), x.shape[1]))
-                np.add.at(total, back, x)
-                dims = x.shape[1]
-                yield record(["root", "d", "s"], [np.repeat(own, dims), np.tile(np.arange(dims, dtype=np.int32), len(own)), total.ravel()])
-
-    means = members.mapInArrow(sums, "root long, d int, s double").groupBy("root", "d").agg(F.sum("s").alias("s")).groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("mean"))
+    means = centres(members)
     inner = math.sqrt((1 + threshold) / 2) + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

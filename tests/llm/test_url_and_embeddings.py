@@ -86,6 +86,22 @@ def test_near_duplicates(spark, vectors):
     assert all(got[i][0] <= expected[i][0] for i in got)
 
 
+def test_links_between_groups_that_fill_their_lists(spark, monkeypatch):
+    """Two groups of 300 vectors whose lists hold only their own members; no links of audit vectors are added."""
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 0)
+    monkeypatch.setattr(embedding_dedup, "NEIGHBOURS_MOST", 16)
+    rng = np.random.default_rng(11)
+    axes = np.eye(16)
+    angle = np.arccos(0.92)
+    centres = [axes[0], np.cos(angle) * axes[0] + np.sin(angle) * axes[1]]
+    rows = list(enumerate((c + 0.008 * rng.standard_normal(16)).tolist() for c in centres for _ in range(300)))
+    rows += [(1000 + i, rng.standard_normal(16).tolist()) for i in range(20)]
+    expected = brute(rows)
+    assert expected[300][1] == 0
+    out, _ = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out.collect()} == expected
+
+
 def test_no_vectors(spark):
     out, recall = embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert out.count() == 0 and recall == 1.0
