@@ -5,7 +5,8 @@ in sorted orders of random projections and is refined by NN-descent: each node's
 compared with each other (neighbours of neighbours) and every node keeps its best. A node whose whole list lies over the
 threshold is saturated and gets a list twice as long. Lists drop links only at saturated nodes, so components with a
 saturated node are then compared exactly with all vectors outside them that their mean and radius leave in reach. A bounded set of audit vectors is compared with all vectors in
-blocks; while the graph holds too few of their true links, further projections and rounds follow.
+blocks; while the graph holds too small a share of their true links, as a mean over audit vectors with few links or over
+those with many, further projections and rounds follow, and if no attempt reaches it the query fails.
 
 Edges at or over the threshold, verified in double precision, give the components. Links are then counted exactly
 within each component, without listing its pairs: vectors within half the threshold's angle of the component's mean
@@ -34,7 +35,10 @@ THRESHOLD = 0.9
 NEIGHBOURS = 8
 #: Longest list of a saturated node; exact counts in components and crossed() between them take care of what longer lists would add.
 NEIGHBOURS_MOST = 64
+#: Least projections of an attempt, and the probability that a pair at the threshold shares all sign bits in none of them.
 PROJECTIONS = 8
+MISSED = 0.15
+ATTEMPTS = 8
 NEXT = 6
 ROUNDS = 3
 #: Vectors that are compared with all others to measure the recall, and the recall that is asked for.
@@ -273,13 +277,28 @@ def crossed(nodes: DataFrame, roots: DataFrame, saturated: DataFrame, threshold:
     return cut(tiled(outside, row(members, "root", "root", F.lit(0)), closest, "a long, b long"))
 
 
+def projections(bits: int, threshold: float) -> int:
+    """Projections of so many sign bits that keep the probability of MISSED."""
+    together = (1 - math.acos(threshold) / math.pi) ** bits
+    return max(PROJECTIONS, math.ceil(math.log(MISSED) / math.log1p(-together)))
+
+
+def found_share(truth: DataFrame, roots: DataFrame) -> float:
+    """Mean share of found links (a, b) of an audit vector a, among those with up to NEIGHBOURS links or the others, whichever is less."""
+    # a true link counts as found if both ends are in one component, where all links are counted exactly
+    sides = truth.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    each = sides.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("ra") == F.col("rb")).alias("hit"))
+    means = each.groupBy(F.col("n") > NEIGHBOURS).agg(F.avg(F.col("hit") / F.col("n")).alias("share")).collect()
+    return min((r["share"] for r in means), default=1.0)
+
+
 def neighbour_graph(nodes: DataFrame, dims: int, total: int, threshold: float) -> tuple[DataFrame, float]:
-    """Edges (a, b) at or over the threshold, and the audit's recall of components' links."""
+    """Edges (a, b) at or over the threshold, and the audit's recall, see found_share()."""
     truth = cut(audited(nodes, AUDIT, threshold, total))
     bits = max(1, min(24, int(math.log2(max(2, total))) - 3))
     graph, widths, recall = None, None, 0.0
-    for attempt in range(4):
-        fresh = projected(nodes, dims, 17 + attempt, PROJECTIONS, bits)
+    for attempt in range(ATTEMPTS):
+        fresh = projected(nodes, dims, 17 + attempt, projections(bits, threshold), bits)
         if graph is not None:
             fresh = fresh.unionByName(graph.select("a", F.explode("list").alias("e")).select("a", F.col("e.b").alias("b"), F.col("e.s").alias("s")))
         graph = cut(best(fresh, widths))
@@ -293,12 +312,11 @@ def neighbour_graph(nodes: DataFrame, dims: int, total: int, threshold: float) -
         if not across.isEmpty():
             edges = cut(edges.unionByName(across))
             roots = components(edges)
-        # a true link counts as found if both ends are in one component, where all links are counted exactly
-        sides = truth.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        n, hit = sides.agg(F.count("*"), F.count_if(F.col("ra") == F.col("rb"))).first()
-        recall = hit / n if n else 1.0
+        recall = found_share(truth, roots)
         if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"the audit's recall is {recall:.4f} after {ATTEMPTS} attempts, less than {RECALL}")
     return cut(edges.unionByName(truth)), recall
 
 

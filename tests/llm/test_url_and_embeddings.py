@@ -102,6 +102,29 @@ def test_links_between_groups_that_fill_their_lists(spark, monkeypatch):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out.collect()} == expected
 
 
+def test_recall_is_not_hidden_by_a_hot_group(spark):
+    """A hot group's links are all found; half of the isolated pairs are missed."""
+    hot = [(a, b) for a in range(60) for b in range(60) if a != b]
+    pairs = [(1000 + i, 2000 + i) for i in range(20)]
+    truth = spark.createDataFrame(hot + pairs, "a long, b long")
+    roots = spark.createDataFrame([(i, 0) for i in range(60)] + [(x, a) for a, b in pairs[:10] for x in (a, b)], "node long, root long")
+    assert embedding_dedup.found_share(truth, roots) == 0.5
+    assert embedding_dedup.found_share(truth.limit(0), roots) == 1.0
+
+
+def test_projections_grow_with_bits():
+    for bits in range(1, 25):
+        together = (1 - np.arccos(0.9) / np.pi) ** bits
+        assert (1 - together) ** embedding_dedup.projections(bits, 0.9) <= embedding_dedup.MISSED
+
+
+def test_a_recall_that_is_not_reached_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "RECALL", 1.1)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>"))
+
+
 def test_no_vectors(spark):
     out, recall = embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert out.count() == 0 and recall == 1.0
