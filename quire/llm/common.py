@@ -166,6 +166,18 @@ def blocks(batches: Iterator[pa.RecordBatch], lower: bool = False) -> Iterator[t
             yield part, Block(LOWER[data] if lower else data, at)
 
 
+def text_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every text's sequence of words."""
+    n = block.n_words.astype(U64)
+    out = []
+    for which in (0, 1):
+        up, down = _SEQ[which].upto(len(block.start) + 1)
+        total = np.zeros(len(block.start) + 1, dtype=U64)
+        np.cumsum(block.word_hashes(which) * up[: len(block.start)], out=total[1:])
+        out.append(mix((total[block.first[1:]] - total[block.first[:-1]]) * down[block.first[:-1]] ^ mix(n)))
+    return out[0], out[1]
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -88,7 +88,7 @@ def test_substring_dedup_of_repeated_and_null_ids(spark):
 def test_empty_tables(spark, nothing):
     assert substring_dedup.deduplicated(nothing, sketch_bits=16).count() == 0
     assert suffix_dedup.deduplicated(nothing, sketch_bits=16).count() == 0
-    assert jaccard_join.grouped(nothing, sketch_bits=16).count() == 0
+    assert jaccard_join.grouped(nothing).count() == 0
     assert mixing.copies(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
     assert packing.packed(nothing).count() == 0
     assert secrets.scanned(nothing).count() == 0
@@ -170,17 +170,14 @@ def linked(rows):
     return {i: (len(s), root[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("bits", [16, 20])
-def test_jaccard_join(docs, rows, bits):
-    got = jaccard_join.grouped(docs, sketch_bits=bits).collect()
+@pytest.mark.parametrize(("fragments", "words"), [(4, 1_500_000), (1, 300), (7, 50)])
+def test_jaccard_join(docs, rows, fragments, words):
+    got = jaccard_join.grouped(docs, fragments=fragments, chunk_words=words).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == linked(rows) and len(got) == len(rows)
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
-def test_jaccard_join_of_a_dense_group(spark, rounds, monkeypatch):
+def test_jaccard_join_of_a_dense_group(spark):
     """Many variants of one text, some further apart from the first than from each other."""
-    turns = jaccard_join.links
-    monkeypatch.setattr(jaccard_join, "links", lambda sets: turns(sets, rounds=rounds))
     rng, base = random.Random(8), [f"b{i}" for i in range(80)]
     rows = []
     for i in range(150):
@@ -188,7 +185,7 @@ def test_jaccard_join_of_a_dense_group(spark, rounds, monkeypatch):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(80)] = f"v{rng.randrange(30)}"
         rows.append((i, " ".join(w)))
-    got = jaccard_join.grouped(spark.createDataFrame(rows, "doc_id long, text string"), sketch_bits=16)
+    got = jaccard_join.grouped(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == linked(rows)
 
 
