@@ -25,14 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of linked documents, once; rows without doc_id stay."""
-    groups = stored(jaccard_join.grouped(docs))
-    gone = groups.where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    repeated = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return repeated.unionByName(kept.where("doc_id IS NULL"))
+    """Keeps one row of each component of linked documents: the smallest doc_id's, a null one last; of rows that repeat an
+    id in a component one stays, of rows that repeat it in different components each. Rows without words stay."""
+    return jaccard_join.without_duplicates(docs)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
