@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut, record
+from quire.llm.common import pieces as slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -38,14 +39,21 @@ class Tokens:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.fast = self._same(spec)
 
+    @property
+    def whole(self):
+        """The library's tokenizer, loaded when a text first needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _same(self, spec: dict):
         import tiktoken
 
@@ -96,8 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens(tokenizer)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for part in slices(batch):
                 row, piece, start, length, crc, out = [], [], [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     ids = np.append(coder.ids(text or ""), np.array([END_ID], dtype="<u4")).astype("<u4", copy=False)
