@@ -178,6 +178,11 @@ def text_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whatever characters are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -8,6 +8,7 @@ language, and a document's probabilities are the means over its positions.
 Defined results: a null text, and one without a letter, is `und` with score 0, as is everything if no language could be
 learned; ties go to the language first in code point order; rows with a null doc_id are neither learned from nor held
 out; repeated rows get equal results; an empty table gives an empty result; other columns are neither read nor changed.
+A letter is a character of which str.isalpha() holds; digits, fractions and raised figures are none.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import pieces, record, text_bytes
+from quire.llm.common import pieces, quoted, record, text_bytes
 
 SAMPLE_DOCS = 4000
 SAMPLE_STRIPS = 8
@@ -33,7 +34,12 @@ HIDDEN = 8
 LANES = 4096
 FOLDS = 5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    # the pattern also finds numbers such as fractions, which are no letters
+    return bool(text) and any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
 
 
 @dataclass
@@ -178,12 +184,12 @@ def fold() -> F.Column:
 
 
 def sampled(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """(doc_id, lang, strips): of each language about most / languages documents of the learning folds, drawn by a hash."""
+    """(doc_id, lang, strips): of each language about most / languages documents of the learning folds, and one at least on average, drawn by a hash."""
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & (fold() != 0))
     counts = usable.groupBy("lang").agg(F.count("*").alias("_n"))
-    each = most // max(1, counts.count())
+    each = max(1, most // max(1, counts.count()))
     share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("_n"))
-    drawn = usable.join(F.broadcast(counts) if each else counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = usable.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
 
     def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,25 +218,25 @@ def learned(docs: DataFrame, most: int = SAMPLE_DOCS) -> Network | None:
     return trained(strips, labels, languages)
 
 
-def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with lang_pred and score; columns of these names that docs has are replaced."""
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+def predicted(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score under names; columns of these names that docs has are replaced."""
+    new = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    kept = [f for f in docs.schema.fields if f.name not in names]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 texts = part.column("text").to_pylist()
-                letters = np.array([bool(t) and _LETTER.search(t) is not None for t in texts])
-                names, scores = np.array([UNKNOWN] * len(texts), dtype=object), np.zeros(len(texts))
+                letters = np.array([has_letter(t) for t in texts])
+                best_of, scores = np.array([UNKNOWN] * len(texts), dtype=object), np.zeros(len(texts))
                 if net and letters.any():
                     p = net.documents(*text_bytes(part.column("text")))
                     best = p.argmax(axis=1)
-                    names[letters] = np.array(net.languages, dtype=object)[best[letters]]
+                    best_of[letters] = np.array(net.languages, dtype=object)[best[letters]]
                     scores[letters] = np.clip(p[np.arange(len(p)), best], 0, 1)[letters]
-                yield record([*(f.name for f in kept), "lang_pred", "score"], [*(part.column(f.name) for f in kept), pa.array(names.tolist(), pa.string()), scores])
+                yield record([*(f.name for f in kept), *names], [*(part.column(f.name) for f in kept), pa.array(best_of.tolist(), pa.string()), scores])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(predict, T.StructType(kept + new))
+    return docs.select(*[F.col(quoted(f.name)) for f in kept]).mapInArrow(predict, T.StructType(kept + new))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Tokens are summed per source, capped targets found by water filling, and each do
 floor(rate) times plus once more if a hash of its id falls below the rate's fraction.
 
 Defined results: a null text has size 0 and is taken like any other; a null source is one source of its own, last in
-order; a null doc_id is hashed as the word null; rows that repeat a doc_id get the same decision; an empty table gives
+order; a null doc_id is hashed as the word null and the text; rows that repeat a doc_id get the same decision; an empty table gives
 an empty result; a source without words has target 0 and rate 0. Other columns are neither read nor changed.
 """
 
@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD_REGEX, cut
+from quire.llm.common import WORD_REGEX, cut, quoted
 
 #: Sources whose targets are at most so many rows are joined by broadcast; more by a shuffled join.
 BROADCAST_SOURCES = 20_000
 
 
 def size_of(text: str = "text") -> F.Column:
-    return F.coalesce(F.size(F.regexp_extract_all(F.col(text), F.lit(WORD_REGEX), F.lit(0))), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_REGEX)), F.lit(0)).cast("long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -53,30 +53,30 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return per.select("source", "source_size", F.when(F.col("stops"), (most * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
 
 
-def draw(doc_id: F.Column, seed: int) -> F.Column:
-    """A number in [0, 1) from the first 52 bits of the md5 of seed and id."""
-    name = F.concat(F.lit(f"mix:{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def draw(doc_id: F.Column, text: F.Column, seed: int) -> F.Column:
+    """A number in [0, 1) from the first 52 bits of the md5 of seed and id; rows without id draw by their text."""
+    name = F.concat(F.lit(f"mix:{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, copies) of every row, with its columns in keep."""
-    sized = docs.select("doc_id", "source", *[F.col(c).alias(f"_keep_{c}") for c in keep or []], size_of().alias("size"))
+    """(doc_id, size, source_size, target, copies) of every row, with its columns in keep as _keep_0, _keep_1, ..."""
+    sized = docs.select("doc_id", "source", *[F.col(quoted(c)).alias(f"_keep_{i}") for i, c in enumerate(keep or [])], size_of().alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("_draw"))
     per = cut(targets(sized.select("source", "size"), weights, most))
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
     per = per.withColumnRenamed("source", "_of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    n = (whole + F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)).cast("long")
-    return sized.join(per, F.col("source").eqNullSafe(F.col("_of"))).select("doc_id", "size", "source_size", "target", n.alias("copies"), *[f"_keep_{c}" for c in keep or []])
+    n = (whole + F.when(F.col("_draw") < rate - whole, 1).otherwise(0)).cast("long")
+    return sized.join(per, F.col("source").eqNullSafe(F.col("_of"))).select("doc_id", "size", "source_size", "target", n.alias("copies"), *[f"_keep_{i}" for i in range(len(keep or []))])
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """docs with every row repeated as often as the mix takes it."""
     taken = copies(docs, weights, most, seed, docs.columns)
     rows = taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
+    return rows.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, text, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS w
@@ -105,7 +105,7 @@ target AS (
 rated AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         CAST('0x' || substr(md5('mix:0:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+         CAST('0x' || substr(md5('mix:0:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null:' || coalesce(s.text, ''))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN target t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken,

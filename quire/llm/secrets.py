@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import pieces, record
+from quire.llm.common import pieces, quoted, record
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ASSIGN_LEAST = 6
@@ -32,13 +32,14 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 BASE = KINDS[:3]
 
-#: Strings whose look is random but that are no secrets.
+#: Patterns of strings whose look is random but that are no secrets. Whole ones stop the run that they match in full; the
+#: others stop windows that lie over what they find, and leave the rest of the run to be judged.
 ALLOWED = (
-    rb"(?i)\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z",  # UUIDs
-    rb"(?i)example|sample|placeholder|changeme|x{6}|0123456789|abcdefgh",
-    rb"\A[a-z]+(?:[/_=+-]+[a-z]+)*\Z",  # words in lower case, and paths or names made of them
-    rb"\A[0-9/_=+-]+\Z",  # numbers and dates
-    rb"\A[^0-9]+\Z",  # no digit at all
+    (rb"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", True),  # UUIDs
+    (rb"[a-z]+(?:[/_=+-]+[a-z]+)*", True),  # words in lower case, and paths or names made of them
+    (rb"[0-9/_=+-]+", True),  # numbers and dates
+    (rb"(?:[A-Z]+|[a-z]*(?:[A-Z][a-z]{2,})*)(?:[/_=+-]+(?:[A-Z]+|[a-z]*(?:[A-Z][a-z]{2,})*))*", True),  # words with capitals, in camel case too, and paths or names made of them
+    (rb"(?i)example|sample|placeholder|changeme|x{6,}|0123456789|abcdefgh", False),
 )
 
 
@@ -57,8 +58,8 @@ CLASSES = (
 )
 
 
-def entropy_spans(run: bytes, window: int, threshold: float) -> list[tuple[int, int]]:
-    """Joined windows of run whose entropy is at least threshold."""
+def entropy_spans(run: bytes, window: int, threshold: float, allowed: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Joined windows of run whose entropy is at least threshold and that share no character with an allowed place."""
     if len(run) < window:
         return []
     part = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
@@ -74,7 +75,7 @@ def entropy_spans(run: bytes, window: int, threshold: float) -> list[tuple[int,
             counts[gone] -= 1
             total += part[counts[new] + 1] - part[counts[new]]
             counts[new] += 1
-        if total <= most:
+        if total <= most and not any(b < begin + window and begin < e for b, e in allowed or ()):
             if spans and begin <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], begin + window)
             else:
@@ -82,7 +83,7 @@ def entropy_spans(run: bytes, window: int, threshold: float) -> list[tuple[int,
     return spans
 
 
-def scan(data: bytes, allowed: list[re.Pattern[bytes]], classes: tuple[CharClass, ...] = CLASSES) -> list[tuple[int, int, int]]:
+def scan(data: bytes, allowed: list[tuple[re.Pattern[bytes], bool]], classes: tuple[CharClass, ...] = CLASSES) -> list[tuple[int, int, int]]:
     """(kind, start, end) in bytes; data may be several texts parted by newlines, which no span crosses."""
     found = [(0, m.start(), m.end()) for m in ASSIGN.finditer(data) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     found += [(1, m.start(), m.end()) for m in ACCESS.finditer(data)]
@@ -93,9 +94,10 @@ def scan(data: bytes, allowed: list[re.Pattern[bytes]], classes: tuple[CharClass
     for c in classes:
         for m in c.run.finditer(data):
             run = m.group()
-            if any(a.search(run) for a in allowed):
+            if any(whole and a.fullmatch(run) for a, whole in allowed):
                 continue
-            for b, e in entropy_spans(run, c.window, c.threshold):
+            quiet = [x.span() for a, whole in allowed if not whole for x in a.finditer(run)]
+            for b, e in entropy_spans(run, c.window, c.threshold, quiet):
                 b, e = m.start() + b, m.start() + e
                 before = int(np.searchsorted(at, b, side="right")) - 1
                 if before < 0 or reach[before] < e:  # else a base span holds it already
@@ -103,22 +105,22 @@ def scan(data: bytes, allowed: list[re.Pattern[bytes]], classes: tuple[CharClass
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
-def scanned(docs: DataFrame, allow: tuple[bytes, ...] = ALLOWED, redact: str | None = None) -> DataFrame:
-    """docs' rows with n_assign, n_access, n_hex, base_sha256, spans; with redact, text has each span replaced by it.
+def scanned(docs: DataFrame, allow: tuple[tuple[bytes, bool], ...] = ALLOWED, redact: str | None = None, prefix: str = "") -> DataFrame:
+    """docs' rows with n_assign, n_access, n_hex, base_sha256, spans, named so behind prefix; with redact, text has each span replaced by it.
 
     Columns of these names that docs has are replaced.
     """
-    new = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType())]
+    new = [(prefix + n, t) for n, t in (("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()))]
     kept = [f for f in docs.schema.fields if f.name not in dict(new)]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in new])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = [re.compile(a) for a in allow]
+        allowed = [(re.compile(a), whole) for a, whole in allow]
         for batch in batches:
             for part in pieces(batch):
                 yield one(part, allowed)
 
-    def one(part: pa.RecordBatch, allowed: list[re.Pattern[bytes]]) -> pa.RecordBatch:
+    def one(part: pa.RecordBatch, allowed: list[tuple[re.Pattern[bytes], bool]]) -> pa.RecordBatch:
         texts = [(t or "").encode() for t in part.column("text").to_pylist()]
         data = b"\n".join(texts)
         ends = np.cumsum([len(t) + 1 for t in texts])
@@ -142,11 +144,11 @@ def scanned(docs: DataFrame, allow: tuple[bytes, ...] = ALLOWED, redact: str | N
             for i, own in cuts.items():
                 text[i] = blanked(texts[i], own, redact.encode()).decode()
             out["text"] = pa.array(text, pa.string())
-        out |= {"n_assign": counts[0], "n_access": counts[1], "n_hex": counts[2]}
-        out |= {"base_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in bases]), "spans": pa.array([",".join(x) for x in spans])}
+        digests = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in bases])
+        out |= dict(zip((n for n, _ in new), (*counts, digests, pa.array([",".join(x) for x in spans])), strict=True))
         return record(list(out), list(out.values()))
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(work, schema)
+    return docs.select(*[F.col(quoted(f.name)) for f in kept]).mapInArrow(work, schema)
 
 
 def blanked(text: bytes, cuts: list[tuple[int, int]], by: bytes) -> bytes:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import U64, Block, blocks, record, signed, text_hashes
+from quire.llm.common import U64, Block, blocks, quoted, record, signed, text_hashes
 
 #: Words of a chunk of texts, and cells of a shard, on average.
 CHUNK_WORDS = 1_500_000
@@ -167,10 +167,6 @@ class Counts:
         return self.texts.groupBy("chunk").cogroup(self.levels().groupBy("chunk")).applyInArrow(answer, schema)
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def keyed_rows(docs: DataFrame) -> DataFrame:
     """docs with _quire_r1, _quire_r2: two hashes of the whole row; rows that are equal in all columns share them."""
     columns = [F.col(quoted(c)) for c in docs.columns]
