@@ -10,18 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard_join, language_id, mixing, packing, secrets
-from quire.llm.common import stored
+from quire.llm.common import quoted, stored
 
 #: Documents whose best language has a lower mean probability are rejected; four languages' chance level is 0.25.
 LEAST_SCORE = 0.3
 REDACTED = "[REDACTED]"
+#: What the stages add to rows for themselves is named so.
+OWN = "_quire_"
+
+
+def own_columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: no letter in them, or no language that stands out."""
-    net = language_id.learned(docs)
-    kept = language_id.predicted(docs, net).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    """Rejects documents without a language: no letter in them (null texts too), or no language that stands out.
+
+    Repeated rows are judged alike; every other row and column is returned as it came."""
+    names = f"{OWN}lang_pred", f"{OWN}score"
+    kept = language_id.predicted(docs, language_id.learned(docs), names).where((F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE))
+    return own_columns(kept, docs)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +39,25 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret found in the texts; no document goes."""
-    clean = secrets.scanned(docs, redact=REDACTED)
-    return clean.withColumn("n_chars", F.when(F.col("spans") != "", F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Replaces every secret found in the texts; no document goes. n_chars, if there is such a column, follows the text.
+
+    Null texts stay null, repeated rows are changed alike, every other column is returned as it came."""
+    clean = secrets.scanned(docs, redact=REDACTED, prefix=OWN)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.when(F.col(f"{OWN}spans") != "", F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return own_columns(clean, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and leaves out documents so that sources' words come near their targets."""
+    """Repeats and leaves out documents so that sources' words come near their targets.
+
+    Rows are taken whole, each a number of times that its id (or, without one, its text) decides; see mixing.py."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their places; every row, repeated or without id or text, is a document of its own; see packing.py."""
     return packing.packed(docs)
 
 
@@ -52,7 +68,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack),
 ]
-#: Learned and hash-based stages; the pipeline is tested against brute force.
+#: Learned and hash-based stages; tests/llm/test_pipeline.py holds each stage against a plain version on small rows.
 ORACLE_SQL = None
 
 
