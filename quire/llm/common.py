@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 U64 = np.uint64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,6 +34,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Most bytes of rows that Spark sends to Python at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what is sent to Python at once by bytes, unless the session bounds it closer; rows with texts can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).rstrip("bB")
+    if not held.lstrip("-").isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read back from the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)

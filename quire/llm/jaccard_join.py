@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, Block, blocks, components, cut, inside, mix, record, sequence_hashes, signed, stored, text_hashes
+from quire.llm.common import U64, Block, blocks, components, cut, inside, mix, record, sequence_hashes, signed, small_batches, stored, text_hashes
 from quire.llm.shards import CHUNK_WORDS, STEPS, Counts, chosen_rows, keyed_rows
 
 WORDS = 5
@@ -61,6 +61,7 @@ def shingle_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(docs: DataFrame, *extra: str) -> DataFrame:
     """(doc_id, *extra, n_words, f1, f2): each row's number of words and the fingerprint of their sequence."""
+    small_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in ("doc_id", *extra)]
     names = [f"_s{i}" for i in range(len(fields))]
 

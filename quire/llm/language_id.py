@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import pieces, quoted, record, text_bytes
+from quire.llm.common import pieces, quoted, record, small_batches, text_bytes
 
 SAMPLE_DOCS = 4000
 SAMPLE_STRIPS = 8
@@ -187,9 +187,10 @@ def sampled(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, lang, strips): of each language about most / languages documents of the learning folds, and one at least on average, drawn by a hash."""
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & (fold() != 0))
     counts = usable.groupBy("lang").agg(F.count("*").alias("_n"))
-    each = max(1, most // max(1, counts.count()))
+    languages = counts.count()
+    each = max(1, most // max(1, languages))
     share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("_n"))
-    drawn = usable.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = usable.join(F.broadcast(counts) if languages <= most else counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
 
     def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,6 +221,7 @@ def learned(docs: DataFrame, most: int = SAMPLE_DOCS) -> Network | None:
 
 def predicted(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with the language and its score under names; columns of these names that docs has are replaced."""
+    small_batches(docs.sparkSession)
     new = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     kept = [f for f in docs.schema.fields if f.name not in names]
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, record
+from quire.llm.common import cut, record, small_batches
 from quire.llm.common import pieces as slices
 
 CAPACITY = 2048
@@ -98,6 +98,7 @@ def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece, and its ids if asked for."""
+    small_batches(docs.sparkSession)
     doc_id = docs.schema["doc_id"]
     fields = f"doc_id {doc_id.dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import pieces, quoted, record
+from quire.llm.common import pieces, quoted, record, small_batches
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ASSIGN_LEAST = 6
@@ -110,6 +110,7 @@ def scanned(docs: DataFrame, allow: tuple[tuple[bytes, bool], ...] = ALLOWED, re
 
     Columns of these names that docs has are replaced.
     """
+    small_batches(docs.sparkSession)
     new = [(prefix + n, t) for n, t in (("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()))]
     kept = [f for f in docs.schema.fields if f.name not in dict(new)]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in new])

@@ -4,7 +4,8 @@ No sketch is broadcast. Texts travel once, compressed, to the chunk that their w
 meet; every task passes on one of its own equal texts only, and a text that a third of all rows hold reaches its chunk at
 most once a task. A chunk sends the sorted cells of its n-grams to their shards, as gaps; a shard adds up what all chunks
 sent and answers each chunk with one level (a rounded logarithm of the count) a cell. Chunks and shards have a fixed size
-and their number follows the corpus, and so does the number of cells (CELL_BITS more than n-grams): the share of n-grams
+and their number follows the corpus (a chunk's message to a shard holds CHUNK_WORDS * SHARD_CELLS / words cells, some 60 at
+10**10 words; far beyond that it nears a row a cell), and so does the number of cells (CELL_BITS more than n-grams): the share of n-grams
 that a full cell makes look more frequent than they are is about 1 in 2**CELL_BITS at every size. Counts are never too low.
 """
 
@@ -18,16 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import U64, Block, blocks, quoted, record, signed, text_hashes
+from quire.llm.common import U64, Block, blocks, quoted, record, signed, small_batches, text_hashes
 
 #: Words of a chunk of texts, and cells of a shard, on average.
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 500_000
 SHARD_CELLS = 1 << 20
 CELL_BITS = 6
 #: Levels to a doubling of the count; level 0 is a count of one.
 STEPS = 4
 #: Bytes of rows that a task holds before it passes them on.
-HELD_BYTES = 16 << 20
+HELD_BYTES = 8 << 20
 
 Items = Callable[[Block], tuple[np.ndarray, np.ndarray]]
 
@@ -121,6 +122,7 @@ class Counts:
     """Texts of docs, and the levels of their items (distinct in a text), by chunk."""
 
     def __init__(self, docs: DataFrame, words: int, items: Items, lower: bool = False, chunk_words: int = CHUNK_WORDS) -> None:
+        small_batches(docs.sparkSession)
         self.items, self.lower = items, lower
         self.bits = min(56, max(8, int(words).bit_length() + CELL_BITS))
         self.shard_bits = max(0, min(30, self.bits - CELL_BITS - (SHARD_CELLS.bit_length() - 1)))
@@ -177,6 +179,7 @@ def chosen_rows(docs: DataFrame, keys: DataFrame, chunks: int) -> DataFrame:
     """Rows of docs (see keyed_rows) whose keys are in keys (_quire_r1, _quire_r2, every), of equal rows one unless every is set.
 
     Rows travel once, compressed, to the chunk that their key names."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
     inner = [f"_d{i}" for i in range(len(schema.fields))]
     rows = keyed_rows(docs).toDF(*inner, "_quire_r1", "_quire_r2")

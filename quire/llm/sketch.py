@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.common import U64, Block, blocks
+from quire.llm.common import U64, Block, blocks, small_batches
 
 BLOCK_BITS = 16
 FLUSH_ITEMS = 1_000_000
@@ -72,6 +72,8 @@ def cells_of(h: np.ndarray, bits: int, rows: int) -> list[np.ndarray]:
 def repeats(docs: DataFrame, items: Callable[[Block], np.ndarray], lower: bool = False, bits: int = 27, rows: int = 2) -> Repeats:
     """The repeated items of docs' texts; items gives the hashes of a block's items, one for each occurrence."""
 
+    small_batches(docs.sparkSession)
+
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate(held)
         for row in cells_of(h, bits, rows):

@@ -170,7 +170,7 @@ def linked(rows):
     return {i: (len(s), root[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("fragments", "words"), [(4, 1_500_000), (1, 300), (7, 50)])
+@pytest.mark.parametrize(("fragments", "words"), [(4, 500_000), (1, 300), (7, 50)])
 def test_jaccard_join(docs, rows, fragments, words):
     got = jaccard_join.grouped(docs, fragments=fragments, chunk_words=words).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == linked(rows) and len(got) == len(rows)
