@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, Block, blocks, mix, record, sequence_hashes, signed
+from quire.llm.common import U64, Block, blocks, mix, record, sequence_hashes, signed, stored
 from quire.llm.sketch import Repeats, repeats
 from quire.llm.substring_dedup import CHUNK_WINDOWS, Chunk, anchors, keys, later_windows, removed
 
@@ -116,7 +116,8 @@ def chained(words: np.ndarray, seed: int) -> np.ndarray:
 def matches(rows: DataFrame, least: int, reach: int) -> DataFrame:
     """(id, th, run), a run being last << 32 | start: windows of `least` words around retained suffixes whose words also start earlier."""
     first = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "place", "context")).alias("o"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("h1", "h2", "n", F.col("o.id").alias("o_id"), F.col("o.th").alias("o_th"), F.col("o.place").alias("o_place"), F.col("o.context").alias("o_context"))
+    # a table of its own, so that the join below reads a shuffle on both sides and adaptive execution can split hot heads
+    first = stored(first.select("h1", "h2", "n", F.col("o.id").alias("o_id"), F.col("o.th").alias("o_th"), F.col("o.place").alias("o_place"), F.col("o.context").alias("o_context")))
     later = (F.col("id") != F.col("o_id")) | (F.col("th") != F.col("o_th")) | (F.col("place") != F.col("o_place"))
     both = rows.join(first, ["h1", "h2"]).where(later).select("h1", "h2", "n", "id", "th", "place", "context", "o_context")
     side = reach - 1
