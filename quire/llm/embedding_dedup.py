@@ -220,10 +220,20 @@ def tiled(queries: DataFrame, base: DataFrame, work: Callable[[dict, pa.RecordBa
     """work on all pairs of rows (g, id, own, r, v) of queries (side 1) and base (side 0) with equal g, in tiles."""
     blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
     sizes = cut(blocks(queries, "qs").join(blocks(base, "bs"), "g"))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(sizes, "g").select("g", block("qs").alias("qb"), every("bs").alias("bb"), F.lit(1).alias("side"), "id", "own", "r", "v")
-    b = base.join(sizes, "g").select("g", every("qs").alias("qb"), block("bs").alias("bb"), F.lit(0).alias("side"), "id", "own", "r", "v")
+    return _tiles(queries.join(sizes, "g"), base.join(sizes, "g"), F.col("qs"), F.col("bs"), work, schema)
+
+
+def tiled_whole(queries: DataFrame, base: DataFrame, work: Callable[[dict, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """tiled() where g is the same in all rows; the numbers of blocks are counted first, so no row is joined for them."""
+    qs, bs = (F.lit(max(1, -(-df.count() // TILE))) for df in (queries, base))
+    return _tiles(queries, base, qs, bs, work, schema)
+
+
+def _tiles(queries: DataFrame, base: DataFrame, qs: F.Column, bs: F.Column, work: Callable[[dict, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    q = queries.select("g", block(qs).alias("qb"), every(bs).alias("bb"), F.lit(1).alias("side"), "id", "own", "r", "v")
+    b = base.select("g", every(qs).alias("qb"), block(bs).alias("bb"), F.lit(0).alias("side"), "id", "own", "r", "v")
     return streamed(q.unionByName(b), ["g", "qb", "bb"], ["side", "id"], work, schema)
 
 
@@ -272,7 +282,7 @@ def crossed(nodes: DataFrame, roots: DataFrame, saturated: DataFrame, threshold:
         yield record(["a", "b"], [ids[q][ok], ids[b][top[ok]]])
 
     row = lambda df, g, own, r: df.select(F.col(g).alias("g") if g else F.lit(0).cast("long").alias("g"), "id", F.col(own).alias("own"), r.cast("double").alias("r"), "v")
-    near = cut(tiled(row(own, None, "root", F.lit(0)), row(balls.withColumn("id", F.col("root")), None, "root", F.col("r")), reach, "g long, id long"))
+    near = cut(tiled_whole(row(own, None, "root", F.lit(0)), row(balls.withColumn("id", F.col("root")), None, "root", F.col("r")), reach, "g long, id long"))
     outside = cut(row(near.join(nodes, "id"), "g", "g", F.lit(0)))
     return cut(tiled(outside, row(members, "root", "root", F.lit(0)), closest, "a long, b long"))
 
