@@ -303,7 +303,7 @@ def found_share(truth: DataFrame, roots: DataFrame) -> float:
 
 
 def neighbour_graph(nodes: DataFrame, dims: int, total: int, threshold: float) -> tuple[DataFrame, float]:
-    """Edges (a, b) at or over the threshold, and the audit's recall, see found_share()."""
+    """Components (node, root) of the edges at or over the threshold, and the audit's recall, see found_share()."""
     truth = cut(audited(nodes, AUDIT, threshold, total))
     bits = max(1, min(24, int(math.log2(max(2, total))) - 3))
     graph, widths, recall = None, None, 0.0
@@ -327,7 +327,8 @@ def neighbour_graph(nodes: DataFrame, dims: int, total: int, threshold: float) -
             break
     else:
         raise RuntimeError(f"the audit's recall is {recall:.4f} after {ATTEMPTS} attempts, less than {RECALL}")
-    return cut(edges.unionByName(truth)), recall
+    # links of the audit that were not found are links all the same
+    return (roots if recall == 1.0 else components(edges.unionByName(truth))), recall
 
 
 def counted(members: DataFrame, threshold: float) -> DataFrame:
@@ -370,19 +371,18 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> tuple[Dat
     """(vec_id, n_links, component_id, kept) of every row of table, and the audit's recall."""
     usable = cut(nodes_of(table))
     nodes = cut(usable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
-    edges, recall = None, 1.0
+    roots, recall = None, 1.0
     widths = sorted(r[0] for r in nodes.select(F.length("v")).distinct().collect())
     for width in widths:  # one pass for each dimension
         own = nodes.where(F.length("v") == width).select("id", "v")
         total = own.count()
         if total > 1:
             found, r = neighbour_graph(own, width // 8, total, threshold)
-            edges, recall = found if edges is None else edges.unionByName(found), min(recall, r)
+            roots, recall = found if roots is None else roots.unionByName(found), min(recall, r)
     named = usable.join(nodes.withColumnRenamed("id", "rep"), "v").select("id", "rep", "m")
-    if edges is None:
+    if roots is None:
         out = named.select("id", (F.col("m") - 1).alias("n"), F.col("rep").alias("root"))
     else:
-        roots = components(edges)
         members = roots.withColumnRenamed("node", "id").join(nodes, "id").select("root", "id", "m", "v")
         counts = reduce(DataFrame.unionByName, [counted(members.where(F.length("v") == w), threshold) for w in widths])
         per = roots.withColumnRenamed("node", "rep").join(counts.withColumnRenamed("id", "rep"), "rep")
