@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
+from collections import deque
 from difflib import SequenceMatcher
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -45,25 +48,45 @@ def word_changes(base: str | None, suggested: str | None) -> list[dict] | None:
     return [{"start": i, "end": j, "original": cut(base, old, i, j), "replacement": cut(suggested or "", new, k, m)} for tag, i, j, k, m in steps if tag != "equal"]
 
 
+def compatible(changes: list[dict], n: int) -> list[dict]:
+    """Changes that can stand together in a text of n words, in text order: each ends before the next one begins, and where
+    two overlap the one that begins later stays. Of changes at one place the one given first comes last."""
+    kept, bound = deque(), n + 1
+    for c in sorted(reversed(changes), key=itemgetter("start", "end"))[::-1]:
+        inside = c["start"] == c["end"] or c["start"] < n
+        if inside and c["end"] <= bound:
+            kept.appendleft(c)
+            bound = c["start"]
+    return list(kept)
+
+
 def with_changes(base: str, changes: list[dict]) -> str:
-    """base with changes put in from the last to the first; one that overlaps a later one is left out."""
-    found = list(_WORD.finditer(base))
-    n, free, out = len(found), len(found) + 1, base
-    for c in sorted(changes, key=lambda c: (-c["start"], -c["end"])):
-        start, end, new = c["start"], c["end"], c["replacement"]
-        if end > free:
-            continue
-        if start == end:
-            at = found[start].start() if start < n else len(base)
-            left, right = out[:at], out[at:]
-            gap = [" " if side and not side.isspace() else "" for side in (left[-1:], right[:1])]
-            out = left + gap[0] + new + gap[1] + right
-        elif (last := min(end, n)) > start:
-            out = out[: found[start].start()] + new + out[found[last - 1].end() :]
+    """base with its compatible changes, put together once from left to right.
+
+    What is replaced is the characters between two words; an insertion is parted from a neighbour by one blank."""
+    words = [m.span() for m in _WORD.finditer(base)]
+    parts, at, after_insert = [], 0, False
+
+    def put(piece: str) -> None:
+        nonlocal after_insert
+        if piece:
+            parts.append(f" {piece}" if after_insert and not piece[0].isspace() else piece)
+            after_insert = False
+
+    for c in compatible(changes, len(words)):
+        insert = c["start"] == c["end"]
+        begin = words[c["start"]][0] if c["start"] < len(words) else len(base)
+        put(base[at:begin])
+        if insert:
+            part = begin and not base[begin - 1].isspace()
+            put(" " * bool(part) + c["replacement"])
+            after_insert = True
+            at = begin
         else:
-            continue
-        free = start
-    return out
+            put(c["replacement"])
+            at = words[min(c["end"], len(words)) - 1][1]
+    put(base[at:])
+    return "".join(parts)
 
 
 def anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -87,26 +110,34 @@ def anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def alignment_score(a: str | None, b: str | None) -> int:
+def _score(common: int, total: int) -> int:
     """Percentage of words on the common subsequence, halves rounded up; two empty texts are 100."""
+    return int(np.floor(200 * common / total + 0.5)) if total else 100
+
+
+def alignment_score(a: str | None, b: str | None) -> int:
     x, y = _WORD.findall(a or ""), _WORD.findall(b or "")
-    if not x and not y:
-        return 100
-    return int(np.floor(200 * len(anchors(x, y)) / (len(x) + len(y)) + 0.5))
+    return _score(len(anchors(x, y)), len(x) + len(y))
+
+
+# The least score of texts that belong together, and the widest gap that a selection is projected to.
+LEAST_SCORE = 15
+GAP_WORDS = 6
+GAP_FACTOR = 4
 
 
 def projection(a: str | None, b: str | None, start: int, end: int) -> str | None:
-    """What b has where a has words start to end; null where the texts or the gap don't fit."""
-    x, found = _WORD.findall(a or ""), list(_WORD.finditer(b or ""))
-    if not found or alignment_score(a, b) < 15:
+    """What b has between the anchors around a's words start to end; null where the texts or the gap don't fit."""
+    x, words = _WORD.findall(a or ""), [m.span() for m in _WORD.finditer(b or "")]
+    pairs = anchors(x, [b[i:j] for i, j in words])
+    if not words or _score(len(pairs), len(x) + len(words)) < LEAST_SCORE:
         return None
-    pairs = anchors(x, [m.group() for m in found])
-    low = max((j for i, j in pairs if i < start), default=-1)
-    high = next((j for i, j in pairs if i >= end), len(found))
-    gap = high - low - 1
-    if gap > max(6, 4 * (end - start)):
+    own = [i for i, _ in pairs]
+    theirs = [-1, *(j for _, j in pairs), len(words)]
+    inside = words[theirs[bisect_left(own, start)] + 1 : theirs[bisect_left(own, end) + 1]]
+    if len(inside) > max(GAP_WORDS, GAP_FACTOR * (end - start)):
         return None
-    return b[found[low + 1].start() : found[high - 1].end()] if gap > 0 else ""
+    return b[inside[0][0] : inside[-1][1]] if inside else ""
 
 
 def zlib_share(text: str | None) -> float | None:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions.text import strip
 
 TERMINAL = ("confirmed", "provisionally_verified", "expert_approved")
+#: States of a queue item that the runner goes on with.
+PENDING = ("queued", "downloading", "downloaded", "rasterizing", "approved", "ocr_running")
 STATUSES = ("pending", "confirmed", "awaiting_second_review", "provisionally_verified", "needs_expert", "expert_approved")
 
 
@@ -62,7 +64,7 @@ def consensus(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     none = F.lit(None).cast("string")
     start = F.struct(F.lit("pending").alias("status"), none.alias("final_text"), none.alias("pending_text"), none.alias("pending_by"), F.lit(0).alias("accepted"), F.lit(0).alias("rejected"), F.array().cast("array<string>").alias("reviewers"))
     state = lists.select(*keys, F.aggregate("e", start, lambda s, e: _next(s, e, F.col("draft"))).alias("s"))
-    return state.select(*keys, "s.status", "s.final_text", F.col("s.accepted").cast("long").alias("accepted"), F.col("s.rejected").cast("long").alias("rejected"), F.array_join(F.array_sort("s.reviewers"), ",").alias("reviewers"))
+    return state.select(*keys, "s.status", "s.final_text", "s.pending_by", F.col("s.accepted").cast("long").alias("accepted"), F.col("s.rejected").cast("long").alias("rejected"), F.array_join(F.array_sort("s.reviewers"), ",").alias("reviewers"))
 
 
 def histogram(states: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ ENGINES = ("easyocr", "tesseract", "surya")
 def flags(readings: DataFrame, script: tuple[int, int] = T.SCRIPT) -> DataFrame:
     """readings (three reading structs) with disagreement, majority_agreement, low_confidence, surya_suspect, sim_*.
 
+    A reading is of low confidence if its mean is, or, where the struct has word_confidences, if any word is.
     Rows that lack an engine get null flags: they are never flagged. Three empty readings agree."""
     texts = [F.col(f"{e}.text") for e in ENGINES]
     full = F.lit(True)
@@ -23,6 +24,8 @@ def flags(readings: DataFrame, script: tuple[int, int] = T.SCRIPT) -> DataFrame:
     low = F.lit(False)
     for e in ENGINES:
         low |= F.coalesce(F.col(f"{e}.avg_confidence") < T.LOW_CONFIDENCE, F.lit(False))
+        if "word_confidences" in readings.schema[e].dataType.names:
+            low |= F.coalesce(F.exists(F.col(f"{e}.word_confidences"), lambda c: c < T.LOW_CONFIDENCE), F.lit(False))
     only = lambda c: F.when(full, c)
     out = readings.withColumns({
         "disagreement": only(distinct > 1), "majority_agreement": only(distinct < 3), "low_confidence": only(low),
@@ -51,20 +54,22 @@ def fallback_text(majority: Column) -> Column:
     return F.coalesce(F.when(majority, agreed), T.truthy(e, t, s))
 
 
-# Sentences that a prompt's reader is given.
-_AGREE = "Note: at least two of the three readings above already agree exactly on this text."
-_WORDS = "Note: these words appear identically in at least two of the three readings: "
-_MARKS = "Note: the readings contain "
-_DOUBT = "Note: Reading C was flagged by an automated quality check as possibly corrupted."
+#: Lines of a hint; callers may bring their own.
+LINES = {
+    "agree": "Two or more of the readings are the same.",
+    "words": "Words that two or more readings share: ",
+    "marks": "Marks in the readings: ",
+    "doubt": "The third reading may be damaged.",
+}
 
 
-def hint(majority: Column, suspect: Column) -> Column:
+def hint(majority: Column, suspect: Column, lines: dict[str, str] = LINES) -> Column:
     """Lines that tell what the readings agree on, each only where it applies."""
     texts = [F.col(f"{e}.text") for e in ENGINES]
     common = T.consensus(*texts)
-    marks = F.concat_ws(" and ", *[F.concat(F.lit("at least "), T.mark_floor(m, *texts).cast("string"), F.lit(f" '{m}'")) for m in T.DANDAS])
-    lines = F.concat_ws("\n", F.when(majority, _AGREE), F.when(F.size(common) > 0, F.concat(F.lit(_WORDS), F.array_join(common, ", "))), F.when(marks != "", F.concat(F.lit(_MARKS), marks, F.lit(" mark(s)."))), F.when(suspect, _DOUBT))
-    return F.when(lines != "", F.concat(F.lit("\n"), lines, F.lit("\n"))).otherwise(F.lit("\n"))
+    marks = F.concat_ws(", ", *[F.concat(T.mark_floor(m, *texts).cast("string"), F.lit(f" x {m} or more")) for m in T.DANDAS])
+    told = F.concat_ws("\n", F.when(majority, lines["agree"]), F.when(F.size(common) > 0, F.concat(F.lit(lines["words"]), F.array_join(common, ", "))), F.when(marks != "", F.concat(F.lit(lines["marks"]), marks)), F.when(suspect, lines["doubt"]))
+    return F.when(told != "", F.concat(F.lit("\n"), told, F.lit("\n"))).otherwise(F.lit("\n"))
 
 
 def report(flagged: DataFrame) -> DataFrame:

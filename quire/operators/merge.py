@@ -22,9 +22,9 @@ def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(absent(new.dropDuplicates(keys), old, keys))
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Last write wins, whatever the times say."""
-    return absent(old, new, keys).unionByName(new)
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Last write wins: of several new rows of a key the last by order, against old rows a new one whatever the order says."""
+    return absent(old, new, keys).unionByName(latest(new, keys, order))
 
 
 def upserted_if_newer(old: DataFrame, new: DataFrame, keys: list[str], time: str) -> DataFrame:
@@ -75,10 +75,12 @@ def ingested(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 def synced(snippets: DataFrame, payload: DataFrame, emails: DataFrame) -> DataFrame:
     """Snippets after a one-directional review sync: a final text where there is none yet, else a working text.
 
-    payload: snippet_id, working_text, final_text, finalized_by_email; emails: email, uid of the payload's own people.
-    applied is finalized, working or none."""
-    s, p = snippets.alias("s"), payload.alias("p")
-    who = emails.select(F.lower(F.trim("email")).alias("email"), F.col("uid").alias("by_uid"))
+    payload: snippet_id, working_text, final_text, finalized_by_email; of rows that repeat a snippet one counts, a final
+    text before a working one, then the greatest. emails: email, uid of the payload's own people, the least uid of an
+    email. Snippets that aren't known are skipped. applied is finalized, working or none."""
+    has_final = payload.withColumn("_has", F.coalesce(F.col("final_text") != "", F.lit(False)))
+    s, p = snippets.alias("s"), latest(has_final, ["snippet_id"], ["_has", "final_text", "working_text", "finalized_by_email"]).drop("_has").alias("p")
+    who = emails.groupBy(F.lower(F.trim("email")).alias("email")).agg(F.min("uid").alias("by_uid"))
     rows = s.join(p, F.col("s.snippet_id") == F.col("p.snippet_id"), "left").join(who.alias("w"), F.lower(F.trim(F.col("p.finalized_by_email"))) == F.col("w.email"), "left")
     final = F.col("s.final_text").isNull() & F.coalesce(F.col("p.final_text") != "", F.lit(False))
     working = ~final & F.col("s.final_text").isNull() & F.coalesce(F.col("p.working_text") != "", F.lit(False)) & ~F.col("p.working_text").eqNullSafe(F.col("s.working_text"))
@@ -91,6 +93,14 @@ def synced(snippets: DataFrame, payload: DataFrame, emails: DataFrame) -> DataFr
     )
 
 
+def sync_counters(done: DataFrame, payload: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """One row: texts applied in done (see synced), snippets of the payload that aren't known, suggestions sent for known ones."""
+    texts = done.agg(F.count_if(F.col("applied") == "finalized").alias("finalizations_applied"), F.count_if(F.col("applied") == "working").alias("working_text_applied"))
+    skipped = absent(payload, done, ["snippet_id"]).agg(F.count("*").alias("skipped"))
+    sent = suggestions.join(done.select("snippet_id").distinct(), "snippet_id", "left_semi").agg(F.count("*").alias("suggestions_applied"))
+    return texts.crossJoin(F.broadcast(skipped)).crossJoin(F.broadcast(sent))  # one row each
+
+
 def cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Both tables without the rows of doomed keys."""
     return parents.join(doomed, key, "left_anti"), children.join(doomed, key, "left_anti")

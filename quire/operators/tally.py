@@ -71,8 +71,14 @@ def approval_plan(tallies: DataFrame) -> DataFrame:
     return todo.select("snippet_id", "book_id", "page_index", F.col("working_text").alias("before"), apply_changes("working_text", slim).alias("after"), F.size("plan").cast("long").alias("changes_applied"))
 
 
-def word_marks(word_changes: DataFrame) -> DataFrame:
-    """The most agreed change on each base word of (snippet_id, start, end, replacement, count); of equal ones the first
-    in tally order. Insertions mark no word."""
-    rows = word_changes.where("end > start").select("*", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("word"))
-    return rows.groupBy("snippet_id", "word").agg(F.max("count").alias("count"))
+def word_marks(changes: DataFrame) -> DataFrame:
+    """(snippet_id, place, insertion, count, hot, marks) of groups(): on each base word the change that most agree on, of
+    equal ones the first in tally order; before a word (or behind the last one) all insertions there, in tally order."""
+    order = F.struct(-F.col("count"), -F.col("guests"), "start", "first")
+    mark = F.struct(order.alias("o"), F.col("count").alias("count"), F.concat_ws(" > ", "original", "replacement").alias("text"))
+    words = changes.where("end > start").select("snippet_id", mark.alias("m"), F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("place"))
+    best = words.groupBy("snippet_id", "place").agg(F.min("m").alias("m"))
+    best = best.select("snippet_id", "place", F.lit(False).alias("insertion"), F.col("m.count").alias("count"), F.array("m.text").alias("marks"))
+    new = changes.where("end = start").groupBy("snippet_id", F.col("start").alias("place")).agg(F.array_sort(F.collect_list(mark)).alias("l"))
+    new = new.select("snippet_id", "place", F.lit(True).alias("insertion"), F.array_max("l.count").alias("count"), F.col("l.text").alias("marks"))
+    return best.unionByName(new).withColumn("hot", F.col("count") >= ATTENTION)

@@ -75,7 +75,7 @@ def p12(t):
     return catalog.described(joined(t), queue(t)).select("id", "has_kosha", "can_queue", "queue_status", "queue_item_id")
 
 
-@query("P19_target_labels", "SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) || ' local' AS label FROM pages")
+@query("P19_target_labels", "SELECT page_id, coalesce(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 2), ''), url) || ' + local storage' AS label FROM pages")
 def p19(t):
     return t.raw("pages").select("page_id", links.target_label(F.col("url"), F.lit("local")).alias("label"))
 

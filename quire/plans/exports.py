@@ -58,11 +58,11 @@ def u1(t):
     return combined(runs).select("doc_id", "run")
 
 
-@query("U2_replace_page", "SELECT doc_id, CASE WHEN page_number % 3 = 1 THEN 'again' ELSE 'first' END AS pass FROM v_snippets WHERE book_id = 'src0' AND (page_number % 3 <> 1 OR side = 'L')")
+@query("U2_replace_page", "SELECT doc_id, CASE WHEN page_number % 3 = 1 THEN 'again' ELSE 'first' END AS pass FROM v_snippets WHERE page_number % 3 <> 1 OR side = 'L'")
 def u2(t):
-    old = t.snippets.where("book_id = 'src0'").select("page_number", "side", "seq", "doc_id", F.lit("first").alias("pass"))
+    old = t.snippets.select("book_id", "page_number", "side", "seq", "doc_id", F.lit("first").alias("pass"))
     new = old.where("page_number % 3 = 1 AND side = 'L'").withColumn("pass", F.lit("again"))
-    return merge.replaced(old, new, ["page_number"]).select("doc_id", "pass")
+    return merge.replaced(old, new, ["book_id", "page_number"]).select("doc_id", "pass")
 
 
 @query("U3_replace_record", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'again' ELSE 'first' END AS pass FROM v_snippets")
@@ -107,9 +107,10 @@ def sk9(t):
     return report_rows(flags(t.readings, LATIN))
 
 
-@query("J17_word_bags", r"SELECT doc_id, len(list_distinct(list_intersect(regexp_extract_all(e, '\S+'), regexp_extract_all(t, '\S+')))) AS common FROM v_readings WHERE complete")
+@query("J17_word_bags", r"""SELECT doc_id, len(list_distinct(list_concat(list_concat(list_intersect(a, b), list_intersect(a, c)), list_intersect(b, c)))) AS common
+FROM (SELECT doc_id, regexp_extract_all(coalesce(e, ''), '\S+') AS a, regexp_extract_all(t, '\S+') AS b, regexp_extract_all(coalesce(s, ''), '\S+') AS c FROM v_readings WHERE complete)""")
 def j17(t):
-    from quire.functions.text import words
+    from quire.functions.text import consensus
 
-    common = F.array_intersect(F.array_distinct(words(F.col("easyocr.text"))), F.array_distinct(words(F.col("tesseract.text"))))
+    common = consensus(*[F.col(f"{e}.text") for e in ("easyocr", "tesseract", "surya")])
     return t.readings.where("easyocr IS NOT NULL").select("doc_id", F.size(common).cast("long").alias("common"))

@@ -279,7 +279,7 @@ def halves(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query("J13_upsert_last_write", f"SELECT coalesce(n.snippet_id, o.snippet_id) AS snippet_id, coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.id, o.id) AS id FROM {HALVES.format(0)} o FULL JOIN {HALVES.format(1)} n ON n.snippet_id = o.snippet_id AND n.user_id = o.user_id")
 def j13(t):
-    return merge.upserted(*halves(t), ["snippet_id", "user_id"]).select("snippet_id", "user_id", "id")
+    return merge.upserted(*halves(t), ["snippet_id", "user_id"], ["ts", "id"]).select("snippet_id", "user_id", "id")
 
 
 @query("J14_upsert_if_newer", f"SELECT coalesce(n.snippet_id, o.snippet_id) AS snippet_id, coalesce(n.user_id, o.user_id) AS user_id, CASE WHEN o.id IS NULL OR n.ts > o.ts THEN n.id ELSE o.id END AS id FROM {HALVES.format(0)} o FULL JOIN {HALVES.format(1)} n ON n.snippet_id = o.snippet_id AND n.user_id = o.user_id")
@@ -298,7 +298,7 @@ def j18(t):
     return library.positions(t.snippets, ["doc_id"]).select("book_id", "snippet_id", "prev", "next")
 
 
-@query("W1_page_index", "SELECT doc_id, page_index FROM v_snippets")
+@query("W1_page_index", "SELECT doc_id, dense_rank() OVER (PARTITION BY book_id ORDER BY page_number, side) AS page_index FROM v_snippets")
 def w1(t):
     return t.snippets.select("doc_id", F.dense_rank().over(W.partitionBy("book_id").orderBy("page_number", "side")).alias("page_index"))
 
@@ -353,7 +353,7 @@ def states(t: Tables) -> DataFrame:
 
 @query("ST1_consensus", CONSENSUS + "SELECT doc_id, status, final_text, accepted, rejected FROM states")
 def st1(t):
-    return states(t).drop("reviewers")
+    return states(t).drop("reviewers", "pending_by")
 
 
 @query("A11_status_histogram", CONSENSUS + "SELECT status, count(*) AS n FROM states GROUP BY 1")
@@ -366,10 +366,10 @@ def a11b(t):
     return consensus.done_of(states(t))
 
 
-@query("L4_next_for_reviewer", CONSENSUS + """SELECT doc_id, status, CASE status WHEN 'needs_expert' THEN 1 WHEN 'awaiting_second_review' THEN 2 ELSE 3 END AS tier FROM states
-WHERE status IN ('needs_expert', 'pending') OR status = 'awaiting_second_review' ORDER BY tier, doc_id LIMIT 1""")
+@query("L4_next_for_reviewer", CONSENSUS + """SELECT doc_id, status, CASE status WHEN 'needs_expert' THEN 1 WHEN 'awaiting_second_review' THEN 2 ELSE 3 END AS tier FROM states JOIN (SELECT doc_id, max(e.ts) AS changed FROM v_texts e JOIN v_users u ON u.id = e.user_id GROUP BY 1) USING (doc_id)
+WHERE status IN ('needs_expert', 'pending') OR (status = 'awaiting_second_review' AND pr <> 'u1') ORDER BY tier, changed, doc_id LIMIT 1""")
 def l4(t):
-    rows = states(t).withColumns({"pending_by": F.lit("nobody"), "updated_at": F.lit(0), "seed_no": F.col("doc_id")})
+    rows = states(t).join(t.review_events.groupBy("doc_id").agg(F.max("ts").alias("updated_at")), "doc_id").withColumn("seed_no", F.col("doc_id"))
     return consensus.next_for(rows, "u1").select("doc_id", "status", "tier")
 
 
@@ -454,10 +454,11 @@ def st8(t):
     return merge.synced(t.snippets, *payload(t))
 
 
-@query("A21_sync_counters", SYNC + "SELECT count(*) FILTER (applied = 'finalized') AS finalized_applied, count(*) FILTER (applied = 'working') AS working_text_applied FROM syn")
+@query("A21_sync_counters", SYNC + "SELECT count(*) FILTER (applied = 'finalized') AS finalizations_applied, count(*) FILTER (applied = 'working') AS working_text_applied, (SELECT count(*) FROM pay WHERE doc_id % 4 = 0) AS skipped, (SELECT count(*) FROM v_suggestions) AS suggestions_applied FROM syn")
 def a21(t):
-    done = F.col("applied")
-    return merge.synced(t.snippets, *payload(t)).agg(F.count_if(done == "finalized").alias("finalized_applied"), F.count_if(done == "working").alias("working_text_applied"))
+    sent, emails = payload(t)
+    unknown = sent.where("final_text <> ''").withColumn("snippet_id", F.concat(F.lit("gone:"), "snippet_id"))
+    return merge.sync_counters(merge.synced(t.snippets, sent, emails), sent.unionByName(unknown), t.suggestions)
 
 
 @query("ST9_versions", f"SELECT book_id, 'export' AS source, count(*) AS n_snippets {TOUCHED} GROUP BY 1")
@@ -497,9 +498,9 @@ def f6(t):
     return consensus.queue_state(t.queue_events, "item_id", ["ts", "event_id"]).where("active").select("item_id")
 
 
-@query("F7_L5_next_pending", "SELECT item_id, status FROM v_items WHERE status IN ('queued', 'approved') ORDER BY item_id LIMIT 1")
+@query("F7_L5_next_pending", "SELECT item_id, status FROM v_items WHERE status IN ('queued', 'downloading', 'downloaded', 'rasterizing', 'approved', 'ocr_running') ORDER BY item_id LIMIT 1")
 def f7(t):
-    return consensus.queue_state(t.queue_events, "item_id", ["ts", "event_id"]).where(F.col("status").isin("queued", "approved")).orderBy("item_id").limit(1).select("item_id", "status")
+    return consensus.queue_state(t.queue_events, "item_id", ["ts", "event_id"]).where(F.col("status").isin(*consensus.PENDING)).orderBy("item_id").limit(1).select("item_id", "status")
 
 
 @query("F8_unpublished", "SELECT item_id, status = 'failed' OR status IS NULL AS local_todo, status IN ('queued', 'awaiting_review') AS web_todo FROM v_items")
@@ -539,17 +540,23 @@ def tx10(t):
     return rows.select("snippet_id", "g.start", "g.end", "g.replacement")
 
 
-@query("TX11_approval_plan", """SELECT s.snippet_id, s.book_id, s.page_index, s.working_text AS before,
-coalesce(array_to_string(list_transform(s.w, lambda x, i: coalesce(map_extract_value(m.fix, i - 1), x)), ' '), s.working_text) AS after, coalesce(m.k, 0) AS changes_applied
-FROM v_state s LEFT JOIN (SELECT s.snippet_id, map(list(g.start::BIGINT), list(g.replacement)) AS fix, count(*) AS k FROM v_state s JOIN v_groups g USING (snippet_id) WHERE s.final_text IS NULL AND g.n >= 2 AND g.n > s.confirms_reviewers GROUP BY 1) m USING (snippet_id) WHERE s.final_text IS NULL""")
+@query("TX11_approval_plan", """, ok AS (SELECT s.snippet_id, g.start, g."end", g.replacement, row_number() OVER (PARTITION BY s.snippet_id, g.start, g."end" ORDER BY g.n DESC, g.guests DESC, first_ts, first_id) AS k
+  FROM v_state s JOIN v_groups g USING (snippet_id) WHERE s.final_text IS NULL AND g.n >= 2 AND g.n > s.confirms_reviewers),
+fixes AS (SELECT snippet_id, count(*) AS k, map(list(start::BIGINT) FILTER (k = 1 AND "end" > start), list(replacement) FILTER (k = 1 AND "end" > start)) AS fix,
+  map(list(start::BIGINT) FILTER ("end" = start), list(replacement) FILTER ("end" = start)) AS ins FROM ok GROUP BY 1)
+SELECT s.snippet_id, s.book_id, s.page_index, s.working_text AS before, coalesce(array_to_string(list_transform(s.w, lambda x, i:
+  coalesce(map_extract_value(ins, i - 1) || CASE WHEN coalesce(map_extract_value(fix, i - 1), x) = '' THEN '' ELSE ' ' END, '') || coalesce(map_extract_value(fix, i - 1), x)), ' '), s.working_text) AS after,
+coalesce(m.k, 0) AS changes_applied FROM v_state s LEFT JOIN fixes m USING (snippet_id) WHERE s.final_text IS NULL""")
 def tx11(t):
     return tally.approval_plan(state(t))
 
 
-@query("TX21_word_marks", 'SELECT snippet_id, word, max(n) AS "count" FROM (SELECT snippet_id, n, unnest(range(start, "end"))::INT AS word FROM v_groups) GROUP BY ALL')
+@query("TX21_word_marks", """SELECT snippet_id, place, insertion, "count", "count" >= 2 AS hot, marks FROM (
+SELECT snippet_id, place, false AS insertion, n AS "count", original || ' > ' || replacement AS marks FROM (SELECT *, unnest(range(start, "end"))::INT AS place FROM v_groups)
+  QUALIFY row_number() OVER (PARTITION BY snippet_id, place ORDER BY n DESC, guests DESC, start, first_ts, first_id) = 1
+UNION ALL SELECT snippet_id, start, true, max(n), string_agg(original || ' > ' || replacement, ' | ' ORDER BY n DESC, guests DESC, first_ts, first_id) FROM v_groups WHERE start = "end" GROUP BY snippet_id, start)""")
 def tx21(t):
-    groups = tally.groups(tally.each_change(t.snippets, t.suggestions, t.users))
-    return tally.word_marks(groups.select("snippet_id", "start", "end", "replacement", "count"))
+    return tally.word_marks(tally.groups(tally.each_change(t.snippets, t.suggestions, t.users))).select("snippet_id", "place", "insertion", "count", "hot", F.array_join("marks", " | ").alias("marks"))
 
 
 BOOK = r"""SELECT book_id, trim(coalesce(string_agg(line, chr(10) ORDER BY page_index, seq, snippet_id), ''), chr(10) || ' ') || chr(10) AS text FROM (

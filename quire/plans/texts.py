@@ -40,13 +40,13 @@ def p15(t):
     return t.raw("orders").select("o_orderkey", T.minted_name(F.col("o_orderdate"), (F.col("o_orderkey") % 10000).cast("int"), F.lit("P")).alias("name"))
 
 
-@query("P16_image_urls", "SELECT s.doc_id, CASE WHEN s.doc_id % 3 = 0 THEN 'https://files.example/' || k ELSE NULL END AS url FROM (SELECT doc_id, 'books/' || book_id || '/pages/' || page_number || side || '.webp' AS k FROM v_snippets) s")
+@query("P16_image_urls", "SELECT s.doc_id, CASE WHEN s.page_number % 3 = 0 THEN 'https://files.example/' || k ELSE NULL END AS url FROM (SELECT doc_id, page_number, 'books/' || book_id || '/pages/' || page_number || side || '.webp' AS k FROM v_snippets) s")
 def p16(t):
     stem = F.concat(F.col("page_number").cast("string"), F.col("side"), F.lit(".tif"))
     key = F.concat(F.lit("books/"), "book_id", F.lit("/pages/"), F.regexp_replace(stem, r"\.tif$", ".webp"))
-    asked = t.snippets.select("doc_id", key.alias("key"))
-    manifest = asked.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("https://files.example/"), "key").alias("url"))
-    return asked.join(manifest, "doc_id", "left").select("doc_id", "url")
+    asked = t.snippets.select("doc_id", "page_number", key.alias("key"))
+    manifest = asked.where("page_number % 3 = 0").select("key", F.concat(F.lit("https://files.example/"), "key").alias("url")).distinct()
+    return asked.join(manifest, "key", "left").select("doc_id", "url")
 
 
 @query("P20_ago", """SELECT event_id, CASE WHEN s IS NULL THEN 'never' WHEN m < 2 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 2880 THEN CAST(floor(m / 60.0 + 0.5) AS BIGINT) || ' h ago' ELSE CAST(floor(m / 1440.0 + 0.5) AS BIGINT) || ' days ago' END AS ago
@@ -70,7 +70,7 @@ FOREIGN = r"length(regexp_replace(s, '[\s\x1C-\x1F।॥|/Il.,:;\-—''\x22()\[\
 
 
 @query("TX2_flags", """SELECT doc_id, CASE WHEN complete THEN len(list_distinct([ne, nt, ns])) > 1 END AS disagreement, CASE WHEN complete THEN len(list_distinct([ne, nt, ns])) < 3 END AS majority_agreement,
-CASE WHEN complete THEN conf < 0.90::DOUBLE OR coalesce(s_conf < 0.90::DOUBLE, false) END AS low_confidence FROM v_readings""")
+CASE WHEN complete THEN conf < 0.90::DOUBLE OR coalesce(s_conf < 0.90::DOUBLE, false) OR doubtful END AS low_confidence FROM v_readings""")
 def tx2(t):
     return ensemble.flags(t.readings, T.LATIN).select("doc_id", "disagreement", "majority_agreement", "low_confidence")
 
@@ -145,10 +145,10 @@ def a16(t):
     return ensemble.report(ensemble.flags(t.readings, T.LATIN))
 
 
-@query("A19_mean_confidence", "SELECT page_number, coalesce(avg(s_conf), 0.0::DOUBLE) > 0.0::DOUBLE AS known, count(s_conf) AS n FROM v_readings GROUP BY 1")
+@query("A19_mean_confidence", "SELECT page_number, coalesce(round(avg(s_conf), 6), 0.0::DOUBLE) AS mean, count(s_conf) AS n FROM v_readings GROUP BY 1")
 def a19(t):
     c = F.col("surya.avg_confidence")
-    return t.readings.groupBy("page_number").agg((F.coalesce(F.avg(c), F.lit(0.0)) > 0).alias("known"), F.count(c).alias("n"))
+    return t.readings.groupBy("page_number").agg(F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias("mean"), F.count(c).alias("n"))
 
 
 @query("S1_S2_ages", "SELECT event_id, datediff('second', date_trunc('second', ts), TIMESTAMP '2030-01-01') AS age, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM events", views=False)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Words of a document that make its snippet.
-SNIPPET_WORDS = 12
+#: A document is a page; every so many of its words, to the last one, are a snippet.
+SNIPPET_WORDS = 100
+#: Words of a snippet that the review actions edit, and the one that a finalised text has changed.
+EDITED = (0, 33, 66)
+#: A snippet's number is its document's id times this, plus its place in the document.
+PLACES = 1 << 20
 # Market segments stand for roles, event types for queue states.
 ROLES = {"MACHINERY": "guest", "BUILDING": "reviewer", "AUTOMOBILE": "editor", "HOUSEHOLD": "admin", "FURNITURE": "superadmin"}
 STATES = {"signup": "queued", "view": "awaiting_review", "click": "approved", "purchase": "done", "error": "failed"}
@@ -22,9 +25,21 @@ def _lookup(column: str, values: dict[str, str]):
     return out
 
 
-def replaced(text, position, word):
-    """text (words parted by one blank) with the word at position replaced."""
-    return F.array_join(F.transform(F.split(text, " "), lambda x, i: F.when(i == position, word).otherwise(x)), " ")
+def replaced(text, position, words):
+    """text (words parted by one blank) with the word at position replaced by words, an array of any length."""
+    each = F.transform(F.split(text, " "), lambda x, i: F.when(i == position, words(x)).otherwise(F.array(x)))
+    return F.array_join(F.flatten(each), " ")
+
+
+def edited(text, kind, position):
+    """text with one word changed: replaced, put before, left out, or replaced by two lines."""
+    p = position.cast("string")
+    fix, new, more = (F.concat(F.lit(w), p) for w in ("fix", "new", "more"))
+    ways = [lambda x: F.array(fix), lambda x: F.array(new, x), lambda x: F.array().cast("array<string>"), lambda x: F.array(F.concat(fix, F.lit("\n"), more))]
+    out = F.lit(None).cast("string")
+    for i, way in enumerate(ways):
+        out = F.when(kind == i, replaced(text, position, way)).otherwise(out)
+    return out
 
 
 class Tables:
@@ -39,25 +54,32 @@ class Tables:
         source = F.col("source")
         return self.raw("documents").select(source.alias("book_id")).distinct().select("book_id", F.concat(F.lit("Title "), "book_id").alias("title"), (F.substring("book_id", 4, 10).cast("int") % 7 == 6).alias("hidden"))
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        """(doc, source, words, places): all words of each document and how many snippets they make, one at least."""
+        words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+        docs = self.raw("documents").select(F.col("doc_id").alias("doc"), "source", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+        return docs.withColumn("places", F.greatest(F.lit(1), F.ceil(F.size("words") / SNIPPET_WORDS)).cast("int"))
+
     @cached_property
     def snippets(self) -> DataFrame:
-        nth = (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("int")
-        head = F.regexp_extract("text", rf"^\s*((?:\S+\s+){{0,{SNIPPET_WORDS - 1}}}\S+)", 1)
-        docs = self.raw("documents").select("doc_id", "source", F.filter(F.split(head, r"\s+"), lambda x: x != "").alias("w")).withColumn("rn", nth)
-        ai = F.array_join(F.transform("w", lambda x, i: F.concat(i.cast("string"), F.lit("_"), x)), " ")
-        rows = docs.select(
-            "doc_id", F.col("source").alias("book_id"), (F.floor(F.col("rn") / 5) + 1).cast("int").alias("page_number"),
-            F.when(F.col("rn") % 5 < 3, "L").otherwise("R").alias("side"), (F.col("rn") % 5).alias("seq"), ai.alias("ai_text"),
+        """Snippets of whole documents. doc_id is the snippet's number; no rank over a book is needed for any column."""
+        rows = self.lines.select("doc", "source", "words", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+        own = F.slice("words", F.col("place") * SNIPPET_WORDS + 1, SNIPPET_WORDS)
+        ai = F.array_join(F.transform(own, lambda x, i: F.concat(i.cast("string"), F.lit("_"), x)), " ")
+        right = F.col("place") % 2
+        docs = rows.select(
+            "doc", (F.col("doc") * PLACES + F.col("place")).alias("doc_id"), F.col("source").alias("book_id"), (F.col("doc") + 1).cast("int").alias("page_number"),
+            F.when(right == 0, "L").otherwise("R").alias("side"), F.floor(F.col("place") / 2).cast("int").alias("seq"), (F.col("doc") * 2 + right).cast("int").alias("page_index"), ai.alias("ai_text"),
         )
-        labels = self.raw("labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
-        rows = rows.join(labels, "doc_id", "left")
-        spot = (F.col("doc_id") % SNIPPET_WORDS).cast("int")
-        fixed = F.when(F.col("t") == 1, replaced(F.col("ai_text"), spot, F.concat(F.lit("fix"), spot.cast("string")))).otherwise(F.col("ai_text"))
+        labels = self.raw("labels").groupBy(F.col("doc_id").alias("doc")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+        docs = docs.join(labels, "doc", "left")
+        spot = F.element_at(F.array(*[F.lit(p + 1) for p in EDITED]), (F.col("doc") % 3 + 1).cast("int"))
+        fixed = F.when(F.col("t") == 1, replaced(F.col("ai_text"), spot, lambda x: F.array(F.concat(F.lit("fix"), spot.cast("string"))))).otherwise(F.col("ai_text"))
         final = F.when(F.col("q") == 1, fixed)
-        page_index = F.dense_rank().over(W.partitionBy("book_id").orderBy("page_number", "side")).cast("int")
-        return rows.select(
-            F.concat_ws(":", "book_id", "page_number", "side", "seq").alias("snippet_id"), "doc_id", "book_id", "page_number", "side", "seq", page_index.alias("page_index"), "ai_text",
-            F.coalesce(final, "ai_text").alias("working_text"), final.alias("final_text"), F.when(final.isNotNull(), F.concat(F.lit("u"), (F.col("doc_id") % 100 + 1).cast("string"))).alias("finalized_by"),
+        return docs.select(
+            F.concat_ws(":", "book_id", "page_number", "side", "seq").alias("snippet_id"), "doc_id", "book_id", "page_number", "side", "seq", "page_index", "ai_text",
+            F.coalesce(final, "ai_text").alias("working_text"), final.alias("final_text"), F.when(final.isNotNull(), F.concat(F.lit("u"), (F.col("doc") % 100 + 1).cast("string"))).alias("finalized_by"),
         )
 
     @cached_property
@@ -71,13 +93,16 @@ class Tables:
 
     @cached_property
     def actions(self) -> DataFrame:
-        """Review actions: events on snippets, three in twenty-one snippets left untouched."""
-        n = self.raw("documents").agg(F.count("*").alias("n_docs"))
-        events = self.raw("events").crossJoin(F.broadcast(n)).select("event_id", "ts", "user_id", (F.col("event_id") % F.col("n_docs")).alias("doc_id"), F.when(F.col("event_type").isin("click", "view"), "confirm").otherwise("edit").alias("kind"), (F.get_json_object("props", "$.k").cast("int") % SNIPPET_WORDS).alias("p"))
-        texts = self.snippets.select("doc_id", "snippet_id", "book_id", "ai_text")
-        rows = events.where(F.col("doc_id") % 7 != 3).join(texts, "doc_id")
-        edit = replaced(F.col("ai_text"), F.col("p"), F.concat(F.lit("fix"), F.col("p").cast("string")))
-        return rows.select("event_id", "ts", "doc_id", "snippet_id", "book_id", "user_id", "kind", F.when(F.col("kind") == "edit", edit).alias("text"), "ai_text")
+        """Review actions: all events, dealt to the documents and in turn to each one's snippets; later snippets of long documents stay untouched."""
+        n = self.raw("documents").agg(F.count("*").alias("n"))
+        turn = F.floor(F.col("event_id") / F.col("n"))
+        spot = F.element_at(F.array(*map(F.lit, EDITED)), (F.get_json_object("props", "$.k").cast("int") % 3 + 1).cast("int"))
+        kind = F.when(F.col("event_type").isin("click", "view"), "confirm").otherwise("edit")
+        events = self.raw("events").crossJoin(F.broadcast(n)).select("event_id", "ts", "user_id", (F.col("event_id") % F.col("n")).alias("doc"), turn.alias("turn"), kind.alias("kind"), spot.alias("p"))
+        at = events.join(self.lines.select("doc", "places"), "doc").withColumn("doc_id", F.col("doc") * PLACES + F.col("turn") % F.col("places"))
+        rows = at.join(self.snippets.select("doc_id", "snippet_id", "book_id", "ai_text"), "doc_id")
+        text = F.when(F.col("kind") == "edit", edited(F.col("ai_text"), F.col("event_id") % 4, F.col("p")))
+        return rows.select("event_id", "ts", "doc_id", "snippet_id", "book_id", "user_id", "kind", text.alias("text"), "ai_text")
 
     @cached_property
     def suggestions(self) -> DataFrame:
@@ -96,10 +121,12 @@ class Tables:
         d, ai = F.col("doc_id"), F.col("ai_text")
         words = F.split(ai, " ")
         shorter = F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " ")
-        confidence = F.lit(0.80) + (d % 20) / F.lit(100.0)
+        confidence = F.lit(0.80) + (F.shiftright(d, 20) % 20) / F.lit(100.0)
         easy = F.when(d % 3 == 0, shorter).otherwise(F.replace(ai, F.lit(" "), F.lit("  ")))
         surya = F.when(d % 17 == 0, "").when(d % 13 == 0, F.repeat(F.concat(ai, F.lit(" ")), 30)).otherwise(ai)
-        reading = lambda text, c: F.struct(text.alias("text"), c.alias("avg_confidence"))
+        # a word's confidence differs from word to word, so that a good mean can hide a doubtful word
+        each = F.transform(words, lambda x, i: F.when((d + i) % 97 == 0, 0.5).otherwise(0.99))
+        reading = lambda text, c: F.struct(text.alias("text"), c.alias("avg_confidence"), each.alias("word_confidences"))
         full = d % 5 != 4
         return s.withColumns({"easyocr": F.when(full, reading(easy, confidence)), "tesseract": reading(ai, confidence), "surya": F.when(full, reading(surya, F.when(d % 19 != 0, confidence))), "refined_text": F.when(d % 4 == 0, ai).when(d % 4 == 1, F.lit(""))}).drop("ai_text")
 

@@ -56,7 +56,7 @@ def test_upserts(spark):
     new = spark.createDataFrame([(1, "new", 5), (2, "new", 6), (3, "new", 1)], "k int, v string, t int")
     as_dict = lambda df: {r["k"]: r["v"] for r in df.collect()}
     assert as_dict(merge.upserted_if_newer(old, new, ["k"], "t")) == {1: "old", 2: "new", 3: "new"}
-    assert as_dict(merge.upserted(old, new, ["k"])) == {1: "new", 2: "new", 3: "new"}
+    assert as_dict(merge.upserted(old, new, ["k"], ["t"])) == {1: "new", 2: "new", 3: "new"}
     assert as_dict(merge.inserted(old, new, ["k"])) == {1: "old", 2: "old", 3: "new"}
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from quire.plans import registry
 
-SMALL = "/root/testdata/sf0.001"
+SMALL = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = """A1_library_progress A3_contributor_stats A7_top_approved A12_facets F1_search F17_J16_permissions J1_catalog_star J14_upsert_if_newer L4_next_for_reviewer
 P12_J9_described ST1_consensus ST3_publish_state ST7_ingest ST8_review_sync TX2_flags TX4_consensus_words TX8_word_diff TX11_approval_plan TX12_book_text TX21_word_marks IM5_runs U2_replace_page W1_page_index""".split()
