@@ -24,10 +24,12 @@ BLOCK_BYTES = 1 << 18
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; a local one is set only where the session has none."""
+    """The shared folder for cut lineage. Only a local session may lack one and gets a temporary folder."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="quire-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
