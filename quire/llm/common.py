@@ -197,6 +197,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def plainly_named(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """Columns of docs under names without special characters (text keeps its own), for functions over batches, and these names."""
+    inner = [c if c == "text" else f"_c{i}" for i, c in enumerate(names)]
+    return docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(names, inner, strict=True)]), inner
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

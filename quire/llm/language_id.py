@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import pieces, quoted, record, small_batches, text_bytes
+from quire.llm.common import pieces, plainly_named, record, small_batches, text_bytes
 
 SAMPLE_DOCS = 4000
 SAMPLE_STRIPS = 8
@@ -224,6 +224,7 @@ def predicted(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("l
     small_batches(docs.sparkSession)
     new = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     kept = [f for f in docs.schema.fields if f.name not in names]
+    rows, inner = plainly_named(docs, [f.name for f in kept])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,9 +237,9 @@ def predicted(docs: DataFrame, net: Network | None, names: tuple[str, str] = ("l
                     best = p.argmax(axis=1)
                     best_of[letters] = np.array(net.languages, dtype=object)[best[letters]]
                     scores[letters] = np.clip(p[np.arange(len(p)), best], 0, 1)[letters]
-                yield record([*(f.name for f in kept), *names], [*(part.column(f.name) for f in kept), pa.array(best_of.tolist(), pa.string()), scores])
+                yield record([*(f.name for f in kept), *names], [*(part.column(c) for c in inner), pa.array(best_of.tolist(), pa.string()), scores])
 
-    return docs.select(*[F.col(quoted(f.name)) for f in kept]).mapInArrow(predict, T.StructType(kept + new))
+    return rows.mapInArrow(predict, T.StructType(kept + new))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import pieces, quoted, record, small_batches
+from quire.llm.common import pieces, plainly_named, record, small_batches
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ASSIGN_LEAST = 6
@@ -114,6 +113,7 @@ def scanned(docs: DataFrame, allow: tuple[tuple[bytes, bool], ...] = ALLOWED, re
     new = [(prefix + n, t) for n, t in (("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()))]
     kept = [f for f in docs.schema.fields if f.name not in dict(new)]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in new])
+    rows, inner = plainly_named(docs, [f.name for f in kept])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = [(re.compile(a), whole) for a, whole in allow]
@@ -139,7 +139,7 @@ def scanned(docs: DataFrame, allow: tuple[tuple[bytes, bool], ...] = ALLOWED, re
                 counts[kind, i] += 1
                 bases[i].append(name)
             cuts.setdefault(i, []).append((b - begin, e - begin))
-        out = {f.name: part.column(f.name) for f in kept}
+        out = {f.name: part.column(c) for f, c in zip(kept, inner, strict=True)}
         if redact is not None and cuts:
             text = part.column("text").to_pylist()
             for i, own in cuts.items():
@@ -149,7 +149,7 @@ def scanned(docs: DataFrame, allow: tuple[tuple[bytes, bool], ...] = ALLOWED, re
         out |= dict(zip((n for n, _ in new), (*counts, digests, pa.array([",".join(x) for x in spans])), strict=True))
         return record(list(out), list(out.values()))
 
-    return docs.select(*[F.col(quoted(f.name)) for f in kept]).mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)
 
 
 def blanked(text: bytes, cuts: list[tuple[int, int]], by: bytes) -> bytes:

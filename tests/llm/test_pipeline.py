@@ -47,3 +47,49 @@ def test_all_stages_on_nothing(spark):
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_stages_keep_rows_and_columns_of_any_name(spark):
+    """Near duplicates go by row; input columns named as the stages' own, with dots and backticks, come through untouched."""
+    word = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [
+        (3, word("a"), "x1"), (7, word("a"), "x2"), (7, word("b"), "x3"), (9, word("b") + " tail", "x4"),
+        (5, word("c"), "x5"), (5, word("c"), "x5"), (5, word("c"), "x6"), (None, word("d"), "x7"), (4, word("d"), "x8"),
+        (None, word("e"), "x9"), (None, word("e"), "x9"), (11, "", "y1"), (12, None, "y2"), (12, None, "y2"),
+    ]
+    extra = {"spans": "mine", "score": "mine", "n_assign": "mine", "lang_pred": "mine", "copies": "mine", "a.b": "mine", "c`d": "mine", "chunk": "mine", "cid": "mine"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string").withColumns({"lang": P.F.lit("aa"), "source": P.F.lit("s"), "n_chars": P.F.lit(0).cast("long")})
+    for name, value in extra.items():
+        docs = docs.withColumn(name, P.F.lit(value))
+    steps = dict(P.STAGES)
+    two = steps["jaccard_join"](spark, docs, "").collect()
+    kept = sorted((r["tag"] for r in two))
+    assert kept == sorted(["x1", "x3", "x8", "x9", "y1", "y2", "y2"] + [t for t in kept if t in ("x5", "x6")]) and sum(t in ("x5", "x6") for t in kept) == 1
+    for name in ("language_id", "jaccard_join", "secret_scans", "mixing"):
+        out = steps[name](spark, docs, "")
+        assert out.columns == docs.columns
+        assert all(r[c] == "mine" for r in out.collect() for c in extra)
+
+
+def test_mixing_draws_rows_without_id_by_text(spark):
+    from quire.llm import mixing
+
+    docs = spark.createDataFrame([(None, f"w{i} " * 5, "s" if i % 2 else "t") for i in range(400)], "doc_id long, text string, source string")
+    assert len({r["copies"] for r in mixing.copies(docs).where("source = 's'").collect()}) > 1
+
+
+def test_without_duplicates_equals_components(spark):
+    """What stays is the smallest row of each component that the join finds, over random near copies."""
+    from quire.llm import jaccard_join
+
+    rng, base = random.Random(11), [f"b{i}" for i in range(50)]
+    rows = []
+    for i in range(120):
+        w = list(base) if i % 2 else [f"c{i // 10}x{j}" for j in range(40)]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(20)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = jaccard_join.grouped(docs, chunk_words=300).collect()
+    kept = {r["doc_id"] for r in jaccard_join.without_duplicates(docs, chunk_words=300).collect()}
+    assert kept == {r["component_id"] for r in groups}

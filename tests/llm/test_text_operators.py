@@ -334,6 +334,18 @@ def test_redaction_and_allow_list(spark):
     assert got[1] == ("entropy_base64:2:34", "é [X] end") and got[2][0] == got[3][0] == "" and got[4] == ("", None)
 
 
+def test_allowed_words_hide_no_secret_beside_them(spark):
+    key = "qZ8kP2xV9mL4tR7wY1nB6cD3fG5hJ0sA"
+    frame = spark.createDataFrame([(1, f"/sample/{key}"), (2, f"sample{key}"), (3, "SomeVeryLongCamelCaseIdentifierName"), (4, "qZxkPdxVwmLstRswYfnBucDgfGihJtsA")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scanned(frame).collect()}
+    ends = [int(x.split(":")[2]) for i in (1, 2) for x in got[i].split(",")[-1:]]
+    assert ends == [8 + len(key), 6 + len(key)] and got[3] == "" and got[4].startswith("entropy_base64:")
+
+
+def test_letters():
+    assert [language_id.has_letter(t) for t in ("\u00bd", "\u00b2", "12 _", "", None, "\u00bdx", "日")] == [False] * 5 + [True] * 2
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     parts = {"aa": ["lo", "ti", "ra", "me"], "bb": ["schk", "üng", "zer", "pft"], "cc": ["ção", "nho", "ês", "ará"]}
