@@ -190,3 +190,20 @@ def test_refine_falls_back_row_by_row(spark):
     assert got == {1: ("better", "m", None), 2: ("bad", "fallback-no-llm", "ValueError: no answer")}
     prompts = rows.select("id", refine.three_reading_prompt(F.lit(True), F.lit(False)).alias("p"), refine.one_reading_prompt("tesseract").alias("q")).orderBy("id").collect()
     assert "Reading C: (empty)" in prompts[1]["p"] and "good" in prompts[0]["p"] and prompts[1]["q"] is None
+
+
+def test_sync_takes_one_row_of_a_snippet_and_counts_the_rest(spark):
+    snippets = spark.createDataFrame([("a", "w", None, None), ("b", "w", None, None), ("c", "w", "done", "u0")], "snippet_id string, working_text string, final_text string, finalized_by string")
+    sent = spark.createDataFrame([("a", "x", None, None), ("a", "", "fin", " P@x.org"), ("b", "new", None, None), ("b", "new", None, None), ("c", "y", "z", None), ("gone", "y", None, None)], "snippet_id string, working_text string, final_text string, finalized_by_email string")
+    emails = spark.createDataFrame([("p@x.org", "u2"), ("P@x.org ", "u1")], "email string, uid string")
+    done = merge.synced(snippets, sent, emails)
+    got = {r["snippet_id"]: (r["working_text"], r["final_text"], r["finalized_by"], r["applied"]) for r in done.collect()}
+    assert got == {"a": ("fin", "fin", "u1", "finalized"), "b": ("new", None, None, "working"), "c": ("w", "done", "u0", "none")} and done.count() == 3
+    made = spark.createDataFrame([("a",), ("a",), ("gone",)], "snippet_id string")
+    assert merge.sync_counters(done, sent, made).first().asDict() == {"finalizations_applied": 1, "working_text_applied": 1, "skipped": 1, "suggestions_applied": 2}
+
+
+def test_last_of_several_new_rows_wins(spark):
+    old = spark.createDataFrame([(1, "old", 9)], "k int, v string, t int")
+    new = spark.createDataFrame([(1, "first", 1), (1, "last", 2)], "k int, v string, t int")
+    assert [tuple(r) for r in merge.upserted(old, new, ["k"], ["t"]).collect()] == [(1, "last", 2)]
