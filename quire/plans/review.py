@@ -529,7 +529,7 @@ def tx8(t):
     return each.select("suggestion_id", F.explode("changes").alias("c")).select(F.col("suggestion_id").alias("id"), "c.start", "c.end", "c.original", "c.replacement")
 
 
-@query("L6_change_order")
+@query("L6_change_order", "SELECT snippet_id, list(concat_ws('/', n, guests, start, replacement) ORDER BY n DESC, guests DESC, start, first_ts, first_id) AS ordered FROM v_groups GROUP BY 1")
 def l6(t):
     return state(t).where("word_changes IS NOT NULL").select("snippet_id", F.transform("word_changes", lambda g: F.concat_ws("/", g["count"], g["guests"], g["start"], g["replacement"])).alias("ordered"))
 
