@@ -69,6 +69,12 @@ def placed(text: np.ndarray, start: np.ndarray) -> np.ndarray:
     return text.astype(np.int64) << 32 | start
 
 
+def known_runs(doc: np.ndarray, text: np.ndarray, start: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Runs of windows known to be repeated, among candidate windows."""
+    own = mix(doc.view(U64) ^ mix(start.astype(U64)))
+    return record(["h1", "h2", "id", "place"], [signed(own), last.astype(np.int64), doc, placed(text, start) | DIRECT])
+
+
 class Chunk:
     """Candidate windows held by a task until they are deduplicated among themselves."""
 
@@ -90,8 +96,7 @@ class Chunk:
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[head]) | (text != text[head]) | (start != start[head])
-        names = ["h1", "h2", "id", "place"]
-        yield record(names, [signed(h1[new]), signed(h2[new]), doc[new], placed(text[new], start[new])])
+        yield record(["h1", "h2", "id", "place"], [signed(h1[new]), signed(h2[new]), doc[new], placed(text[new], start[new])])
         if later.any():
             doc, text, start = doc[later], text[later], start[later]
             by = np.lexsort((start, text, doc))
@@ -100,8 +105,7 @@ class Chunk:
             new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + 1)
             begin = np.flatnonzero(new)
             end = np.append(begin[1:], len(doc)) - 1
-            own = mix(doc[begin].view(U64) ^ mix(start[begin].astype(U64)))
-            yield record(names, [signed(own), start[end].astype(np.int64), doc[begin], placed(text[begin], start[begin]) | DIRECT])
+            yield known_runs(doc[begin], text[begin], start[begin], start[end])
 
 
 def repeated_windows(keyed: DataFrame, n: int, gram: int, found: Repeats) -> DataFrame:

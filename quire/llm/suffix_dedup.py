@@ -3,24 +3,27 @@
 Of all suffixes of all documents only those at content-selected places are retained: the leftmost of the smallest
 GRAM-word grams in every REACH+GRAM-word stretch. Any passage of at least `least` words that repeats holds such a place
 within its first REACH words in every copy, and so a retained suffix whose next `head` = least - REACH + 1 words are
-in the passage. Suffixes are grouped by the fingerprint of these words (their order among unequal heads doesn't matter
-for equality), and each is compared with the first of its run: smallest document, then earliest place. From equal
-heads the match is extended word by word to the left and to the right, at most REACH - 1 words each way, further words being
-covered from the passage's next retained suffixes. A match of `least` words or more marks its words in the later
-copy as repeated; these are cut out. A head lies in REACH windows of `least` words. Those in which a suffix differs from
-its run's first one may still repeat among the run's other suffixes: in runs of three or more they are grouped by the
-fingerprint of all their words, and all but the first of each group are marked too.
-
-So a word is removed if and only if a window of `least` words over it also starts earlier. A count-min sketch of all heads
-comes first; only suffixes whose head is estimated to occur twice or more are grouped at all. The runs' first suffixes are
-found by an aggregation with map-side combine and joined back by key, a join whose hot keys adaptive execution splits, so
-that no run is ever gathered in one task; of equal windows a task passes on only the first.
+in the passage. The retained suffixes are sorted over all documents, by the fingerprint of the head, then word by word by
+the REACH - 1 words behind it and those before it outwards, then by document and place; words are compared by 64-bit hashes,
+any fixed order of words being as good as another. Each suffix is compared with its neighbour in the sorted array: from equal
+heads the match is extended word by word to the right and to the left, at most REACH - 1 words each way, further words being
+covered from the passage's next retained suffixes. A match of `least` words or more marks its words in the later of the
+two copies as repeated; these are cut out.
+
+A head lies in REACH windows of `least` words. Copies that share one of them need not be neighbours where their words
+differ on one side. So of suffixes with equal heads and surroundings the first stands for all, and what comparing these
+with their neighbours leaves unmarked, in runs of three or more, is grouped by the fingerprint of the window's words; all
+but the first of each group are marked too. A word is removed if and only if a window of `least` words over it also starts
+earlier. Tasks hold ranges of the sorted array, so a hot head is spread over as many tasks as its suffixes need; a run
+that reaches a range's edge may go on in the next one, and its representatives are all grouped. A count-min sketch of all
+heads comes first; only suffixes whose head is estimated to occur twice or more are sorted at all.
 
 Defined results: as in substring_dedup.py for nulls, repeated ids, long texts, empty tables and other columns.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, Block, blocks, mix, record, sequence_hashes, signed, stored
+from quire.llm.common import U64, Block, blocks, mix, record, sequence_hashes, signed
 from quire.llm.sketch import Repeats, repeats
-from quire.llm.substring_dedup import CHUNK_WINDOWS, Chunk, anchors, keys, later_windows, removed
+from quire.llm.substring_dedup import CHUNK_WINDOWS, Chunk, anchors, keys, known_runs, later_windows, removed
 
 LEAST = 50
 REACH = 9
@@ -56,18 +59,14 @@ def suffix_items(least: int, reach: int, gram: int):
     return items
 
 
-#: Bytes of a word's hash in a context; the lowest bit tells it from the end of a text.
-KEPT = 5
-
-
 def contexts(words: np.ndarray, first: np.ndarray, place: np.ndarray, row: np.ndarray, head: int, reach: int) -> pa.Array:
-    """For each place reach-1 words to the left of it and as many behind its head, KEPT bytes each, zeros beyond the text."""
+    """For each place the hashes of reach-1 words behind its head and as many to the left of it outwards, zeros beyond the text."""
     side = reach - 1
-    at = np.concatenate([place[:, None] - 1 - np.arange(side), place[:, None] + head + np.arange(side)], axis=1)
+    at = np.concatenate([place[:, None] + head + np.arange(side), place[:, None] - 1 - np.arange(side)], axis=1)
     known = (at >= first[row][:, None]) & (at < first[row + 1][:, None])
-    h = np.where(known, words[np.clip(at, 0, len(words) - 1)] | np.uint64(1), np.uint64(0))
-    raw = np.ascontiguousarray(h.view(np.uint8).reshape(len(place), 2 * side, 8)[:, :, :KEPT]).ravel()
-    return pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.arange(len(place) + 1, dtype=np.int32) * 2 * side * KEPT), pa.py_buffer(raw)])
+    h = np.where(known, np.maximum(words[np.clip(at, 0, len(words) - 1)], U64(1)), U64(0))
+    raw = np.ascontiguousarray(h).view(np.uint8).ravel()
+    return pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.arange(len(place) + 1, dtype=np.int32) * 16 * side), pa.py_buffer(raw)])
 
 
 def suffixes(keyed: DataFrame, found: Repeats, least: int, reach: int, gram: int) -> DataFrame:
@@ -91,18 +90,42 @@ def suffixes(keyed: DataFrame, found: Repeats, least: int, reach: int, gram: int
     return keyed.mapInArrow(retain, "h1 long, h2 long, id long, th int, place int, context binary")
 
 
-def decoded(column: pa.Array, side: int) -> np.ndarray:
-    """Contexts as numbers, a row for each suffix: its left words outwards, then its right ones, 0 beyond the text."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 2 * side, KEPT)
-    out = np.zeros((len(raw), 2 * side, 8), dtype=np.uint8)
-    out[:, :, :KEPT] = raw
-    return out.view(np.uint64)[:, :, 0]
+#: Columns of a suffix beside its context.
+OWN = ("h1", "h2", "id", "th", "place")
+
+
+class Suffixes:
+    """Rows of the sorted array: OWN's columns, words (behind the head, then before it) and, for each window around the head by
+    its number of words before the head, whether a neighbour has settled that it starts earlier."""
+
+    def __init__(self, columns: dict[str, np.ndarray], words: np.ndarray, settled: np.ndarray) -> None:
+        self.columns, self.words, self.settled = columns, words, settled
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, side: int) -> Suffixes:
+        words = np.frombuffer(b"".join(batch.column("context").to_pylist()), dtype=U64).reshape(-1, 2 * side)
+        return cls({c: batch.column(c).to_numpy() for c in OWN}, words, np.zeros((len(words), side + 1), dtype=bool))
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __getitem__(self, at) -> Suffixes:
+        return Suffixes({c: v[at] for c, v in self.columns.items()}, self.words[at], self.settled[at])
+
+    def then(self, other: Suffixes) -> Suffixes:
+        columns = {c: np.concatenate([v, other.columns[c]]) for c, v in self.columns.items()}
+        return Suffixes(columns, np.concatenate([self.words, other.words]), np.concatenate([self.settled, other.settled]))
+
+    def equal_heads(self) -> np.ndarray:
+        """Whether each row but the first has its predecessor's head."""
+        h1, h2 = self.columns["h1"], self.columns["h2"]
+        return (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
 
 
 def reached(own: np.ndarray, other: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     """Equal words to the left and to the right of equal heads."""
     same = ((own == other) & (own != 0)).astype(np.int32)
-    return np.cumprod(same[:, :side], axis=1).sum(axis=1), np.cumprod(same[:, side:], axis=1).sum(axis=1)
+    return np.cumprod(same[:, side:], axis=1).sum(axis=1), np.cumprod(same[:, :side], axis=1).sum(axis=1)
 
 
 def chained(words: np.ndarray, seed: int) -> np.ndarray:
@@ -113,48 +136,99 @@ def chained(words: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+def marks(rows: Suffixes, left: np.ndarray, right: np.ndarray, side: int) -> Iterator[pa.RecordBatch]:
+    """Rows' words, so many of them beside the head, as repeated where they make up a window."""
+    long = left + right >= side
+    if long.any():
+        ids, th, place = (rows.columns[c][long] for c in ("id", "th", "place"))
+        yield known_runs(ids, th, place - left[long], place - side + right[long])
+
+
+def representatives(rows: Suffixes, side: int) -> tuple[Suffixes, list[pa.RecordBatch]]:
+    """The first of rows with equal heads and surroundings, and the marks of all words around the others' heads."""
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = ~(rows.equal_heads() & (rows.words[1:] == rows.words[:-1]).all(axis=1))
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    # rows that repeat an id and its text are one document
+    other = np.any([rows.columns[c] != rows.columns[c][head] for c in ("id", "th", "place")], axis=0)
+    copies = rows[other]
+    return rows[new], list(marks(copies, *reached(copies.words, copies.words, side), side))
+
+
+def compare_neighbours(rows: Suffixes, since: int, side: int) -> Iterator[pa.RecordBatch]:
+    """Marks, and notes in settled, the windows that neighbours with equal heads share, from row since on with its successor."""
+    at = since + np.flatnonzero(rows.equal_heads()[since:])
+    left, right = reached(rows.words[at], rows.words[at + 1], side)
+    before = np.zeros(len(at), dtype=bool)  # the successor's copy starts earlier
+    for c in ("place", "th", "id"):
+        a, b = rows.columns[c][at], rows.columns[c][at + 1]
+        before = np.where(a == b, before, b < a)
+    later = at + ~before
+    k = np.arange(side + 1)
+    shared = (k <= left[:, None]) & (side - k <= right[:, None])
+    # a row may be the later one of both of its pairs
+    np.logical_or.at(rows.settled, later, shared)
+    yield from marks(rows[later], left, right, side)
+
+
+def add_windows(chunk: Chunk, rows: Suffixes, side: int) -> None:
+    """Puts the windows around rows' heads that are not settled into chunk."""
+    behind, before = rows.words[:, :side], rows.words[:, side:]
+    prints = [(chained(before, seed), chained(behind, seed + 1)) for seed in (1, 3)]
+    h1, h2, ids, th, place = (rows.columns[c] for c in OWN)
+    for k in range(side + 1):  # k words to the left of the head, side - k behind it
+        whole = (before[:, k - 1] != 0 if k else True) & (behind[:, side - k - 1] != 0 if k < side else True)
+        at = np.flatnonzero(whole & ~rows.settled[:, k])
+        if len(at):
+            keys = (mix(mix(h[at].view(U64) ^ a[at, k]) ^ b[at, side - k]) + U64(k) for h, (a, b) in zip((h1, h2), prints, strict=True))
+            chunk.add(*keys, ids[at], th[at], place[at] - np.int32(k))
+
+
 def matches(rows: DataFrame, least: int, reach: int) -> DataFrame:
     """(id, th, run), a run being last << 32 | start: windows of `least` words around retained suffixes whose words also start earlier."""
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "place", "context")).alias("o"), F.count("*").alias("n")).where("n > 1")
-    # a table of its own, so that the join below reads a shuffle on both sides and adaptive execution can split hot heads
-    first = stored(first.select("h1", "h2", "n", F.col("o.id").alias("o_id"), F.col("o.th").alias("o_th"), F.col("o.place").alias("o_place"), F.col("o.context").alias("o_context")))
-    later = (F.col("id") != F.col("o_id")) | (F.col("th") != F.col("o_th")) | (F.col("place") != F.col("o_place"))
-    both = rows.join(first, ["h1", "h2"]).where(later).select("h1", "h2", "n", "id", "th", "place", "context", "o_context")
+    by = ["h1", "h2", "context", "id", "th", "place"]
     side = reach - 1
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One range of the sorted array. The last two representatives of the open run are held until its next row is seen."""
+        chunk, held = Chunk(), None
+        earlier = 0  # representatives of the held ones' run that have been passed on
+        at_edge = True  # the held ones' run began with the range, so it may have begun before
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
                 continue
-            left, right = reached(decoded(batch.column("context"), side), decoded(batch.column("o_context"), side), side)
-            long = left + right >= side
-            place = batch.column("place").to_numpy()[long]
-            start, last = (place - left[long]).astype(np.int64), (place - side + right[long]).astype(np.int64)
-            yield record(["id", "th", "run"], [batch.column("id").to_numpy()[long], batch.column("th").to_numpy()[long], last << 32 | start])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows around a head that differ from the run's first suffix, by fingerprints of their words."""
-        chunk = Chunk()
-        for batch in batches:
-            if not batch.num_rows:
+            since = len(held) - 1 if held is not None else 0
+            reps = held
+            if batch is not None:
+                rows = Suffixes.read(batch, side)
+                reps, copies = representatives(held.then(rows) if held is not None else rows, side)
+                yield from copies
+                yield from compare_neighbours(reps, since, side)
+            elif held is None:
                 continue
-            own = decoded(batch.column("context"), side)
-            left, right = reached(own, decoded(batch.column("o_context"), side), side)
-            prints = [(chained(own[:, :side], seed), chained(own[:, side:], seed + 1)) for seed in (1, 3)]
-            h1, h2, ids, th, place = (batch.column(c).to_numpy() for c in ("h1", "h2", "id", "th", "place"))
-            for k in range(side + 1):  # k words to the left of the head, side - k behind it
-                whole = (own[:, k - 1] != 0 if k else True) & (own[:, 2 * side - k - 1] != 0 if k < side else True)
-                at = np.flatnonzero(whole & ((k > left) | (side - k > right)))
-                if len(at):
-                    keys = (mix(mix(h[at].view(U64) ^ l[at, k]) ^ r[at, side - k]) + U64(k) for h, (l, r) in zip((h1, h2), prints, strict=True))
-                    chunk.add(*keys, ids[at], th[at], place[at] - np.int32(k))
+            run = np.concatenate([[0], np.cumsum(~reps.equal_heads())])
+            size = np.bincount(run)
+            size[0] += earlier
+            grouped = size > 2
+            grouped[0] |= at_edge
+            hold = 0
+            if batch is None:
+                grouped[-1] = True
+            else:
+                hold = min(2, int((run == run[-1]).sum()))
+            done = len(reps) - hold
+            add_windows(chunk, reps[np.flatnonzero(grouped[run[:done]])], side)
+            if hold:
+                earlier = int(size[-1]) - hold
+                at_edge = at_edge and run[-1] == 0
+                held = reps[done:]
             if chunk.size >= CHUNK_WINDOWS:
                 yield from chunk.drain(least)
         if chunk.size:
             yield from chunk.drain(least)
 
-    windows = both.where("n > 2").mapInArrow(others, "h1 long, h2 long, id long, place long")
-    return both.mapInArrow(extend, "id long, th int, run long").unionByName(later_windows(windows))
+    array = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    return later_windows(array.mapInArrow(compare, "h1 long, h2 long, id long, place long"))
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST, reach: int = REACH, gram: int = GRAM, sketch_bits: int = 27) -> DataFrame:

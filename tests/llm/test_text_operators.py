@@ -154,6 +154,35 @@ def test_suffix_dedup_by_windows(docs, rows):
     assert out == {i: e[1] for i, e in removed_by_windows(rows, 50).items()}
 
 
+@pytest.mark.parametrize(("records", "parts"), [(1, 1), (2, 5), (5, 40), (10_000, 3)])
+def test_suffix_dedup_across_batches_and_ranges(spark, records, parts):
+    """Runs of many copies with the same head and other words on either side, cut into batches and ranges anywhere."""
+    rng = random.Random(records)
+    fresh = lambda k: [f"x{rng.randrange(10**9)}" for _ in range(k)]
+    core, texts = fresh(44), []
+    left, right = [fresh(10) for _ in range(3)], [fresh(10) for _ in range(3)]
+    for _ in range(40):
+        a, b = rng.choice(left), rng.choice(right)
+        texts.append(fresh(3) + a[rng.randrange(11) :] + core + b[: rng.randrange(11)] + fresh(3))
+    rows = [(None if i == 7 else i // 2 if i < 6 else i, " ".join(t)) for i, t in enumerate(texts)] + [(30, " ".join(texts[30]))]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, (records, parts, "false"), strict=True):
+            spark.conf.set(k, str(v))
+        out = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), sketch_bits=16).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    order = {r: i for i, r in enumerate(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, texts_hash(spark, r[1]))))}
+    exact = removed_by_windows([(i, r[1]) for r, i in order.items()], 50)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in out) == sorted((r[0] is None, r[0] or 0, exact[order[r]][1]) for r in rows)
+    assert sum(r["n_removed"] for r in out) > 500
+
+
+def texts_hash(spark, text):
+    return spark.range(1).select(F.hash(F.lit(text))).first()[0]
+
+
 def shingles(text):
     w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
