@@ -19,11 +19,18 @@ def area(quad: Column) -> Column:
 
 
 def valid(quad: Column, width: Column, height: Column) -> Column:
-    """Four finite points within the page that span an area."""
-    inside = F.forall(quad, lambda p: (F.size(p) == 2) & ~F.isnan(p[0]) & ~F.isnan(p[1]) & (p[0] >= 0) & (p[0] <= width) & (p[1] >= 0) & (p[1] <= height))
+    """Four finite points that span an area, none more than a width to the left of or above the page or beyond twice its longer side."""
+    most = 2 * F.greatest(width, height)
+    # not a number compares as the largest
+    inside = F.forall(quad, lambda p: (F.size(p) == 2) & F.forall(p, lambda x: (x >= -width) & (x <= most)))
     return F.coalesce((F.size(quad) == 4) & inside & (area(quad) >= LEAST_AREA), F.lit(False))
 
 
+def valid_page(quads: Column, width: Column, height: Column) -> Column:
+    """One to REGIONS_MOST valid regions."""
+    return F.coalesce(F.size(quads).between(1, REGIONS_MOST) & F.forall(quads, lambda q: valid(q, width, height)), F.lit(False))
+
+
 def side_length(quad: Column, i: int, j: int) -> Column:
     return F.hypot(quad[i][0] - quad[j][0], quad[i][1] - quad[j][1])
 

@@ -145,3 +145,14 @@ def positions(snippets: DataFrame, order: list[str]) -> DataFrame:
     """Place of each snippet in its book, out of how many, and the snippets before and after it."""
     w = W.partitionBy("book_id").orderBy(*order)
     return snippets.select("book_id", "snippet_id", F.row_number().over(w).alias("position"), F.count("*").over(W.partitionBy("book_id")).alias("total"), F.lag("snippet_id").over(w).alias("prev"), F.lead("snippet_id").over(w).alias("next"))
+
+
+def table_key(rows: DataFrame, key: str) -> Column:
+    """What a table is sorted by: texts as people sort them (accents and case come after letters), others by value."""
+    return F.collate(key, "UNICODE") if rows.schema[key].dataType.typeName() == "string" else F.col(key)
+
+
+def sorted_table(rows: DataFrame, key: str, descending: bool = True) -> DataFrame:
+    """rows by a column that a user picked, ties by book_id."""
+    by = table_key(rows, key)
+    return rows.orderBy(by.desc() if descending else by.asc(), "book_id")

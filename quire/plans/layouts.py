@@ -28,9 +28,20 @@ def s9(t):
     return quads(t).select("p_partkey", G.area(F.col("quad")).alias("area"))
 
 
-@query("F18_valid_regions", f"SELECT p_partkey, x + w + m <= 80 AND y + h <= 50 AND {AREA} >= 100 AS ok FROM {QUADS}", views=False)
+VALID = f"greatest(x + w + m, y + h) <= 80 AND {AREA} >= 100"
+
+
+@query("F18_valid_regions", f"SELECT p_partkey, {VALID} AS ok FROM {QUADS}", views=False)
 def f18(t):
-    return quads(t).select("p_partkey", G.valid(F.col("quad"), F.lit(80.0), F.lit(50.0)).alias("ok"))
+    return quads(t).select("p_partkey", G.valid(F.col("quad"), F.lit(40.0), F.lit(30.0)).alias("ok"))
+
+
+@query("F18_valid_pages", f"SELECT p_partkey // 10 AS page, count(*) <= 8 AND bool_and({VALID}) AS ok FROM {QUADS} WHERE p_partkey % 10 <= p_partkey // 10 % 11 GROUP BY 1", views=False)
+def f18_pages(t):
+    """Pages of one to ten regions."""
+    page = F.floor(F.col("p_partkey") / 10)
+    rows = quads(t).where(F.col("p_partkey") % 10 <= page % 11).groupBy(page.alias("page")).agg(F.collect_list("quad").alias("quads"))
+    return rows.select("page", G.valid_page(F.col("quads"), F.lit(40.0), F.lit(30.0)).alias("ok"))
 
 
 @query("S11_spreads", f"SELECT p_partkey, (w + (w + m)) / (h + sqrt(m * m + h * h)) > 1.15::DOUBLE AS spread FROM {QUADS}", views=False)
@@ -38,10 +49,11 @@ def s11(t):
     return quads(t).select("p_partkey", G.is_spread(F.col("quad")).alias("spread"))
 
 
-@query("S12_ordered_points", f"SELECT p_partkey, x AS left_x, y AS top_y FROM {QUADS}", views=False)
+@query("S12_ordered_points", f"SELECT p_partkey, x AS x0, y AS y0, x + w AS x1, y AS y1, x + w + m AS x2, y + h AS y2, x AS x3, y + h AS y3 FROM {QUADS}", views=False)
 def s12(t):
     turned = quads(t).withColumn("quad", F.reverse("quad"))
-    return turned.select("p_partkey", G.ordered(F.col("quad")).alias("o")).select("p_partkey", F.col("o")[0][0].alias("left_x"), F.col("o")[0][1].alias("top_y"))
+    o = F.col("o")
+    return turned.select("p_partkey", G.ordered(F.col("quad")).alias("o")).select("p_partkey", *[o[i][j].alias(f"{c}{i}") for i in range(4) for j, c in enumerate("xy")])
 
 
 @query("S13_scaled", f"SELECT p_partkey, 4 * {AREA} AS area FROM {QUADS}", views=False)
@@ -87,3 +99,23 @@ def im8(t):
             yield pd.DataFrame(rows, columns=["path", "width", "height", "content"])
 
     return layout.sliced(t.raw("pages").select("page_id").mapInPandas(draw, "path string, width int, height int, content binary"))
+
+
+@query("IM9_trimmed", """WITH p AS (SELECT p_partkey, 20 + p_size AS h, 30 + p_partkey % 50 AS w FROM part),
+m AS (SELECT *, greatest(4, least(60, floor((-(w + h)::DOUBLE + sqrt(greatest((w + h)::DOUBLE * (w + h) - 4 * (w * h - (w * h) / 0.07::DOUBLE), 0))) / 4))) AS m FROM p)
+SELECT 'p' || p_partkey AS path, CAST(w + 2 * m AS INT) AS width, CAST(h + 2 * m AS INT) AS height, CAST(2 * m * (w + h + 2 * m) AS BIGINT) AS n_paper FROM m""", views=False)
+def im9(t):
+    """A block of ink on a larger crop, a part each."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches):
+        for pdf in batches:
+            for k, size in pdf.itertuples(index=False):
+                crop = np.full((200, 250), 240, np.uint8)
+                crop[30 : 50 + size, 40 : 70 + k % 50] = 20
+                yield pd.DataFrame([(f"p{k}", 250, 200, crop.tobytes())], columns=["path", "width", "height", "content"])
+
+    out = layout.trimmed(t.raw("part").select("p_partkey", "p_size").mapInPandas(draw, layout.PAGES))
+    paper = F.length(F.regexp_replace(F.hex("content"), "14", "")) / 2
+    return out.select("path", "width", "height", paper.cast("long").alias("n_paper"))

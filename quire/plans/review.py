@@ -30,6 +30,14 @@ def a1(t):
     return library.progress(t.books, state(t))
 
 
+@query("L9_sorted_table", "SELECT book_id, title, total, row_number() OVER (ORDER BY total DESC, book_id) AS by_total, row_number() OVER (ORDER BY title, book_id) AS by_title FROM v_progress")
+def l9(t):
+    """The table of books, a row each, as sorted by a number and by a text."""
+    books = library.progress(t.books, state(t)).select("book_id", "title", "total")
+    place = lambda name, *by: F.row_number().over(W.orderBy(*by, "book_id")).cast("long").alias(name)
+    return books.select("*", place("by_total", library.table_key(books, "total").desc()), place("by_title", library.table_key(books, "title")))
+
+
 @query("A2_page_progress", "SELECT book_id, page_index, side, min(page_number) AS page_number, count(*) AS total, count(*) FILTER (final_text IS NOT NULL) AS finalized, count(*) FILTER (final_text IS NULL AND attention) AS needs_attention FROM v_state GROUP BY ALL")
 def a2(t):
     return library.page_progress(state(t))

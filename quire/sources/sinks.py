@@ -3,21 +3,47 @@
 from __future__ import annotations
 
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import escaped, percent, safe_name
 from quire.operators import export
 
 
+POINTER = "CURRENT"
+
+
+def _files(spark: SparkSession, folder: str):
+    """Hadoop's view of folder's file system, and a maker of paths in folder."""
+    jvm = spark._jvm
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    return jvm, path(POINTER).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def swapped(df: DataFrame, folder: str) -> str:
-    """df written to a new folder under folder; its name, once complete, is what readers are pointed to."""
-    path = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
+    """df written to a new folder under folder and, once complete, made the current one by one rename of the pointer to it.
+    Readers see the old rows or the new ones. Old snapshots stay for readers that have begun."""
+    spark, name = df.sparkSession, f"snapshot-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder.rstrip('/')}/{name}")
+    jvm, fs, path = _files(spark, folder)
+    out = fs.create(path(f"{POINTER}-{name}"))
+    out.write(bytearray(name.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(POINTER).toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(path(f"{POINTER}-{name}"), path(POINTER), options)
+    return f"{folder.rstrip('/')}/{name}"
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that were last made current in folder."""
+    name = spark.read.text(f"{folder.rstrip('/')}/{POINTER}").first()["value"]
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def appended(df: DataFrame, path: str, by: str = "book_id") -> None:
@@ -40,6 +66,14 @@ def book_texts(texts: DataFrame, titles: DataFrame, path: str) -> None:
     texts.join(titles.select("book_id", safe_name(F.col("title")).alias("name")), "book_id").select("name", "text").repartition("name").write.partitionBy("name").text(path)
 
 
+def archived(texts: DataFrame, titles: DataFrame, path: str) -> None:
+    """A zip file on the driver with a text file for each book, named by id and title; books come one at a time."""
+    named = texts.join(titles.select("book_id", safe_name(F.coalesce(F.nullif("title", F.lit("")), "book_id")).alias("name")), "book_id")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for row in named.select("book_id", "name", "text").orderBy("book_id").toLocalIterator():
+            out.writestr(f"{row['book_id']}_{row['name']}.txt", row["text"] or "")
+
+
 def versions(payloads: DataFrame, path: str) -> None:
     payloads.select("book_id", F.to_json(F.struct("book_id", "snippets")).alias("payload")).write.partitionBy("book_id").text(path)
 

@@ -75,7 +75,11 @@ def test_geometry(spark):
     quad = [[0.0, 0.0], [20.0, 0.0], [20.0, 10.0], [0.0, 10.0]]
     assert one(spark, geometry.area(F.col("q")), q=quad) == 200.0
     assert one(spark, geometry.valid(F.col("q"), F.lit(30), F.lit(30)), q=quad)
-    assert not one(spark, geometry.valid(F.col("q"), F.lit(10), F.lit(30)), q=quad)
+    # corners may lie outside the page, by a width before it and up to twice its longer side
+    assert one(spark, geometry.valid(F.col("q"), F.lit(30), F.lit(30)), q=[[-30.0, 0.0], *quad[1:]])
+    assert not one(spark, geometry.valid(F.col("q"), F.lit(30), F.lit(30)), q=[[-31.0, 0.0], *quad[1:]])
+    assert not one(spark, geometry.valid(F.col("q"), F.lit(30), F.lit(20)), q=[[61.0, 0.0], *quad[1:]])
+    assert not one(spark, geometry.valid(F.col("q"), F.lit(30), F.lit(30)), q=[[math.inf, 0.0], *quad[1:]])
     assert not one(spark, geometry.valid(F.col("q"), F.lit(30), F.lit(30)), q=quad[:3])
     assert not one(spark, geometry.valid(F.col("q"), F.lit(30), F.lit(30)), q=[[math.nan, 0.0], *quad[1:]])
     assert one(spark, geometry.ordered(F.col("q")), q=quad[::-1]) == quad
