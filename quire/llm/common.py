@@ -54,14 +54,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as a compressed table to the shared checkpoint folder and read back; for wider rows."""
+def table_path(spark: SparkSession) -> str:
+    """A new table's path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None, row_group: int | None = None) -> DataFrame:
+    """df, written as a compressed table to the shared checkpoint folder and read back; for wider rows.
+
+    row_group bounds what a task that reads it holds at once, in bytes."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or table_path(spark)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forgotten(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no frame still in use is computed from."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Most groups that are broadcast as frequent ones, and the fewest rows that such a group has.
+MOST_HOT = 1 << 16
+LEAST_HOT = 1000
+
+
+def hot_bound(groups: DataFrame) -> int:
+    """So many rows that at most MOST_HOT of groups (n_rows) have as many; one with fewer is a 65536th of all at most, or small."""
+    total = groups.agg(F.sum("n_rows")).first()[0] or 0
+    return max(LEAST_HOT, -(-total // MOST_HOT))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit scrambler (multiply and shift), vectorised."""
     h = h.astype(U64, copy=True)

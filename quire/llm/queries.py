@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import embedding_dedup, jaccard_join, language_id, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
+from quire.llm import (
+    embedding_dedup, importance_resampling, jaccard_join, language_id, line_dedup, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter, vector_codes,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,5 +17,8 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_importance_resampling": importance_resampling.op12_importance_resampling,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
-SQL = {"op2_mix_sources": mixing.SQL, "op3_url_filter": url_filter.SQL}
+SQL = {"op2_mix_sources": mixing.SQL, "op3_url_filter": url_filter.SQL, "op11_line_dedup": line_dedup.SQL, "op12_importance_resampling": importance_resampling.SQL}
