@@ -1,7 +1,7 @@
 """Secret scans (operator 6): three fixed patterns and sliding-window entropy of candidate strings.
 
 A candidate is a maximal run of one character class (hexadecimal; base-64 and its URL form) that isn't on the
-allow-list. Every window of it has its Shannon entropy computed from counts updated by one character out and one in;
+allow-list. Every window of it has its Shannon entropy computed from running counts, one character out and one in;
 windows at or over the class's threshold join to spans. Spans count code points of the whole text, end exclusive.
 
 Defined results: a null text is an empty one and has no span; texts of any length are read whole; repeated rows give
@@ -31,13 +31,15 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 BASE = KINDS[:3]
 
+#: A word with capitals: camel case, or capitals alone. No part of it or of the patterns below can match in two ways, and
+#: what a part has taken it never gives back, so a run of any length is tested in one pass.
+_CASED = rb"(?>[a-z]++(?:[A-Z][a-z]{2,}+)*+|(?:[A-Z][a-z]{2,}+)++|[A-Z]++)"
 #: Patterns of strings whose look is random but that are no secrets. Whole ones stop the run that they match in full; the
 #: others stop windows that lie over what they find, and leave the rest of the run to be judged.
 ALLOWED = (
     (rb"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", True),  # UUIDs
-    (rb"[a-z]+(?:[/_=+-]+[a-z]+)*", True),  # words in lower case, and paths or names made of them
-    (rb"[0-9/_=+-]+", True),  # numbers and dates
-    (rb"(?:[A-Z]+|[a-z]*(?:[A-Z][a-z]{2,})*)(?:[/_=+-]+(?:[A-Z]+|[a-z]*(?:[A-Z][a-z]{2,})*))*", True),  # words with capitals, in camel case too, and paths or names made of them
+    (rb"[0-9/_=+-]++", True),  # numbers and dates
+    (rb"[/_=+-]*+(?:" + _CASED + rb"(?:[/_=+-]++" + _CASED + rb")*+[/_=+-]*+)?", True),  # words, camel case too, and paths or names made of them
     (rb"(?i)example|sample|placeholder|changeme|x{6,}|0123456789|abcdefgh", False),
 )
 
@@ -57,29 +59,55 @@ CLASSES = (
 )
 
 
-def entropy_spans(run: bytes, window: int, threshold: float, allowed: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    """Joined windows of run whose entropy is at least threshold and that share no character with an allowed place."""
-    if len(run) < window:
+#: Windows judged at a time.
+STEP = 1 << 14
+
+
+def low_windows(data: np.ndarray, window: int, most: float) -> np.ndarray:
+    """For every window of data whether the sum of c log2 c over its characters' counts c is at most `most`.
+
+    Counts come from running counts of each character, so a window's differ from the one before by one in and one out."""
+    part = np.array([0.0] + [c * math.log2(c) for c in range(1, window + 1)])
+    names, code = np.unique(data, return_inverse=True)
+    out = np.zeros(max(0, len(data) - window + 1), dtype=bool)
+    for begin in range(0, len(out), STEP):
+        end = min(begin + STEP, len(out))
+        running = np.zeros((len(names), end - begin + window), dtype=np.int32)
+        here = code[begin : end + window - 1]
+        running[here, np.arange(1, len(here) + 1)] = 1
+        np.cumsum(running, axis=1, out=running)
+        out[begin:end] = part[running[:, window:] - running[:, :-window]].sum(axis=0) <= most
+    return out
+
+
+def entropy_spans(runs: list[bytes], window: int, threshold: float, allowed: list[list[tuple[int, int]]] | None = None) -> list[tuple[int, int, int]]:
+    """(run, start, end) of the joined windows of runs whose entropy is at least threshold and that share no character with an
+    allowed place of their run; all runs at once."""
+    if not runs:
+        return []
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    first = np.cumsum([0] + [len(r) for r in runs])
+    good = low_windows(data, window, window * (math.log2(window) - threshold) + 1e-9)
+    inner = np.ones(len(data), dtype=bool)  # a window that starts here ends in its run
+    for e in first[1:].tolist():
+        inner[max(0, e - window + 1) : e] = False
+    good &= inner[: len(good)]
+    quiet = np.zeros(len(data) + 1, dtype=np.int64)
+    for begin, places in zip(first.tolist(), allowed or (), strict=False):
+        for b, e in places:
+            quiet[begin + b + 1 : begin + e + 1] = 1
+    quiet = np.cumsum(quiet)
+    good &= (quiet[window:] == quiet[: len(quiet) - window])[: len(good)]
+    start = np.flatnonzero(good)
+    if not len(start):
         return []
-    part = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
-    counts, total = [0] * 256, 0.0
-    for c in run[:window]:
-        total += part[counts[c] + 1] - part[counts[c]]
-        counts[c] += 1
-    most, spans = window * (math.log2(window) - threshold) + 1e-9, []
-    for begin in range(len(run) - window + 1):
-        if begin:
-            gone, new = run[begin - 1], run[begin + window - 1]
-            total += part[counts[gone] - 1] - part[counts[gone]]
-            counts[gone] -= 1
-            total += part[counts[new] + 1] - part[counts[new]]
-            counts[new] += 1
-        if total <= most and not any(b < begin + window and begin < e for b, e in allowed or ()):
-            if spans and begin <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], begin + window)
-            else:
-                spans.append((begin, begin + window))
-    return spans
+    run = np.searchsorted(first, start, side="right") - 1
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (start[1:] - start[:-1] > window) | (run[1:] != run[:-1])
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(start)) - 1
+    base = first[run[head]]
+    return list(zip(run[head].tolist(), (start[head] - base).tolist(), (start[last] + window - base).tolist(), strict=True))
 
 
 def scan(data: bytes, allowed: list[tuple[re.Pattern[bytes], bool]], classes: tuple[CharClass, ...] = CLASSES) -> list[tuple[int, int, int]]:
@@ -91,16 +119,13 @@ def scan(data: bytes, allowed: list[tuple[re.Pattern[bytes], bool]], classes: tu
     at = np.array([b for b, _ in base], dtype=np.int64)
     reach = np.maximum.accumulate(np.array([e for _, e in base], dtype=np.int64)) if base else at
     for c in classes:
-        for m in c.run.finditer(data):
-            run = m.group()
-            if any(whole and a.fullmatch(run) for a, whole in allowed):
-                continue
-            quiet = [x.span() for a, whole in allowed if not whole for x in a.finditer(run)]
-            for b, e in entropy_spans(run, c.window, c.threshold, quiet):
-                b, e = m.start() + b, m.start() + e
-                before = int(np.searchsorted(at, b, side="right")) - 1
-                if before < 0 or reach[before] < e:  # else a base span holds it already
-                    found.append((KINDS.index(c.kind), b, e))
+        judged = [m for m in c.run.finditer(data) if m.end() - m.start() >= c.window and not any(whole and a.fullmatch(m.group()) for a, whole in allowed)]
+        quiet = [[x.span() for a, whole in allowed if not whole for x in a.finditer(m.group())] for m in judged]
+        for i, b, e in entropy_spans([m.group() for m in judged], c.window, c.threshold, quiet):
+            b, e = judged[i].start() + b, judged[i].start() + e
+            before = int(np.searchsorted(at, b, side="right")) - 1
+            if before < 0 or reach[before] < e:  # else a base span holds it already
+                found.append((KINDS.index(c.kind), b, e))
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
