@@ -7,9 +7,10 @@ Second pass: windows whose anchor is estimated as repeated are grouped exactly b
 Within a task only the first of equal windows goes on, the rest is known to be repeated already; so a window that
 a third of all documents share reaches its group once per chunk of a task, however common it is.
 
-Defined results: a null text has no words; a null doc_id comes before all others and is kept; rows that repeat a doc_id
-with the same text are one document (each gets that document's result), with another text they are ordered by a hash of
-it; texts of any length are read whole; an empty table gives an empty result; other columns are kept unchanged.
+Defined results: a null text has no words; rows without doc_id come before all others and are told apart by 127 bits of
+their texts' hashes, which also order them; rows that repeat a doc_id with the same text are one document (each gets that
+document's result), with another text they are ordered by 63 bits of its hash; ids that aren't whole numbers are ordered by a
+64-bit hash; texts of any length are read whole; an empty table gives an empty result; other columns are kept unchanged.
 """
 
 from __future__ import annotations
@@ -18,19 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import U64, Block, blocks, inside, mix, record, sequence_hashes, signed, text_bytes
+from quire.llm.common import U64, Block, blocks, inside, mix, quoted, record, sequence_hashes, signed, text_bytes
 from quire.llm.sketch import Repeats, repeats
 
 WINDOW = 20
 GRAM = 8
 #: Candidate windows that a task holds at a time.
 CHUNK_WINDOWS = 700_000
-NO_ID = -(1 << 63)
 
 
 def anchors(words: np.ndarray, first: np.ndarray, n: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,17 +62,13 @@ def anchor_items(n: int, gram: int):
 
 #: Set in a place: a run of windows known to be repeated, whose last start stands for the second fingerprint.
 DIRECT = 1 << 31
-
-
-def placed(text: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A text's hash and a place in it in one number, in the order of both."""
-    return text.astype(np.int64) << 32 | start
+ROWS = "h1 long, h2 long, id long, th long, place long"
 
 
 def known_runs(doc: np.ndarray, text: np.ndarray, start: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
     """Runs of windows known to be repeated, among candidate windows."""
-    own = mix(doc.view(U64) ^ mix(start.astype(U64)))
-    return record(["h1", "h2", "id", "place"], [signed(own), last.astype(np.int64), doc, placed(text, start) | DIRECT])
+    own = mix(mix(doc.view(U64) ^ mix(start.astype(U64))) + text.view(U64))
+    return record(["h1", "h2", "id", "th", "place"], [signed(own), last.astype(np.int64), doc, text, start.astype(np.int64) | DIRECT])
 
 
 class Chunk:
@@ -90,13 +86,13 @@ class Chunk:
         """First windows, to be compared with other tasks', and runs of windows repeated here (direct)."""
         h1, h2, doc, text, start = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        by = np.lexsort((start, text, doc, h2, h1))
+        by = np.lexsort((start, text, doc, text >= 0, h2, h1))
         h1, h2, doc, text, start = (x[by] for x in (h1, h2, doc, text, start))
         new = np.ones(len(h1), dtype=bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (doc != doc[head]) | (text != text[head]) | (start != start[head])
-        yield record(["h1", "h2", "id", "place"], [signed(h1[new]), signed(h2[new]), doc[new], placed(text[new], start[new])])
+        yield record(["h1", "h2", "id", "th", "place"], [signed(h1[new]), signed(h2[new]), doc[new], text[new], start[new].astype(np.int64)])
         if later.any():
             doc, text, start = doc[later], text[later], start[later]
             by = np.lexsort((start, text, doc))
@@ -131,23 +127,37 @@ def repeated_windows(keyed: DataFrame, n: int, gram: int, found: Repeats) -> Dat
         if chunk.size:
             yield from chunk.drain(n)
 
-    rows = keyed.mapInArrow(candidates, "h1 long, h2 long, id long, place long")
+    rows = keyed.mapInArrow(candidates, ROWS)
     return later_windows(rows)
 
 
 def later_windows(rows: DataFrame) -> DataFrame:
-    """(id, th, run) of all but the first of equal windows among rows (h1, h2, id, place) that chunks passed on."""
+    """(id, th, run) of all but the first of equal windows among rows (see ROWS) that chunks passed on."""
     # a run and a window never share a group: only a run's place has the mark
     direct = F.col("place").bitwiseAND(F.lit(DIRECT)) != 0
-    nth = F.rank().over(W.partitionBy("h1", "h2", direct).orderBy("id", "place"))
+    nth = F.rank().over(W.partitionBy("h1", "h2", direct).orderBy(*document_order(), "place"))
     start = F.col("place").bitwiseAND(F.lit(DIRECT - 1))
     last = F.when(direct, F.col("h2")).otherwise(start)
     found = rows.withColumn("nth", nth).where(direct | (F.col("nth") > 1))
-    return found.select("id", F.shiftright("place", 32).cast("int").alias("th"), F.shiftleft(last, 32).bitwiseOR(start).alias("run"))
+    return found.select("id", "th", F.shiftleft(last, 32).bitwiseOR(start).alias("run"))
+
+
+def key_columns(docs: DataFrame) -> tuple[Column, Column]:
+    """A document's id and th. th is 63 bits of the text's hash, below 0 where there is no id; then id is a second hash."""
+    kind, given, no_id = docs.schema["doc_id"].dataType, F.col("doc_id"), F.col("doc_id").isNull()
+    whole = given.cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(given.cast("string"))
+    short = F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1))
+    return F.when(no_id, F.xxhash64(F.lit(0x51ED), F.col("text"))).otherwise(whole), F.when(no_id, short.bitwiseOR(F.lit(-(1 << 63)))).otherwise(short)
+
+
+def document_order() -> list[Column]:
+    """Documents without id come first."""
+    return [F.col("th") >= 0, F.col("id"), F.col("th")]
 
 
 def keys(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("th"), "text")
+    own, th = key_columns(docs)
+    return docs.select(own.alias("id"), th.alias("th"), "text")
 
 
 def removed(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
@@ -157,7 +167,8 @@ def removed(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
     """
     new = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()), ("removed", T.StringType())]
     kept = [f for f in docs.schema.fields if f.name not in dict(new)]
-    own = docs.select(*[F.col(f"`{f.name}`").alias(f"_d{i}") for i, f in enumerate(kept)], F.col("text").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.hash("text").alias("_th"))
+    own_id, own_th = key_columns(docs)
+    own = docs.select(*[F.col(quoted(f.name)).alias(f"_d{i}") for i, f in enumerate(kept)], F.col("text").alias("text"), own_id.alias("_id"), own_th.alias("_th"))
     per = runs.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list("run").alias("_runs"))
     names = [f"_d{i}" for i, f in enumerate(kept) if f.name != "text"]
     joined = own.join(per, ["_id", "_th"], "left").select(*names, "text", "_runs")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import U64, Block, blocks, mix, record, sequence_hashes, signed
 from quire.llm.sketch import Repeats, repeats
-from quire.llm.substring_dedup import CHUNK_WINDOWS, Chunk, anchors, keys, known_runs, later_windows, removed
+from quire.llm.substring_dedup import CHUNK_WINDOWS, ROWS, Chunk, anchors, document_order, keys, known_runs, later_windows, removed
 
 LEAST = 50
 REACH = 9
@@ -87,7 +87,7 @@ def suffixes(keyed: DataFrame, found: Repeats, least: int, reach: int, gram: int
             ids, th = (part.column(c).to_numpy()[row] for c in ("id", "th"))
             yield record(["h1", "h2", "id", "th", "place", "context"], [signed(h1[place]), signed(h2), ids, th, (place - block.first[row]).astype(np.int32), contexts(words, block.first, place, row, head, reach)])
 
-    return keyed.mapInArrow(retain, "h1 long, h2 long, id long, th int, place int, context binary")
+    return keyed.mapInArrow(retain, "h1 long, h2 long, id long, th long, place int, context binary")
 
 
 #: Columns of a suffix beside its context.
@@ -163,6 +163,8 @@ def compare_neighbours(rows: Suffixes, since: int, side: int) -> Iterator[pa.Rec
     for c in ("place", "th", "id"):
         a, b = rows.columns[c][at], rows.columns[c][at + 1]
         before = np.where(a == b, before, b < a)
+    a, b = rows.columns["th"][at] >= 0, rows.columns["th"][at + 1] >= 0
+    before = np.where(a == b, before, a)  # documents without id come first
     later = at + ~before
     k = np.arange(side + 1)
     shared = (k <= left[:, None]) & (side - k <= right[:, None])
@@ -186,7 +188,7 @@ def add_windows(chunk: Chunk, rows: Suffixes, side: int) -> None:
 
 def matches(rows: DataFrame, least: int, reach: int) -> DataFrame:
     """(id, th, run), a run being last << 32 | start: windows of `least` words around retained suffixes whose words also start earlier."""
-    by = ["h1", "h2", "context", "id", "th", "place"]
+    by = [F.col("h1"), F.col("h2"), F.col("context"), *document_order(), F.col("place")]
     side = reach - 1
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +230,7 @@ def matches(rows: DataFrame, least: int, reach: int) -> DataFrame:
             yield from chunk.drain(least)
 
     array = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    return later_windows(array.mapInArrow(compare, "h1 long, h2 long, id long, place long"))
+    return later_windows(array.mapInArrow(compare, ROWS))
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST, reach: int = REACH, gram: int = GRAM, sketch_bits: int = 27) -> DataFrame:
