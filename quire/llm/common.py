@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of bytes outside the blank and U+0009 to U+000D.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -227,6 +228,19 @@ def plainly_named(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list[st
     return docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(names, inner, strict=True)]), inner
 
 
+def without_month_intervals(docs: DataFrame) -> DataFrame:
+    """docs with its intervals of years and months as whole months; Arrow can't carry them."""
+    months = lambda c: F.extract(F.lit("YEAR"), c) * 12 + F.extract(F.lit("MONTH"), c.cast("interval year to month"))
+    kinds = [isinstance(f.dataType, T.YearMonthIntervalType) for f in docs.schema.fields]
+    return docs.select(*[months(F.col(quoted(f.name))).cast("int").alias(f.name) if is_ else F.col(quoted(f.name)) for f, is_ in zip(docs.schema.fields, kinds, strict=True)])
+
+
+def with_month_intervals(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with the columns that without_month_intervals made numbers of as intervals again."""
+    kinds = {f.name: f.dataType for f in docs.schema.fields if isinstance(f.dataType, T.YearMonthIntervalType)}
+    return rows.select(*[F.make_ym_interval(F.lit(0), F.col(quoted(c))).cast(kinds[c]).alias(c) if c in kinds else F.col(quoted(c)) for c in rows.columns])
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, Block, blocks, components, cut, inside, mix, record, sequence_hashes, signed, small_batches, stored, text_hashes
+from quire.llm.common import U64, WORD_REGEX, Block, blocks, components, cut, inside, mix, record, sequence_hashes, signed, small_batches, stored, text_hashes
 from quire.llm.shards import CHUNK_WORDS, STEPS, Counts, chosen_rows, keyed_rows
 
 WORDS = 5
@@ -217,10 +217,10 @@ def without_duplicates(docs: DataFrame, n: int = WORDS, fragments: int = FRAGMEN
     signs = stored(signatures(keyed_rows(docs), "_quire_r1", "_quire_r2"))
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "_quire_r1", "_quire_r2")
     found = classes(signs, docs, n, fragments, chunk_words)
-    best = least_keys(signs, found, key).select(F.col("least._quire_r1").alias("_quire_r1"), F.col("least._quire_r2").alias("_quire_r2"), F.lit(False).alias("every")).distinct()
-    blank = signs.where("n_words = 0").select("_quire_r1", "_quire_r2", F.lit(True).alias("every")).distinct()
+    best = least_keys(signs, found, key).select(F.col("least._quire_r1").alias("_quire_r1"), F.col("least._quire_r2").alias("_quire_r2")).distinct()
     words = signs.agg(F.sum("n_words")).first()[0] or 0
-    return chosen_rows(docs, best.unionByName(blank), max(1, -(-words // chunk_words)))
+    has_word = F.coalesce(F.col("text").rlike(WORD_REGEX), F.lit(False))
+    return chosen_rows(docs.where(has_word), best, max(1, -(-words // chunk_words))).union(docs.where(~has_word))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

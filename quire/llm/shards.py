@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.llm.common import U64, Block, blocks, quoted, record, signed, small_batches, text_hashes
@@ -169,36 +170,49 @@ class Counts:
         return self.texts.groupBy("chunk").cogroup(self.levels().groupBy("chunk")).applyInArrow(answer, schema)
 
 
+def hashable(field: T.StructField) -> Column:
+    """A column as xxhash64 takes it: one that holds maps or variants anywhere goes as JSON."""
+    names = field.dataType.json()
+    return F.to_json(F.struct(F.col(quoted(field.name)))) if '"map"' in names or "variant" in names else F.col(quoted(field.name))
+
+
 def keyed_rows(docs: DataFrame) -> DataFrame:
     """docs with _quire_r1, _quire_r2: two hashes of the whole row; rows that are equal in all columns share them."""
-    columns = [F.col(quoted(c)) for c in docs.columns]
+    columns = [hashable(f) for f in docs.schema.fields]
     return docs.select("*", F.xxhash64(*columns).alias("_quire_r1"), F.xxhash64(F.lit(0x51ED), *columns).alias("_quire_r2"))
 
 
 def chosen_rows(docs: DataFrame, keys: DataFrame, chunks: int) -> DataFrame:
-    """Rows of docs (see keyed_rows) whose keys are in keys (_quire_r1, _quire_r2, every), of equal rows one unless every is set.
+    """Of the rows of docs (see keyed_rows) whose keys are in keys (_quire_r1, _quire_r2) one of each.
 
-    Rows travel once, compressed, to the chunk that their key names."""
+    Rows travel once, compressed, to the chunk that their key names; of equal rows every task passes on one only."""
     small_batches(docs.sparkSession)
     schema = docs.schema
     inner = [f"_d{i}" for i in range(len(schema.fields))]
-    rows = keyed_rows(docs).toDF(*inner, "_quire_r1", "_quire_r2")
+    names = ["_quire_r1", "_quire_r2"]
+    rows = keyed_rows(docs).toDF(*inner, *names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(chunks)
+        dealer, seen = Dealer(chunks), set()
         for batch in batches:
-            yield from dealer.add(batch, batch.column("_quire_r1").to_numpy().view(U64))
+            keep = []
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    keep.append(i)
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield from dealer.add(own, own.column(names[0]).to_numpy().view(U64))
         yield from dealer.dealt()
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return types.empty_table()
         own = opened(left.column("data"))
-        every = {(a, b): e for a, b, e in zip(*(right.column(c).to_pylist() for c in ("_quire_r1", "_quire_r2", "every")), strict=True)}
-        taken, keep = set(), []
-        for i, key in enumerate(zip(own.column("_quire_r1").to_pylist(), own.column("_quire_r2").to_pylist(), strict=True)):
-            if key in every and (every[key] or key not in taken):
-                taken.add(key)
+        wanted = set(zip(*(right.column(c).to_pylist() for c in names), strict=True))
+        keep = []
+        for i, key in enumerate(zip(*(own.column(c).to_pylist() for c in names), strict=True)):
+            if key in wanted:
+                wanted.remove(key)
                 keep.append(i)
         return own.take(pa.array(keep, pa.int64())).select(inner).rename_columns(types.names)
 
