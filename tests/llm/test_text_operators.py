@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -70,6 +71,24 @@ def removed_by_windows(rows, n):
     return out
 
 
+@pytest.mark.parametrize("operator", ["substring", "suffix"])
+def test_rows_without_id_whose_texts_share_a_short_hash(spark, operator):
+    """Two texts that 32 bits of a hash can't tell apart are two documents, with ids and without."""
+    start, more = " ".join(f"w{i}" for i in range(60)), F.concat(F.lit(" ".join(f"w{i}" for i in range(60)) + " "), F.col("id").cast("string"))
+    twins = spark.range(300_000).select("id", F.hash(more).alias("h")).groupBy("h").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1).first()["ids"][:2]
+    run = (lambda d: substring_dedup.deduplicated(d, sketch_bits=16)) if operator == "substring" else (lambda d: suffix_dedup.deduplicated(d, sketch_bits=16))
+    rows = [(f"{start} {e}",) for e in twins]
+    for kind, ids in (("long", [None, None]), ("long", [1, 2]), ("string", ["a", "b"]), ("string", [None, "x"]), ("long", [None, -(1 << 63)]), ("decimal(3,1)", [None, None])):
+        docs = spark.createDataFrame([(i, t) for i, (t,) in zip(ids, rows, strict=True)], f"doc_id {kind}, text string")
+        out = {r["doc_id"] if None not in ids or r["doc_id"] is not None else "none": r["n_removed"] for r in run(docs).collect()}
+        found = sorted(r["n_removed"] for r in run(docs).collect())
+        assert found == [0, 60], (kind, ids)
+        if ids == [1, 2]:
+            assert out == {1: 0, 2: 60}
+        elif ids in ([None, "x"], [None, -(1 << 63)]):
+            assert out["none"] == 0  # rows without id come first
+
+
 @pytest.mark.parametrize("bits", [10, 20])
 def test_substring_dedup(docs, rows, bits):
     """A sketch that is far too small gives the same result."""
@@ -180,7 +199,7 @@ def test_suffix_dedup_across_batches_and_ranges(spark, records, parts):
 
 
 def texts_hash(spark, text):
-    return spark.range(1).select(F.hash(F.lit(text))).first()[0]
+    return spark.range(1).select(F.xxhash64(F.lit(text)).bitwiseAND(F.lit((1 << 63) - 1))).first()[0]
 
 
 def shingles(text):
@@ -352,10 +371,61 @@ def test_entropy_spans():
             counts = Counter(run[i : i + 24])
             if -sum(c / 24 * np.log2(c / 24) for c in counts.values()) >= 3.8 - 1e-9:
                 high |= set(range(i, i + 24))
-        got = {k for b, e in secrets.entropy_spans(run.encode(), 24, 3.8) for k in range(b, e)}
+        got = {k for _, b, e in secrets.entropy_spans([run.encode()], 24, 3.8) for k in range(b, e)}
         assert got == high
 
 
+def plain_spans(text):
+    """All spans of a text, kinds joined: base spans, and windows of candidates that no allowed pattern covers, one by one."""
+    data, found = (text or "").encode(), []
+    base = [(int(b), k, int(e)) for k, b, e in ((secrets.KINDS.index(x.split(":")[0]), *x.split(":")[1:]) for x in base_spans(text))]
+    points = [0]
+    for c in data:
+        points.append(points[-1] + (c & 0xC0 != 0x80))
+    for c in secrets.CLASSES:
+        for m in c.run.finditer(data):
+            run = m.group()
+            part = rb"(?:[A-Z]+|[a-z]*(?:[A-Z][a-z]{2,})*)"
+            words = [w for w in re.split(rb"[/_=+-]+", run)]
+            whole = re.fullmatch(rb"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", run) or re.fullmatch(rb"[0-9/_=+-]+", run) or all(re.fullmatch(part, w) for w in words)
+            if whole:
+                continue
+            quiet = [x.span() for x in re.finditer(rb"(?i)example|sample|placeholder|changeme|x{6,}|0123456789|abcdefgh", run)]
+            spans = []
+            for i in range(len(run) - c.window + 1):
+                counts = Counter(run[i : i + c.window])
+                high = -sum(n / c.window * np.log2(n / c.window) for n in counts.values()) >= c.threshold - 1e-9
+                if high and not any(b < i + c.window and i < e for b, e in quiet):
+                    if spans and i <= spans[-1][1]:
+                        spans[-1][1] = i + c.window
+                    else:
+                        spans.append([i, i + c.window])
+            for b, e in spans:
+                b, e = points[m.start() + b], points[m.start() + e]
+                if not any(x <= b and e <= y for x, _, y in base):
+                    found.append((b, secrets.KINDS.index(c.kind), e))
+    return [f"{secrets.KINDS[k]}:{b}:{e}" for b, k, e in sorted([*base, *found])]
+
+
+def test_all_spans(spark):
+    rng = random.Random(9)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ab", "_-=/", "AbCd", "xX"]
+    pieces = ["password=", "token: ", "AKIA", "sample", "0123456789", "é ", " ", "\n", "xxxxxxx", "/", "CamelCaseWordsHere", "123e4567-e89b-12d3-a456-426614174000", "日"]
+    texts = []
+    for _ in range(150):
+        texts.append("".join(rng.choice(pieces) if rng.random() < 0.5 else "".join(rng.choice(a) for _ in range(rng.choice([5, 24, 30, 90]))) for a in [rng.choice(alphabets)] for _ in range(rng.randrange(9))))
+    texts += SECRETS + texts[:5] + ["abcdefghijklmnopqrstuvwx" * 2000 + "Zq9" * 3000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["spans"] for r in secrets.scanned(frame).collect()} == {i: ",".join(plain_spans(t)) for i, t in enumerate(texts)}
+
+
+def test_runs_of_separators_take_no_time():
+    began = time.perf_counter()
+    for text in [c * 10_000 + "9a" for c in "=-_/+"] + ["=-" * 10_000 + "9a", "aB=" * 10_000 + "9", "A" * 10_000 + "a9", "Abc" * 5_000 + "9", "a" * 20_000 + "="]:
+        secrets.scan(text.encode(), [(re.compile(a), whole) for a, whole in secrets.ALLOWED])
+    assert time.perf_counter() - began < 1
+
+
 def test_redaction_and_allow_list(spark):
     key = "qZ8kP2xV9mL4tR7wY1nB6cD3fG5hJ0sA"
     frame = spark.createDataFrame([(1, f"é {key} end"), (2, "id 123e4567-e89b-12d3-a456-426614174000"), (3, "a/long/path/of/lower/case/words"), (4, None)], "doc_id long, text string")
