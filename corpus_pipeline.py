@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard_join, language_id, mixing, packing, secrets
-from quire.llm.common import quoted, stored
+from quire.llm.common import quoted, stored, with_month_intervals, without_month_intervals
 
 #: Documents whose best language has a lower mean probability are rejected; four languages' chance level is 0.25.
 LEAST_SCORE = 0.3
@@ -28,25 +28,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Repeated rows are judged alike; every other row and column is returned as it came."""
     names = f"{OWN}lang_pred", f"{OWN}score"
-    kept = language_id.predicted(docs, language_id.learned(docs), names).where((F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE))
-    return own_columns(kept, docs)
+    kept = language_id.predicted(without_month_intervals(docs), language_id.learned(docs), names).where((F.col(names[0]) != language_id.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE))
+    return with_month_intervals(own_columns(kept, docs), docs)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of linked documents: the smallest doc_id's, a null one last; of rows that repeat an
     id in a component one stays, of rows that repeat it in different components each. Rows without words stay."""
-    return jaccard_join.without_duplicates(docs)
+    return with_month_intervals(jaccard_join.without_duplicates(without_month_intervals(docs)), docs)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret found in the texts; no document goes. n_chars, if there is such a column, follows the text.
 
     Null texts stay null, repeated rows are changed alike, every other column is returned as it came."""
-    clean = secrets.scanned(docs, redact=REDACTED, prefix=OWN)
+    clean = secrets.scanned(without_month_intervals(docs), redact=REDACTED, prefix=OWN)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(F.col(f"{OWN}spans") != "", F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return own_columns(clean, docs)
+    return with_month_intervals(own_columns(clean, docs), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
