@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import n_words
-from quire.operators import consensus, library, merge, people, tally
+from quire.operators import consensus, library, machine, merge, people, tally
 from quire.plans.registry import query
-from quire.sources.adapters import Tables
+from quire.sources import scratch
+from quire.sources.adapters import QUEUE_SCRIPTS, Tables
+from quire.streaming.snapshot_log import SnapshotLog
 
 
 def state(t: Tables) -> DataFrame:
@@ -381,11 +383,94 @@ def l4(t):
     return consensus.next_for(rows, "u1").select("doc_id", "status", "tier")
 
 
-@query("ST2_queue_state", "SELECT item_id, status, changes, status NOT IN ('done', 'failed') AS active FROM v_items")
-def st2(t):
+@query("ST2_latest_status", "SELECT item_id, status, changes, status NOT IN ('done', 'failed') AS active FROM v_items")
+def st2_latest(t):
     return consensus.queue_state(t.queue_events, "item_id", ["ts", "event_id"])
 
 
+SCRIPTS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in QUEUE_SCRIPTS.items() if ":" not in k) + " ELSE CASE CAST(json_extract_string(props, '$.k') AS INT) % 4 " + " ".join(f"WHEN {k[-1]} THEN {list(v)}" for k, v in QUEUE_SCRIPTS.items() if ":" in k) + " END END"
+# the machine's steps one by one: the lease is looked at first (st, sa), then the event
+QUEUE = f""", qa AS (SELECT user_id AS item_id, epoch(ts)::BIGINT + 10 * p AS "at", event_id * 4 + p AS event_id, event, CASE event WHEN 'pages' THEN 2 + k % 2 WHEN 'approve' THEN (k + p) % 3 END AS n, CASE WHEN event IN ('fail', 'start', 'progress') THEN 'e' || event_id END AS text
+  FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts, CAST(json_extract_string(props, '$.k') AS INT) AS k, unnest({SCRIPTS}) AS event, unnest([0, 1, 2]) AS p FROM events)),
+qe AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY "at", event_id) AS i FROM qa),
+qf AS (SELECT item_id, 0::BIGINT AS i, 'new' AS status, NULL::VARCHAR AS error, 0 AS pages, []::INT[] AS approved, false AS asked, 0 AS progress, NULL::BIGINT AS "at", 0::BIGINT AS taken, 0::BIGINT AS refused, 0::BIGINT AS recovered FROM (SELECT DISTINCT item_id FROM qe)
+  UNION ALL SELECT item_id, i, coalesce(t, st), CASE WHEN t IS NULL THEN error WHEN event = 'fail' THEN text WHEN event = 'retry' THEN NULL ELSE error END,
+    CASE WHEN t IS NOT NULL AND event = 'pages' THEN n ELSE pages END, CASE WHEN t IS NULL THEN approved WHEN event = 'pages' THEN [] WHEN event = 'approve' THEN more ELSE approved END,
+    CASE WHEN t IS NULL THEN a WHEN event = 'pause' AND t = 'ocr_running' THEN true WHEN event IN ('start', 'resume', 'finish', 'fail') OR t = 'paused' AND event = 'tick' THEN false ELSE a END,
+    CASE WHEN t = 'ocr_running' AND event = 'start' THEN 0 WHEN t = 'ocr_running' AND event = 'tick' THEN progress + 1 ELSE progress END,
+    CASE WHEN t IS NOT NULL THEN now WHEN late THEN now ELSE "at" END, taken + CASE WHEN t IS NULL THEN 0 ELSE 1 END, refused + CASE WHEN t IS NULL THEN 1 ELSE 0 END, recovered + CASE WHEN late THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN event = 'enqueue' AND st = 'new' THEN 'queued' WHEN event = 'start' AND st IN ('queued', 'downloading', 'downloaded', 'rasterizing') THEN 'downloading' WHEN event = 'start' AND st IN ('approved', 'ocr_running') THEN 'ocr_running'
+      WHEN event = 'fetched' AND st = 'downloading' THEN 'downloaded' WHEN event = 'split' AND st = 'downloaded' THEN 'rasterizing' WHEN event = 'pages' AND st = 'rasterizing' THEN 'awaiting_review'
+      WHEN event = 'approve' AND st = 'awaiting_review' AND n < pages THEN CASE WHEN len(more) = pages THEN 'approved' ELSE st END
+      WHEN event = 'pause' AND st IN ('approved', 'paused') THEN 'paused' WHEN event = 'pause' AND st = 'ocr_running' THEN st WHEN event = 'resume' AND st = 'paused' THEN 'approved'
+      WHEN event = 'tick' AND st = 'ocr_running' THEN CASE WHEN a THEN 'paused' ELSE st END WHEN event = 'finish' AND st = 'ocr_running' THEN 'done'
+      WHEN event = 'fail' AND st IN ('downloading', 'downloaded', 'rasterizing', 'ocr_running') THEN 'failed'
+      WHEN event = 'retry' AND st IN ('done', 'failed') THEN CASE WHEN pages > 0 AND len(approved) = pages THEN 'approved' WHEN pages > 0 THEN 'awaiting_review' ELSE 'queued' END END AS t
+    FROM (SELECT f.item_id, e.i, f.status, f.error, f.pages, f.approved, f.progress, f."at", f.taken, f.refused, f.recovered, e.event, e.n, e.text, e."at" AS now, list_distinct(list_append(f.approved, e.n)) AS more,
+        coalesce(f.status IN ('downloading', 'downloaded', 'rasterizing', 'ocr_running') AND e."at" - f."at" > 21600, false) AS late,
+        CASE WHEN late AND f.status = 'ocr_running' THEN 'approved' WHEN late THEN 'queued' ELSE f.status END AS st, f.asked AND NOT late AS a
+      FROM qf f JOIN qe e ON e.item_id = f.item_id AND e.i = f.i + 1))),
+q_items AS (SELECT *, list_sort(approved) AS pages_done FROM qf QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i DESC) = 1)
+"""
+
+
+def queue_items(t: Tables) -> DataFrame:
+    return machine.queue().fold(t.queue_actions, ["item_id"], ["at", "event_id"])
+
+
+@query("ST2_queue_state", QUEUE + "SELECT item_id, status, error, pages, array_to_string(pages_done, ',') AS approved, asked, progress, \"at\", taken, refused, recovered FROM q_items")
+def st2(t):
+    return queue_items(t).withColumn("approved", F.array_join(F.col("approved").cast("array<string>"), ","))
+
+
+@query("ST2_states_over_time", QUEUE + "SELECT status, count(*) AS n, sum(refused)::BIGINT AS refused, sum(recovered)::BIGINT AS recovered FROM q_items GROUP BY 1")
+def st2_histogram(t):
+    return queue_items(t).groupBy("status").agg(F.count("*").alias("n"), F.sum("refused").alias("refused"), F.sum("recovered").alias("recovered"))
+
+
+@query("ST2_next_pending", QUEUE + "SELECT item_id, status FROM q_items WHERE status IN ('queued', 'downloading', 'downloaded', 'rasterizing', 'approved', 'ocr_running') ORDER BY item_id LIMIT 1")
+def st2_next(t):
+    return queue_items(t).where(F.col("status").isin(*consensus.PENDING)).orderBy("item_id").limit(1).select("item_id", "status")
+
+
+PUBLISH = """, pa AS (SELECT user_id AS item_id, epoch(date_trunc('second', ts))::BIGINT AS "at", event_id, CASE event_type WHEN 'signup' THEN 'request' WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'progress' ELSE 'start' END WHEN 'click' THEN 'publish'
+    WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'skip' ELSE 'progress' END ELSE 'fail' END AS event, CASE WHEN event_id % 3 > 0 THEN 't' || event_id % 7 END AS text FROM events),
+pe AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY "at", event_id) AS i FROM pa),
+pf AS (SELECT item_id, 0::BIGINT AS i, 'none' AS status, NULL::VARCHAR AS error, NULL::VARCHAR AS target, NULL::VARCHAR AS progress, NULL::BIGINT AS published_at, NULL::BIGINT AS "at", 0::BIGINT AS taken, 0::BIGINT AS refused, 0::BIGINT AS recovered FROM (SELECT DISTINCT item_id FROM pe)
+  UNION ALL SELECT item_id, i, coalesce(t, st), CASE WHEN t IS NULL THEN er WHEN event = 'fail' THEN text WHEN event = 'progress' THEN er END, CASE WHEN t IS NOT NULL AND event = 'start' THEN coalesce(text, target) ELSE target END,
+    CASE WHEN t IS NULL THEN pr WHEN event = 'progress' THEN text END, CASE WHEN t = 'published' THEN now ELSE published_at END,
+    CASE WHEN t IS NOT NULL OR late THEN now ELSE "at" END, taken + CASE WHEN t IS NULL THEN 0 ELSE 1 END, refused + CASE WHEN t IS NULL THEN 1 ELSE 0 END, recovered + CASE WHEN late THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN event = 'request' AND st <> 'publishing' THEN 'requested' WHEN event = 'start' AND (st IN ('requested', 'publishing') {0}) THEN 'publishing'
+      WHEN st <> 'publishing' THEN NULL WHEN event = 'progress' THEN 'publishing' WHEN event = 'publish' THEN 'published' WHEN event = 'skip' THEN 'skipped' WHEN event = 'fail' THEN 'failed' END AS t
+    FROM (SELECT f.* EXCLUDE (i, error, progress), e.i, e.event, e.text, e."at" AS now, coalesce(f.status = 'publishing' AND e."at" - f."at" > 21600, false) AS late, CASE WHEN late THEN 'requested' ELSE f.status END AS st, CASE WHEN NOT late THEN f.error END AS er, CASE WHEN NOT late THEN f.progress END AS pr
+      FROM pf f JOIN pe e ON e.item_id = f.item_id AND e.i = f.i + 1)))
+SELECT item_id, status, error, target, progress, published_at, "at", taken, refused, recovered FROM pf QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i DESC) = 1
+"""
+
+
+@query("ST3_publish_local", PUBLISH.format("OR st = 'none'"))
+def st3_local(t):
+    return machine.publishing("local").fold(t.publish_actions, ["item_id"], ["at", "event_id"])
+
+
+@query("ST3_publish_web", PUBLISH.format(""))
+def st3_web(t):
+    return machine.publishing("web").fold(t.publish_actions, ["item_id"], ["at", "event_id"])
+
+
+UPSERTS = "SELECT snippet_id, user_id, id FROM (SELECT *, event_id AS id FROM v_texts) QUALIFY row_number() OVER (PARTITION BY snippet_id, user_id ORDER BY ts DESC, id % 4, id DESC) = 1"
+
+
+@query("J14_streamed_upserts", UPSERTS)
+def j14_log(t):
+    """Suggestions in four batches, kept in a log of buckets; of equal times the earlier batch's stays."""
+    rows = t.actions.select("snippet_id", "user_id", F.col("event_id").alias("id"), "ts")
+    log = SnapshotLog(t.spark, scratch.folder(t.spark), ["snippet_id", "user_id"], "ts", ("id",), buckets=16)
+    for k in range(4):
+        log.upsert(rows.where(F.col("id") % 4 == k), k)
+    return log.current().select("snippet_id", "user_id", "id")
+
+
 @query("ST3_publish_state", """SELECT item_id, status, CASE WHEN status = 'failed' THEN 'error ' || k END AS error, target, CASE WHEN status = 'publishing' THEN progress END AS progress FROM (
 SELECT user_id AS item_id, arg_max(CASE event_type WHEN 'signup' THEN 'requested' WHEN 'view' THEN 'publishing' WHEN 'click' THEN 'published' WHEN 'purchase' THEN 'skipped' ELSE 'failed' END, (ts, event_id)) AS status,
   arg_max(event_id, (ts, event_id)) AS k, arg_max('t' || event_id % 3, (ts, event_id)) FILTER (event_id % 3 > 0) AS target, arg_max(event_id % 10, (ts, event_id)) AS progress FROM events GROUP BY 1)""")

@@ -16,6 +16,11 @@ PLACES = 1 << 20
 # Market segments stand for roles, event types for queue states.
 ROLES = {"MACHINERY": "guest", "BUILDING": "reviewer", "AUTOMOBILE": "editor", "HOUSEHOLD": "admin", "FURNITURE": "superadmin"}
 STATES = {"signup": "queued", "view": "awaiting_review", "click": "approved", "purchase": "done", "error": "failed"}
+#: Actions on queue items that an event of each type stands for; of errors there are four kinds.
+QUEUE_SCRIPTS = {
+    "signup": ("enqueue", "start", "fetched"), "view": ("split", "pages", "approve"), "click": ("approve", "approve", "start"), "purchase": ("tick", "tick", "finish"),
+    "error:0": ("fail", "retry", "start"), "error:1": ("pause", "tick", "resume"), "error:2": ("resume", "start", "fetched"), "error:3": ("retry", "start", "pause"),
+}
 
 
 def _lookup(column: str, values: dict[str, str]):
@@ -153,3 +158,23 @@ class Tables:
     @cached_property
     def queue_events(self) -> DataFrame:
         return self.raw("events").select("event_id", "ts", F.col("user_id").alias("item_id"), _lookup("event_type", STATES).alias("status"), "value")
+
+    @cached_property
+    def queue_actions(self) -> DataFrame:
+        """What workers and people do with queue items: each event stands for three actions, ten seconds apart."""
+        k = F.get_json_object("props", "$.k").cast("int")
+        scripts = F.when(F.lit(False), F.array().cast("array<string>"))
+        for kind, actions in QUEUE_SCRIPTS.items():
+            name, _, rest = kind.partition(":")
+            scripts = scripts.when((F.col("event_type") == name) & (F.lit(True) if not rest else k % 4 == int(rest)), F.array(*map(F.lit, actions)))
+        rows = self.raw("events").select("event_id", F.col("user_id").alias("item_id"), k.alias("k"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.posexplode(scripts).alias("place", "event"))
+        n = F.when(F.col("event") == "pages", 2 + F.col("k") % 2).when(F.col("event") == "approve", (F.col("k") + F.col("place")) % 3)
+        return rows.select("item_id", (F.col("at") + 10 * F.col("place")).alias("at"), (F.col("event_id") * 4 + F.col("place")).alias("event_id"), "event", n.cast("int").alias("n"), F.when(F.col("event").isin("fail", "start", "progress"), F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("text"))
+
+    @cached_property
+    def publish_actions(self) -> DataFrame:
+        """What is done to publish items: an event is one action."""
+        kind, i = F.col("event_type"), F.col("event_id")
+        event = F.when(kind == "signup", "request").when(kind == "view", F.when(i % 3 == 0, "progress").otherwise("start")).when(kind == "click", "publish").when(kind == "purchase", F.when(i % 2 == 0, "skip").otherwise("progress")).otherwise("fail")
+        text = F.when(F.lit(True), F.when(i % 3 > 0, F.concat(F.lit("t"), (i % 7).cast("string"))))
+        return self.raw("events").select(F.col("user_id").alias("item_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id", event.alias("event"), F.lit(None).cast("int").alias("n"), text.alias("text"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quire.operators import merge
 from quire.operators.consensus import START, step
+from quire.operators.machine import LEASE, RUNNING, Machine, queue
+from quire.streaming import snapshot_log
 
 STATE = "status string, final_text string, pending_text string, pending_by string, accepted long, rejected long"
 RESULT = "doc_id long, status string, final_text string, accepted long, rejected long"
@@ -60,16 +61,64 @@ def consensus(events: DataFrame) -> DataFrame:
     return events.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=Consensus(), outputStructType=RESULT, outputMode="Update", timeMode="None")
 
 
-def newest_suggestions(path: str, keys: list[str], time: str):
-    """A foreachBatch function that keeps the newest row of each key in snapshots under path. Older rows that come late change
-    nothing, so running a batch again gives the same."""
+def newest_suggestions(path: str, keys: list[str], time: str, ties: tuple[str, ...] = (), buckets: int = 64):
+    """A foreachBatch function that keeps the newest row of each key in a log under path (see snapshot_log). Older rows that
+    come late change nothing; running a batch again, or after a job that died in it, gives the same."""
+    return snapshot_log.upserting(path, keys, time, ties, buckets)
 
-    def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = merge.latest(batch, keys, [time])
-        before = f"{path}/batch-{batch_id - 1}"
-        if batch_id:
-            new = merge.upserted_if_newer(spark.read.parquet(before), new, keys, time)
-        new.write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
 
-    return merge_batch
+class Queue(StatefulProcessor):
+    """Queue items event by event: the machine's fields in a value, approved pages in a map, and a timer for the lease of a
+    running step. Within a batch events are taken in order of time and number."""
+
+    def __init__(self, machine: Machine, lease: int) -> None:
+        self.machine, self.lease = machine, lease
+        self.names = [n for n, _, _ in machine.fields if n != "approved"] + ["at", "taken", "refused", "recovered"]
+        self.types = {n: t for n, t, _ in machine.fields} | dict.fromkeys(("at", "taken", "refused", "recovered"), "long")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", ", ".join(f"{n} {self.types[n]}" for n in self.names))
+        self.pages = handle.getMapState("pages", "page int", "approved boolean")
+
+    def _held(self) -> dict:
+        s = self.machine.start()
+        if self.state.exists():
+            s |= dict(zip(self.names, self.state.get(), strict=True))
+            s["approved"] = sorted(k[0] for k in self.pages.keys())  # noqa: SIM118
+        return s
+
+    def _keep(self, key, s: dict) -> Iterator[pd.DataFrame]:
+        self.state.update(tuple(s[n] for n in self.names))
+        before = {k[0] for k in self.pages.keys()}  # noqa: SIM118
+        for page in before - set(s["approved"]):
+            self.pages.removeKey((page,))
+        for page in set(s["approved"]) - before:
+            self.pages.updateValue((page,), (True,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if s["status"] in RUNNING:
+            self.handle.registerTimer((s["at"] + self.lease + 1) * 1000)
+        yield pd.DataFrame({"key": [key[0]]} | {n: [s[n]] for n, _, _ in self.machine.fields} | {n: [s[n]] for n in ("at", "taken", "refused", "recovered")})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        plain = [{"event": e.event, "at": int(e.at), "n": None if pd.isna(e.n) else int(e.n), "text": None if pd.isna(e.text) else e.text} for e in events.itertuples(index=False)]
+        yield from self._keep(key, self.machine.run(self._held(), plain))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._keep(key, self.machine.run(self._held(), [], expiredTimerInfo.getExpiryTimeInMs() // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def queue_states(events: DataFrame, key: str, late: str = "0 seconds", lease: int = LEASE) -> DataFrame:
+    """A stream of queue items' states from events (key, at in seconds, event_id, event, n, text); see operators.machine.
+
+    A step that gives no sign of life for its lease goes back to wait for a worker once the watermark has passed."""
+    m = queue(lease)
+    rows = events.withColumn("time", F.timestamp_seconds("at")).withWatermark("time", late)
+    schema = f"key {events.schema[key].dataType.simpleString()}, {m.ddl()}"
+    out = rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Queue(m, lease), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    return out.withColumnRenamed("key", key)

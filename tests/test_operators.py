@@ -105,13 +105,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {d: fold([e for e in events if e[0] == d]) for d in range(20)}
 
 
-def test_newest_suggestions_in_any_order(spark, tmp_path):
-    merge_batch = review_stream.newest_suggestions(str(tmp_path), ["k"], "t")
-    for i, rows in enumerate([[(1, "b", 2)], [(1, "a", 1), (2, "c", 1)], [(2, "d", 3)]]):
-        merge_batch(spark.createDataFrame(rows, "k int, v string, t int"), i)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "batch-2")).collect()} == {(1, "b", 2), (2, "d", 3)}
-
-
 def test_catalog(spark):
     rows = [(i, f"E{i}", "http://x" if i == 1 else "(wait)" if i % 2 else None, f"Work {i}") for i in range(1, 7)]
     entries = spark.createDataFrame(rows, "id long, entry_id string, kosha_link string, prasanga_name string").withColumns({"kavi_name": F.lit(None).cast("string"), "publisher_name": F.lit(None).cast("string")})
