@@ -31,7 +31,10 @@ SALTS = 64
 
 
 def key_of(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, UPPER.lower())
+    """The line stripped and with A-Z lower-cased; most lines need neither function that reads them character by character."""
+    blank = lambda c: c.isin(*BLANKS)
+    bare = F.when(blank(F.substring(line, 1, 1)) | blank(F.substring(line, -1, 1)), F.btrim(line, F.lit(BLANKS))).otherwise(line)
+    return F.when(F.octet_length(line) == F.length(line), F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
 
 
 def split_lines(text: Column) -> Column:
@@ -75,7 +78,7 @@ def without(lines: Column, gone: Column) -> Column:
 
 def deduplicated(docs: DataFrame, least_chars: int = LEAST_CHARS, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text; see the module's text."""
-    lines = keyed_lines(docs, least_chars)
+    lines = stored(keyed_lines(docs, least_chars))  # read three times, and far smaller than the texts
     places = stored(lost_places(lines, stored(repeated_keys(lines, least_documents))))
     new = ("n_lines", "n_dropped", "kept_text")
     names = [c for c in docs.columns if c not in new]
