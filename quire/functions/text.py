@@ -31,8 +31,17 @@ def n_words(t: Column) -> Column:
     return F.coalesce(F.size(words(t)), F.lit(0)).cast("long")
 
 
+def lstrip(t: Column) -> Column:
+    return F.regexp_replace(t, f"^{BLANK}+", "")
+
+
+def rstrip(t: Column) -> Column:
+    """One match from the start: a pattern that ends in $ would try every run of blanks in the text."""
+    return F.regexp_extract(t, f"(?s)^(.*(?U)[^\\s\\x1C-\\x1F])?", 0)
+
+
 def strip(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(t, f"^{BLANK}+", ""), f"{BLANK}+$", "")
+    return rstrip(lstrip(t))
 
 
 def normalised(t: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions.text import n_words
+from quire.functions.text import lstrip, n_words, rstrip, strip
+from quire.operators._order import with_neighbours
+from quire.operators._skew import with_group
 
 NOT_RANKED = ("guest", "superadmin")
 
@@ -119,16 +121,46 @@ def page_range(snippets: DataFrame, start: int, count: int) -> DataFrame:
     return rows.select("snippet_id", "book_id", "page_index", "seq", F.coalesce("final_text", "working_text").alias("text"), F.col("final_text").isNotNull().alias("finalized"))
 
 
-def book_texts(snippets: DataFrame, final: bool = False) -> DataFrame:
-    """Each book as one text: lines in reading order, an empty line between pages, one line feed at the end."""
-    lines = snippets.select("book_id", "page_index", "seq", "snippet_id", "final_text", F.coalesce("final_text", "working_text").alias("line"))
-    shown = F.col("final_text").isNotNull() if final else F.lit(True)
-    page = F.array_sort(F.collect_list(F.when(shown, F.struct("page_index", "seq", "snippet_id", "line"))))
-    rows = lines.groupBy("book_id").agg(page.alias("l"))
-    text = F.aggregate("l", F.struct(F.lit("").alias("t"), F.lit(-1).alias("p")), lambda s, x: F.struct(F.concat(s["t"], F.when(s["p"] != x["page_index"], F.lit("\n\n")).otherwise(F.lit("\n")), x["line"]).alias("t"), x["page_index"].alias("p")), lambda s: s["t"])
-    from quire.functions.text import strip
+#: Pages of a file of a book's text.
+FILE_PAGES = 256
+
+
+def book_lines(snippets: DataFrame, final: bool = False, file_pages: int = FILE_PAGES) -> DataFrame:
+    """The lines of all books' texts in reading order: book_id, block (so many pages each), page_index, seq, snippet_id and value,
+    the line with an empty one before it where a page begins. The values of a book, each with a line feed behind it, are its text:
+    blank lines at its ends are left out and blanks at its ends cut off.
+
+    Rows are sorted in ranges of whole pages, so the only window is that over a page's lines; a book's first and last line come
+    from an aggregation. Nothing holds a book."""
+    rows = snippets.where("final_text IS NOT NULL") if final else snippets
+    lines = rows.select("book_id", F.floor(F.col("page_index") / file_pages).cast("int").alias("block"), "page_index", "seq", "snippet_id", F.coalesce("final_text", "working_text").alias("line"))
+    at = F.struct("page_index", "seq", "snippet_id")
+    shown = F.when(strip(F.col("line")) != "", at)
+    ends = lines.groupBy("book_id").agg(F.min(shown).alias("_first"), F.max(shown).alias("_last"), F.count("*").alias("_n"))
+    held = with_group(lines, ends, "book_id", "_n").where((at >= F.col("_first")) & (at <= F.col("_last")))
+    line = F.when(at == F.col("_first"), lstrip(F.col("line"))).otherwise(F.col("line"))
+    line = F.when(at == F.col("_last"), rstrip(line)).otherwise(line)
+    held = held.select("book_id", "block", "page_index", "seq", "snippet_id", line.alias("line"), (F.col("page_index") == F.col("_first.page_index")).alias("_opens"))
+    by_page = held.repartitionByRange("book_id", "block", "page_index")
+    begins = F.row_number().over(W.partitionBy("book_id", "block", "page_index").orderBy("seq", "snippet_id")) == 1
+    value = F.concat(F.when(begins & ~F.col("_opens"), "\n").otherwise(""), "line")
+    return by_page.select("book_id", "block", "page_index", "seq", "snippet_id", value.alias("value"))
 
-    return rows.select("book_id", F.concat(strip(text), F.lit("\n")).alias("text"))
+
+def text_blocks(lines: DataFrame) -> DataFrame:
+    """(book_id, block, first_page, last_page, n_lines, n_bytes, offset): where each block of a book's text stands in it."""
+    size = F.octet_length("value") + 1
+    blocks = lines.groupBy("book_id", "block").agg(F.min("page_index").alias("first_page"), F.max("page_index").alias("last_page"), F.count("*").alias("n_lines"), F.sum(size).alias("n_bytes"))
+    return with_neighbours(blocks, "book_id", ["block"], sums=("n_bytes",)).select(*blocks.columns, F.col("before_n_bytes").alias("offset"))
+
+
+def book_texts(snippets: DataFrame, final: bool = False) -> DataFrame:
+    """Each book as one text: lines in reading order, an empty line between pages, one line feed at the end. A row is a book;
+    sinks.text_files writes the same texts without one."""
+    lines = book_lines(snippets, final)
+    held = lines.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "seq", "snippet_id", "value"))).alias("l"))
+    texts = held.select("book_id", F.concat(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), F.lit("\n")).alias("text"))
+    return snippets.select("book_id").distinct().join(texts, "book_id", "left").select("book_id", F.coalesce("text", F.lit("\n")).alias("text"))
 
 
 def all_of(*predicates: Column | None) -> Column:
@@ -143,8 +175,9 @@ def paged(rows: DataFrame, order: list, page: int, per_page: int, most: int = 10
 
 def positions(snippets: DataFrame, order: list[str]) -> DataFrame:
     """Place of each snippet in its book, out of how many, and the snippets before and after it."""
-    w = W.partitionBy("book_id").orderBy(*order)
-    return snippets.select("book_id", "snippet_id", F.row_number().over(w).alias("position"), F.count("*").over(W.partitionBy("book_id")).alias("total"), F.lag("snippet_id").over(w).alias("prev"), F.lead("snippet_id").over(w).alias("next"))
+    rows = with_neighbours(snippets.select("book_id", "snippet_id", *order), "book_id", order, ("snippet_id",))
+    sizes = snippets.groupBy("book_id").agg(F.count("*").alias("total"))
+    return with_group(rows, sizes, "book_id", "total").select("book_id", "snippet_id", "position", "total", F.col("prev_snippet_id").alias("prev"), F.col("next_snippet_id").alias("next"))
 
 
 def table_key(rows: DataFrame, key: str) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import n_words
-from quire.operators import consensus, library, machine, merge, people, tally
+from quire.operators import consensus, library, machine, merge, people, tally, versions
+from quire.operators._order import with_neighbours
 from quire.plans.registry import query
+from quire.plans.views_sql import review_chain
 from quire.sources import scratch
 from quire.sources.adapters import QUEUE_SCRIPTS, Tables
 from quire.streaming.snapshot_log import SnapshotLog
@@ -305,12 +307,13 @@ def j15(t):
 
 @query("J18_W3_neighbours", "SELECT book_id, snippet_id, lag(snippet_id) OVER w AS prev, lead(snippet_id) OVER w AS next FROM v_snippets WINDOW w AS (PARTITION BY book_id ORDER BY doc_id)")
 def j18(t):
-    return library.positions(t.snippets, ["doc_id"]).select("book_id", "snippet_id", "prev", "next")
+    rows = with_neighbours(t.snippets.select("book_id", "doc_id", "snippet_id"), "book_id", ["doc_id"], ("snippet_id",))
+    return rows.select("book_id", "snippet_id", F.col("prev_snippet_id").alias("prev"), F.col("next_snippet_id").alias("next"))
 
 
 @query("W1_page_index", "SELECT doc_id, dense_rank() OVER (PARTITION BY book_id ORDER BY page_number, side) AS page_index FROM v_snippets")
 def w1(t):
-    return t.snippets.select("doc_id", F.dense_rank().over(W.partitionBy("book_id").orderBy("page_number", "side")).alias("page_index"))
+    return with_neighbours(t.snippets.select("book_id", "page_number", "side", "doc_id"), "book_id", ["page_number", "side", "doc_id"], dense=("page_number", "side")).select("doc_id", F.col("page").alias("page_index"))
 
 
 @query("W2_positions", "SELECT snippet_id, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS position, count(*) OVER (PARTITION BY book_id) AS total FROM v_snippets")
@@ -330,8 +333,9 @@ def w6(t):
 
 @query("W7_page_breaks", "SELECT snippet_id, page_index IS DISTINCT FROM lag(page_index) OVER (PARTITION BY book_id ORDER BY page_index, seq, doc_id) AS breaks FROM v_snippets WHERE final_text IS NOT NULL")
 def w7(t):
-    before = F.lag("page_index").over(W.partitionBy("book_id").orderBy("page_index", "seq", "doc_id"))
-    return t.snippets.where("final_text IS NOT NULL").select("snippet_id", (~F.col("page_index").eqNullSafe(before)).alias("breaks"))
+    rows = t.snippets.where("final_text IS NOT NULL").select("book_id", "page_index", "seq", "doc_id", "snippet_id")
+    rows = with_neighbours(rows, "book_id", ["page_index", "seq", "doc_id"], ("page_index",))
+    return rows.select("snippet_id", (~F.col("page_index").eqNullSafe(F.col("prev_page_index"))).alias("breaks"))
 
 
 @query("L2_pages_of_a_book", "SELECT page_index, side, count(*) AS total FROM v_snippets WHERE book_id = 'src2' GROUP BY ALL ORDER BY page_index OFFSET 3 LIMIT 3")
@@ -561,6 +565,72 @@ def st9(t):
     return payloads(light(t), t.suggestions, t.users).select("book_id", F.lit("export").alias("source"), F.size("snippets").cast("long").alias("n_snippets"))
 
 
+APPLIED = """, pt AS (SELECT s.book_id, s.page_index::BIGINT * 1048576 + s.seq AS n, s.snippet_id, s.doc, CASE WHEN doc % 2 = 0 THEN 'sync ' || s.ai_text ELSE '' END AS working_text, CASE WHEN doc % 4 = 0 THEN 'fin ' || s.ai_text END AS final_text, 'p' || doc % 8 || '@x.org' AS by_email, s.ai_text
+  FROM v_snippets s WHERE doc % 2 = 0 OR doc % 5 = 0),
+pp AS (SELECT 'p0@x.org' AS email, 'P 0' AS name, 'editor' AS role UNION ALL SELECT email, 'N ' || id, 'guest' FROM v_users WHERE id % 10 = 0),
+ps AS (SELECT snippet_id, n, 0 AS m, u.email, 'edit' AS kind, 'new9 ' || ai_text AS text, CASE WHEN doc % 4 < 2 THEN TIMESTAMP '2020-01-01' ELSE TIMESTAMP '2030-01-01' END AS ts FROM pt JOIN v_users u ON u.id = doc % 100 + 1 WHERE doc % 3 = 0
+  UNION ALL SELECT snippet_id, n, 1, 'new' || doc % 7 || '@x.org', 'confirm', NULL, TIMESTAMP '2024-06-01' FROM pt WHERE doc % 3 = 0),
+pe AS (SELECT email, min(n) AS since FROM (SELECT email, -1 AS n FROM pp UNION ALL SELECT email, n FROM ps) GROUP BY 1),
+pn AS (SELECT (SELECT max(id) FROM v_users) + row_number() OVER (ORDER BY email) AS id, email FROM pe WHERE email NOT IN (SELECT email FROM v_users WHERE role <> 'guest')),
+y_users AS (SELECT id, uid, name, email, role, active, banned, application_status FROM v_users UNION ALL SELECT pn.id, 'pending:' || pn.email, pp.name, pn.email, CASE WHEN pp.role = 'editor' THEN 'editor' ELSE 'reviewer' END, true, false, 'unset' FROM pn LEFT JOIN pp USING (email)),
+pa AS (SELECT pe.email, pe.since, arg_min(u.id, (starts_with(u.uid, 'pending:'), u.id)) AS user_id, arg_min(u.uid, (starts_with(u.uid, 'pending:'), u.id)) AS uid FROM pe JOIN y_users u ON u.email = pe.email AND u.role <> 'guest' GROUP BY ALL),
+ys AS (SELECT snippet_id, user_id, kind, text, ts FROM (SELECT snippet_id, user_id, kind, text, ts, -1 AS n, -1 AS m FROM v_suggestions UNION ALL SELECT snippet_id, user_id, kind, text, ts, n, m FROM ps JOIN pa USING (email)) QUALIFY row_number() OVER (PARTITION BY snippet_id, user_id ORDER BY ts DESC, n, m) = 1),
+y_snippets AS (SELECT s.* EXCLUDE (working_text, final_text, finalized_by, w), CASE WHEN s.final_text IS NOT NULL THEN s.working_text WHEN p.final_text <> '' THEN p.final_text WHEN p.working_text <> '' THEN p.working_text ELSE s.working_text END AS working_text,
+    coalesce(s.final_text, p.final_text) AS final_text, CASE WHEN s.final_text IS NULL AND p.final_text IS NOT NULL THEN CASE WHEN pa.since <= p.n THEN pa.uid END ELSE s.finalized_by END AS finalized_by FROM v_snippets s LEFT JOIN pt p USING (snippet_id) LEFT JOIN pa ON pa.email = p.by_email),
+y_suggestions AS (SELECT ys.*, user_id AS id, s.final_text, s.working_text FROM ys JOIN y_snippets s USING (snippet_id)),
+""" + review_chain("y")
+
+
+def sent_payload(t: Tables) -> versions.Payload:
+    """Reviews of half of the snippets by people known and new, older and newer than ours, with snippets that don't exist."""
+    doc = F.shiftright("doc_id", 20)
+    rows = t.snippets.withColumns({"doc": doc, "n": F.col("page_index").cast("long") * (1 << 20) + F.col("seq")}).where("doc % 2 = 0 OR doc % 5 = 0")
+    texts = rows.select(
+        "book_id", "n", "snippet_id", F.when(F.col("doc") % 2 == 0, F.concat(F.lit("sync "), "ai_text")).otherwise("").alias("working_text"), F.when(F.col("doc") % 4 == 0, F.concat(F.lit("fin "), "ai_text")).alias("final_text"),
+        F.concat(F.lit(" P"), (F.col("doc") % 8).cast("string"), F.lit("@x.org ")).alias("finalized_by_email"), F.lit(None).cast("timestamp").alias("finalized_at"), "doc", "ai_text",
+    )
+    voted, ntz = texts.where("doc % 3 = 0"), lambda s: F.lit(s).cast(t.suggestions.schema["ts"].dataType)
+    known = voted.join(t.users.select(F.col("id").alias("_u"), F.upper("email").alias("email")), F.col("doc") % 100 + 1 == F.col("_u"))
+    old = known.select("book_id", "n", F.lit(0).cast("long").alias("m"), "snippet_id", "email", F.lit("edit").alias("kind"), F.concat(F.lit("new9 "), "ai_text").alias("text"), F.when(F.col("doc") % 4 < 2, ntz("2020-01-01 00:00:00")).otherwise(ntz("2030-01-01 00:00:00")).alias("ts"))
+    new = voted.select("book_id", "n", F.lit(1).cast("long").alias("m"), "snippet_id", F.concat(F.lit("New"), (F.col("doc") % 7).cast("string"), F.lit("@x.org")).alias("email"), F.lit("confirm").alias("kind"), F.lit(None).cast("string").alias("text"), ntz("2024-06-01 00:00:00").alias("ts"))
+    gone = lambda df: df.withColumn("snippet_id", F.concat(F.lit("gone:"), "snippet_id"))
+    listed = t.users.where("id % 10 = 0").select(F.lit("src0").alias("book_id"), F.col("id").cast("long").alias("n"), "email", F.concat(F.lit("N "), F.col("id").cast("string")).alias("name"), F.lit("guest").alias("role"))
+    one = t.users.where("id = 1").select(F.lit("src0"), F.lit(0).cast("long"), F.lit("P0@x.org"), F.lit("P 0"), F.lit("editor"))
+    votes, texts = old.unionByName(new), texts.drop("doc", "ai_text")
+    return versions.Payload(listed.union(one), texts.unionByName(gone(texts.where("n % 7 = 0"))), votes.unionByName(gone(votes)))
+
+
+def applied_twice(t: Tables) -> versions.ReviewStore:
+    """A store whose imported version is applied, and applied again."""
+    store = versions.ReviewStore(t.spark, scratch.folder(t.spark))
+    votes = t.suggestions.select("snippet_id", "user_id", "kind", "text", "ts")
+    store.put({"users": t.users, "snippets": t.snippets, "suggestions": votes, "counts": state(t).select("snippet_id", "suggestion_count", "attention")})
+    version = store.save(sent_payload(t), "import")
+    for _ in range(2):
+        store.apply(version)
+    return store
+
+
+@query("ST9_applied_users", APPLIED + " SELECT id, uid, name, email, role, application_status FROM y_users")
+def st9_users(t):
+    return applied_twice(t).table("users").select("id", "uid", "name", "email", "role", "application_status")
+
+
+@query("ST9_applied_suggestions", APPLIED + " SELECT snippet_id, user_id, kind, text, ts FROM ys")
+def st9_suggestions(t):
+    return applied_twice(t).table("suggestions")
+
+
+@query("ST9_applied_texts", APPLIED + " SELECT snippet_id, working_text, final_text, finalized_by FROM y_snippets")
+def st9_texts(t):
+    return applied_twice(t).table("snippets").select("snippet_id", "working_text", "final_text", "finalized_by")
+
+
+@query("ST9_applied_counts", APPLIED + " SELECT snippet_id, suggestion_count, attention FROM y_state")
+def st9_counts(t):
+    return applied_twice(t).table("counts")
+
+
 @query("ST11_cascade_delete", "SELECT s.snippet_id, count(x.id) AS suggestions FROM v_snippets s LEFT JOIN v_suggestions x USING (snippet_id) WHERE s.doc_id % 10 <> 0 GROUP BY 1")
 def st11(t):
     left, made = merge.cascade(t.snippets, t.suggestions, t.snippets.where("doc_id % 10 = 0").select("snippet_id"), "snippet_id")
@@ -666,6 +736,18 @@ def tx12b(t):
     return library.book_texts(t.snippets, final=True)
 
 
+LINES = r""", kl AS (SELECT book_id, page_index // 4 AS block, page_index, seq, snippet_id, coalesce(final_text, working_text) AS line, page_index IS DISTINCT FROM lag(page_index) OVER (PARTITION BY book_id ORDER BY page_index, seq, snippet_id) AS breaks,
+  row_number() OVER (PARTITION BY book_id ORDER BY page_index, seq, snippet_id) AS k FROM (SELECT *, max(CASE WHEN coalesce(final_text, working_text) <> '' THEN (page_index, seq, snippet_id) END) OVER (PARTITION BY book_id) AS hi,
+  min(CASE WHEN coalesce(final_text, working_text) <> '' THEN (page_index, seq, snippet_id) END) OVER (PARTITION BY book_id) AS lo FROM v_snippets) WHERE (page_index, seq, snippet_id) BETWEEN lo AND hi),
+kb AS (SELECT book_id, CAST(block AS INT) AS block, min(page_index) AS first_page, max(page_index) AS last_page, count(*) AS n_lines, CAST(sum(strlen(line) + 1 + CASE WHEN breaks AND k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_bytes FROM kl GROUP BY book_id, block)
+SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY book_id ORDER BY block) - n_bytes AS BIGINT) AS "offset" FROM kb"""
+
+
+@query("TX12_text_blocks", LINES)
+def tx12c(t):
+    return library.text_blocks(library.book_lines(t.snippets, file_pages=4))
+
+
 @query("TX13_word_counts", r"SELECT snippet_id, len(regexp_extract_all(working_text, '\S+')) AS words FROM v_snippets")
 def tx13(t):
     return t.snippets.select("snippet_id", n_words(F.col("working_text")).alias("words"))

@@ -1,5 +1,7 @@
 """The entity views in DuckDB SQL, as the WITH clause that oracle queries begin with."""
 
+import re
+
 VIEWS = r"""
 WITH RECURSIVE n_docs AS (SELECT count(*) AS n FROM documents),
 lab AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id),
@@ -65,3 +67,13 @@ v_kinds AS (SELECT *, CASE WHEN NOT coalesce(starts_with(prati_link, 'http'), fa
 v_queue AS (SELECT event_id, ts, user_id AS item_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'awaiting_review' WHEN 'click' THEN 'approved' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS status, value FROM events),
 v_items AS (SELECT item_id, arg_max(status, (ts, event_id)) AS status, count(*) AS changes FROM v_queue GROUP BY item_id)
 """
+
+
+def review_chain(p: str) -> str:
+    """The views from changes to states once more, over p_snippets, p_suggestions (with the snippet's final_text and
+    working_text) and p_users instead of the fixture's; their names begin with p_."""
+    begin, end = VIEWS.index("c0 AS ("), VIEWS.index("v_library AS (")
+    part = VIEWS[begin:end].replace("coalesce(final_text, ai_text)", "coalesce(final_text, working_text)")
+    plain = re.sub(r"\bv_(changes|groups|votes|state|suggestions|snippets|users)\b", rf"{p}_\1", part)
+    plain = re.sub(r"\b(c0|c00|c1|c2)\b", rf"{p}_\1", plain)
+    return plain.rstrip().rstrip(",")

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import escaped, percent, safe_name
-from quire.operators import export
+from quire.operators import export, library
+from quire.operators._skew import with_group
+from quire.sources.scratch import Files
 
 
 POINTER = "CURRENT"
@@ -61,17 +63,48 @@ def gzip_bundles(readings: DataFrame, path: str) -> None:
     export.bundles(readings).repartition("book_id").write.partitionBy("book_id").option("compression", "gzip").text(path)
 
 
-def book_texts(texts: DataFrame, titles: DataFrame, path: str) -> None:
-    """Every book's text in a folder by its title as a file name."""
-    texts.join(titles.select("book_id", safe_name(F.col("title")).alias("name")), "book_id").select("name", "text").repartition("name").write.partitionBy("name").text(path)
+def text_files(lines: DataFrame, path: str) -> DataFrame:
+    """Books' texts (see library.book_lines) in folders by book and block of pages, a file each, and the index of the blocks.
 
+    Rows come sorted by book and block and are written as they stand; a block's file is its part of the text, so the files of a
+    book one after the other are the whole. The index, a row a block, is written beside them and returned."""
+    spark = lines.sparkSession
+    out = f"{path.rstrip('/')}/text"
+    lines.sortWithinPartitions("book_id", "block", "page_index", "seq", "snippet_id").select("book_id", "block", "value").write.partitionBy("book_id", "block").text(out)
+    library.text_blocks(lines).write.parquet(f"{path.rstrip('/')}/index")
+    return spark.read.parquet(f"{path.rstrip('/')}/index")
 
-def archived(texts: DataFrame, titles: DataFrame, path: str) -> None:
-    """A zip file on the driver with a text file for each book, named by id and title; books come one at a time."""
-    named = texts.join(titles.select("book_id", safe_name(F.coalesce(F.nullif("title", F.lit("")), "book_id")).alias("name")), "book_id")
+
+def text_of(spark: SparkSession, path: str, book_id: str) -> Iterator[str]:
+    """A book's text from text_files, a block at a time."""
+    files = Files(spark, path)
+    escaped_id = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(book_id)
+    of = f"text/book_id={escaped_id}"
+    for block in sorted(files.names(of), key=lambda n: int(n.split("=")[1])):
+        for name in files.names(f"{of}/{block}"):
+            if not name.startswith(("_", ".")):
+                yield files.read(f"{of}/{block}/{name}")
+
+
+def book_texts(snippets: DataFrame, titles: DataFrame, path: str) -> None:
+    """Every book's text as files of blocks in a folder by its title as a file name."""
+    names = titles.select("book_id", safe_name(F.col("title")).alias("name"))
+    per = snippets.groupBy("book_id").agg(F.count("*").alias("_n")).join(names, "book_id")
+    named = with_group(library.book_lines(snippets), per, "book_id", "_n")
+    # whole blocks stay in one task and in order, as a file each
+    rows = named.repartitionByRange("name", "block").sortWithinPartitions("name", "block", "page_index", "seq", "snippet_id")
+    rows.select("name", "block", "value").write.partitionBy("name", "block").text(path)
+
+
+def archived(spark: SparkSession, texts: str, titles: DataFrame, path: str) -> None:
+    """A zip file on the driver with a text file for each book, named by id and title. The texts are those of text_files under
+    `texts` and pass through a block at a time; titles come one at a time."""
+    named = titles.select("book_id", safe_name(F.coalesce(F.nullif("title", F.lit("")), "book_id")).alias("name"))
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for row in named.select("book_id", "name", "text").orderBy("book_id").toLocalIterator():
-            out.writestr(f"{row['book_id']}_{row['name']}.txt", row["text"] or "")
+        for row in named.orderBy("book_id").toLocalIterator():
+            with out.open(f"{row['book_id']}_{row['name']}.txt", "w", force_zip64=True) as entry:
+                for part in text_of(spark, texts, row["book_id"]):
+                    entry.write(part.encode())
 
 
 def versions(payloads: DataFrame, path: str) -> None:

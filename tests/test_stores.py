@@ -2,7 +2,6 @@
 
 import json
 import threading
-import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -101,14 +100,6 @@ def test_snapshots(spark, tmp_path):
     assert before.count() == 3
 
 
-def test_archives(spark, tmp_path):
-    texts = spark.createDataFrame([("b1", "one"), ("b2", None)], "book_id string, text string")
-    titles = spark.createDataFrame([("b1", "A b"), ("b2", "")], "book_id string, title string")
-    sinks.archived(texts, titles, str(tmp_path / "all.zip"))
-    with zipfile.ZipFile(tmp_path / "all.zip") as z:
-        assert {n: z.read(n).decode() for n in z.namelist()} == {"b1_A_b.txt": "one", "b2_b2.txt": ""}
-
-
 def test_sorted_tables(spark):
     rows = spark.createDataFrame([("1", "b", 2), ("2", "A", 10), ("3", "\u00e4", 9), ("4", "b", 1)], "book_id string, title string, total int")
     order = lambda *a: [r["book_id"] for r in library.sorted_table(rows, *a).collect()]
