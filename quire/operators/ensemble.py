@@ -20,19 +20,19 @@ def flags(readings: DataFrame, script: tuple[int, int] = T.SCRIPT) -> DataFrame:
     full = F.lit(True)
     for e in ENGINES:
         full &= F.col(e).isNotNull()
-    distinct = F.size(F.array_distinct(F.array(*[T.normalised(t) for t in texts])))
+    distinct = F.col("_distinct")  # a column of its own, so that texts are normalised once
     low = F.lit(False)
     for e in ENGINES:
         low |= F.coalesce(F.col(f"{e}.avg_confidence") < T.LOW_CONFIDENCE, F.lit(False))
         if "word_confidences" in readings.schema[e].dataType.names:
             low |= F.coalesce(F.exists(F.col(f"{e}.word_confidences"), lambda c: c < T.LOW_CONFIDENCE), F.lit(False))
     only = lambda c: F.when(full, c)
-    out = readings.withColumns({
+    out = readings.withColumn("_distinct", only(F.size(F.array_distinct(F.array(*[T.normalised(t) for t in texts]))))).withColumns({
         "disagreement": only(distinct > 1), "majority_agreement": only(distinct < 3), "low_confidence": only(low),
         "surya_suspect": only(T.suspect(texts[2], compressed_share(texts[2]), script)),
     })
     pairs = [(a, b) for i, a in enumerate(ENGINES) for b in ENGINES[i + 1 :]]
-    return out.withColumns({f"sim_{a}_{b}": only(similarity(F.col(f"{a}.text"), F.col(f"{b}.text"))) for a, b in pairs})
+    return out.drop("_distinct").withColumns({f"sim_{a}_{b}": only(similarity(F.col(f"{a}.text"), F.col(f"{b}.text"))) for a, b in pairs})
 
 
 def present_text(refined: Column) -> Column:

@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions import images, scans
-from quire.functions.geometry import sides
-from quire.functions.text import minted_name
+from quire.functions import images
 
 
 def runs(profile: DataFrame, key: str, at: str, gap: int, least: int) -> DataFrame:
@@ -45,13 +43,12 @@ def sliced(pages: DataFrame) -> DataFrame:
 
 
 def _per_image(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """work(row) for each row, giving tuples of schema's columns; one image at a time is held as an array."""
+    """work(row) for each row, giving tuples of schema's columns, a batch's together."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                yield pd.DataFrame([work(row)], columns=names)
+            yield pd.DataFrame([work(row) for row in pdf.itertuples(index=False)], columns=names)
 
     return rows.mapInPandas(run, schema)
 
@@ -59,66 +56,15 @@ def _per_image(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
 PAGES = "path string, width int, height int, content binary"
 
 
-def decoded(files: DataFrame, decode: Callable[[bytes], np.ndarray] = scans.read_tiff) -> DataFrame:
-    """Grey pages (path, width, height, content) of image files (path, content); decode reads formats other than plain TIFF.
-    A file that can't be read ends the job."""
-
-    def work(row):
-        level = scans.grey(decode(row.content))
-        return row.path, level.shape[1], level.shape[0], np.ascontiguousarray(level).tobytes()
-
-    return _per_image(files.select("path", "content"), work, PAGES)
-
-
 def _grey(row) -> np.ndarray:
     return np.frombuffer(row.content, np.uint8).reshape(row.height, row.width)
 
 
-def preprocessed(pages: DataFrame) -> DataFrame:
-    """pages made black and white and straight, ready to be sliced; grey is the straight page in its levels."""
-
-    def work(row):
-        level, binary = scans.preprocessed(_grey(row))
-        return row.path, row.width, row.height, binary.tobytes(), np.ascontiguousarray(level).tobytes()
-
-    return _per_image(pages.select("path", "width", "height", "content"), work, PAGES + ", grey binary")
-
-
 def trimmed(crops: DataFrame) -> DataFrame:
     """crops (path, width, height, content) down to their ink with a margin."""
 
     def work(row):
-        out = scans.trimmed(_grey(row))
+        out = images.trimmed(_grey(row))
         return row.path, out.shape[1], out.shape[0], np.ascontiguousarray(out).tobytes()
 
     return _per_image(crops.select("path", "width", "height", "content"), work, PAGES)
-
-
-def suggested(pages: DataFrame) -> DataFrame:
-    """A region (path, kind, quad) for each page: its paper, its text or all of it."""
-
-    def work(row):
-        kind, quad = scans.suggested(_grey(row))
-        return row.path, kind, quad.tolist()
-
-    return _per_image(pages.select("path", "width", "height", "content"), work, "path string, kind string, quad array<array<double>>")
-
-
-def cut_regions(pages: DataFrame, regions: DataFrame) -> DataFrame:
-    """TIFF files (path, name, tiff) of pages' regions (path, day, page_number, quarter_turns, quads, enhance: a map of mode,
-    brightness, contrast, level, block, offset as text, or null), named by day, page and side in the order of quads."""
-    rows = pages.join(regions.select("path", "day", "page_number", "quarter_turns", "quads", "enhance"), "path")
-    each = rows.select("path", "width", "height", "content", "day", "page_number", "quarter_turns", "enhance", F.posexplode("quads").alias("i", "quad"), sides(F.size("quads")).alias("sides"))
-    named = each.select("path", "width", "height", "content", "quarter_turns", "quad", "enhance", minted_name(F.col("day"), F.col("page_number"), F.get("sides", F.col("i"))).alias("name"))
-
-    def work(row):
-        told = {k: v if k == "mode" else int(v) if k in ("level", "block") else float(v) for k, v in dict(row.enhance or {}).items()}
-        out = scans.region(images.rotated(_grey(row), row.quarter_turns), [list(p) for p in row.quad], enhance=told)
-        return row.path, row.name, scans.tiff(out)
-
-    return _per_image(named, work, "path string, name string, tiff binary")
-
-
-def previews(pages: DataFrame, width: int, encode: Callable[[np.ndarray], bytes] = scans.tiff) -> DataFrame:
-    """Files (path, preview) of pages scaled down to width by area means; encode writes other formats than TIFF."""
-    return _per_image(pages.select("path", "width", "height", "content"), lambda row: (row.path, encode(scans.narrowed(_grey(row), width))), "path string, preview binary")

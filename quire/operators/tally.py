@@ -41,21 +41,34 @@ def groups(each: DataFrame) -> DataFrame:
 def tallied(snippets: DataFrame, suggestions: DataFrame, users: DataFrame) -> DataFrame:
     """One row per snippet: confirmations, edits and word changes, most agreed first."""
     each = each_change(snippets, suggestions, users)
-    same = F.size("changes") == 0
-    votes = each.groupBy("snippet_id").agg(
-        F.count_if(same & ~F.col("guest")).alias("confirms_reviewers"),
-        F.count_if(same & F.col("guest")).alias("confirms_guests"),
-        F.count_if(~same).alias("edit_suggestions"),
-        F.count("*").alias("suggestion_count"),
-    )
+    return folded(snippets, each)
+
+
+def folded(snippets: DataFrame, each: DataFrame) -> DataFrame:
+    """tallied() of changes that are there (see each_change).
+
+    One aggregation by snippet and change gives the groups and, in a row without a change, the votes; one by snippet puts
+    both together. A suggestion's row of votes and its changes come from one explode, so the changes are found once."""
+    none = F.lit(None).cast(each.schema["changes"].dataType.elementType)
+    rows = each.select("snippet_id", "suggestion_id", "ts", "user_id", "name", "role", "guest", (F.size("changes") == 0).alias("same"), F.explode(F.concat(F.array(none), F.col("changes"))).alias("c"))
+    person = F.when(~F.col("guest") & F.col("c").isNotNull(), F.struct("user_id", "name", "role"))
+    per = rows.groupBy("snippet_id", F.col("c").isNull().alias("vote"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.replacement").alias("replacement")).agg(
+        F.min_by("c.original", F.struct("ts", "suggestion_id")).alias("original"), F.array_sort(F.collect_list(person)).alias("reviewers"),
+        F.count_if(~F.col("guest")).alias("count"), F.count_if(F.col("role").isin(*EDITORS)).alias("editors"), F.count_if("guest").alias("guests"), F.min(F.struct("ts", "suggestion_id")).alias("first"),
+        F.count_if(F.col("same") & ~F.col("guest")).alias("confirms_reviewers"), F.count_if(F.col("same") & F.col("guest")).alias("confirms_guests"), F.count_if(~F.col("same")).alias("edit_suggestions"), F.count("*").alias("suggestion_count"),
+    )
     order = F.struct((-F.col("count")).alias("k1"), (-F.col("guests")).alias("k2"), F.col("start").alias("k3"), F.col("first").alias("k4"))
     change = F.struct("start", "end", "original", "replacement", "reviewers", "editors", "guests", "count")
-    lists = groups(each).groupBy("snippet_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), change.alias("g")))), lambda x: x["g"]).alias("word_changes"), F.max(F.col("count")).alias("most"))
-    rows = snippets.join(votes, "snippet_id", "left").join(lists, "snippet_id", "left")
+    vote = F.col("vote")
+    numbers = ("confirms_reviewers", "confirms_guests", "edit_suggestions", "suggestion_count")
+    lists = per.groupBy("snippet_id").agg(
+        F.array_sort(F.collect_list(F.when(~vote, F.struct(order.alias("o"), change.alias("g"))))).alias("l"), F.max(F.when(~vote, F.col("count"))).alias("most"), *[F.max(F.when(vote, F.col(c))).alias(c) for c in numbers],
+    )
+    lists = lists.withColumn("word_changes", F.when(F.size("l") > 0, F.transform("l", lambda x: x["g"]))).drop("l")
+    rows = snippets.join(lists, "snippet_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.select(
-        *snippets.columns, zero("confirms_reviewers"), zero("confirms_guests"), zero("edit_suggestions"), zero("suggestion_count"),
-        "word_changes", F.coalesce(F.col("most") >= ATTENTION, F.lit(False)).alias("attention"), F.col("suggestion_count").isNotNull().alias("has_activity"),
+        *snippets.columns, *map(zero, numbers), "word_changes", F.coalesce(F.col("most") >= ATTENTION, F.lit(False)).alias("attention"), F.col("suggestion_count").isNotNull().alias("has_activity"),
     )
 
 

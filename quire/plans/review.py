@@ -13,10 +13,13 @@ from quire.plans.registry import query
 from quire.plans.views_sql import review_chain
 from quire.sources import scratch
 from quire.sources.adapters import QUEUE_SCRIPTS, Tables
+from quire.streaming.live_tally import LiveTally
 from quire.streaming.snapshot_log import SnapshotLog
 
 
 def state(t: Tables) -> DataFrame:
+    """Tallied snippets; snippets and actions are written once, since the plan reads them several times."""
+    t = t.kept()
     return tally.tallied(t.snippets, t.suggestions, t.users)
 
 
@@ -686,6 +689,33 @@ def tx7b(t):
     return tally.groups(tally.each_change(t.snippets, t.suggestions, t.users)).select("snippet_id", "start", "end", "original", "replacement", "count", "editors", "guests")
 
 
+KEPT = """, z_snippets AS (SELECT * FROM v_snippets), z_users AS (SELECT * FROM v_users), z_suggestions AS (SELECT * EXCLUDE (final_text), s.final_text, s.working_text FROM (SELECT * EXCLUDE (ai_text, w, doc_id, book_id, p) FROM v_suggestions WHERE user_id % 11 <> 0) JOIN (SELECT snippet_id, final_text, working_text FROM v_snippets) s USING (snippet_id)),
+""" + review_chain("z")
+
+
+def kept_tally(t: Tables) -> LiveTally:
+    """Suggestions that come in three batches; a fourth one withdraws those of some people."""
+    live = LiveTally(t.spark, scratch.folder(t.spark), buckets=16)
+    rows = t.actions.select("snippet_id", "user_id", F.col("event_id").alias("id"), "ts", "kind", "text", F.lit(False).alias("gone"))
+    ends = [r[0] for r in t.raw("events").agg(F.percentile_approx("event_id", [0.4, 0.8]).alias("q")).select(F.explode("q")).collect()]
+    parts = [rows.where(F.col("id") <= ends[0]), rows.where((F.col("id") > ends[0]) & (F.col("id") <= ends[1])), rows.where(F.col("id") > ends[1])]
+    for k, part in enumerate(parts):
+        live.apply(part, k, t.snippets, t.users)
+    live.apply(t.suggestions.where("user_id % 11 = 0").select("snippet_id", "user_id", "id", "ts", "kind", "text", F.lit(True).alias("gone")), 3, t.snippets, t.users)
+    return live
+
+
+@query("A20_kept_counts", KEPT + "SELECT snippet_id, confirms_reviewers, confirms_guests, edit_suggestions, suggestion_count, attention FROM z_state WHERE suggestion_count > 0")
+def a20_kept(t):
+    return kept_tally(t).tallies().drop("word_changes")
+
+
+@query("TX7_kept_changes", KEPT + 'SELECT snippet_id, start, "end", original, replacement, n AS "count", editors, guests FROM z_groups')
+def tx7_kept(t):
+    rows = kept_tally(t).tallies().select("snippet_id", F.explode("word_changes").alias("g"))
+    return rows.select("snippet_id", "g.start", "g.end", "g.original", "g.replacement", "g.count", "g.editors", "g.guests")
+
+
 @query("TX8_word_diff", 'SELECT id, start, "end", original, replacement FROM v_changes')
 def tx8(t):
     each = tally.each_change(t.snippets, t.suggestions, t.users)

@@ -7,10 +7,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources import scratch
+
 #: A document is a page; every so many of its words, to the last one, are a snippet.
 SNIPPET_WORDS = 100
 #: Words of a snippet that the review actions edit, and the one that a finalised text has changed.
 EDITED = (0, 33, 66)
+#: Bytes of a table for each core below which it counts as small.
+SMALL_SHARE = 64 << 20
 #: A snippet's number is its document's id times this, plus its place in the document.
 PLACES = 1 << 20
 # Market segments stand for roles, event types for queue states.
@@ -54,6 +58,23 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table whose rows are dealt to all cores if it is so small that its few row groups would keep most of them idle."""
+        files = scratch.Files(self.spark, f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        small = files.fs.getContentSummary(files.at("")).getLength() < cores * SMALL_SHARE
+        return self.raw(name).repartition(cores, key) if small else self.raw(name)
+
+    def kept(self) -> Tables:
+        """These tables with snippets and actions written once, for plans that read them several times."""
+        out = Tables(self.spark, self.sf_dir)
+        for name in ("snippets", "actions"):
+            path = scratch.folder(self.spark)
+            df = getattr(out, name)
+            df.write.parquet(path)
+            out.__dict__[name] = self.spark.read.schema(df.schema).parquet(path)
+        return out
+
     @cached_property
     def books(self) -> DataFrame:
         source = F.col("source")
@@ -63,7 +84,7 @@ class Tables:
     def lines(self) -> DataFrame:
         """(doc, source, words, places): all words of each document and how many snippets they make, one at least."""
         words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-        docs = self.raw("documents").select(F.col("doc_id").alias("doc"), "source", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+        docs = self.spread("documents", "doc_id").select(F.col("doc_id").alias("doc"), "source", F.coalesce(words, F.array().cast("array<string>")).alias("words"))
         return docs.withColumn("places", F.greatest(F.lit(1), F.ceil(F.size("words") / SNIPPET_WORDS)).cast("int"))
 
     @cached_property

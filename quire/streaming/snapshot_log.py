@@ -62,10 +62,13 @@ def stack_to_merge(rows: list[int]) -> int:
 
 
 class SnapshotLog:
-    """A table of the newest row of each key under path, with one writer at a time and any number of readers."""
+    """A table of the newest row of each key under path, with one writer at a time and any number of readers.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], time: str, ties: tuple[str, ...] = (), buckets: int = 64) -> None:
+    by names the columns of the key that decide the bucket, all of them unless given."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], time: str, ties: tuple[str, ...] = (), buckets: int = 64, by: list[str] | None = None) -> None:
         self.spark, self.files, self.keys, self.time, self.ties, self.n_buckets = spark, Files(spark, path), keys, time, list(ties), buckets
+        self.by = by or keys
         #: Called after every durable step; tests stop the job there.
         self.after: Callable[[str], None] = lambda step: None
 
@@ -84,14 +87,15 @@ class SnapshotLog:
         paths = [f"{self.files.path}/data/{t}/_b={b}" for b, tables in of.items() for t in tables]
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def current(self, version: int | None = None) -> DataFrame | None:
-        """The newest row of every key; None before the first rows. Buckets of one file are read as they are, others merged."""
+    def current(self, version: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+        """The newest row of every key (of these buckets); None before the first rows. Buckets of one file are read as they are, others merged."""
         m = self.manifest(version)
         if m.schema is None:
             return None
         schema = T.StructType.fromJson(json.loads(m.schema))
-        whole = {b: [f[0][0]] for b, f in m.buckets.items() if len(f) == 1}
-        parts = {b: [t for t, _ in f] for b, f in m.buckets.items() if len(f) > 1}
+        asked = {b: f for b, f in m.buckets.items() if buckets is None or b in buckets}
+        whole = {b: [f[0][0]] for b, f in asked.items() if len(f) == 1}
+        parts = {b: [t for t, _ in f] for b, f in asked.items() if len(f) > 1}
         out = self.spark.createDataFrame([], schema)
         if whole:
             out = out.unionByName(self._table(schema, whole))
@@ -105,7 +109,11 @@ class SnapshotLog:
     # -- writing ---------------------------------------------------------------
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.n_buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.n_buckets)).cast("int")
+
+    def buckets_of(self, rows: DataFrame) -> set[int]:
+        """The buckets that rows' keys are in, as many as there are buckets at most."""
+        return {r[0] for r in rows.select(self._bucket()).distinct().collect()}
 
     def _write(self, rows: DataFrame, step: str) -> tuple[str, dict[int, int]]:
         """A new table of rows in a file for each bucket; its name, and its rows by bucket."""

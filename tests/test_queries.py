@@ -10,7 +10,7 @@ from quire.plans import registry
 SMALL = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = """A1_library_progress A3_contributor_stats A7_top_approved A12_facets F1_search F17_J16_permissions J1_catalog_star J14_upsert_if_newer L4_next_for_reviewer
-P12_J9_described ST1_consensus ST2_queue_state ST3_publish_state ST3_publish_local ST3_publish_web J14_streamed_upserts ST7_ingest ST8_review_sync TX2_flags TX4_consensus_words TX8_word_diff L6_change_order TX11_approval_plan TX12_book_text TX12_text_blocks ST9_applied_users ST9_applied_suggestions ST9_applied_texts ST9_applied_counts W2_positions J18_W3_neighbours W7_page_breaks TX21_word_marks IM5_runs U2_replace_page W1_page_index""".split()
+P12_J9_described ST1_consensus ST2_queue_state ST3_publish_state ST3_publish_local ST3_publish_web J14_streamed_upserts ST7_ingest ST8_review_sync TX2_flags TX4_consensus_words TX8_word_diff L6_change_order TX11_approval_plan TX12_book_text TX12_text_blocks A20_kept_counts TX7_kept_changes ST9_applied_users ST9_applied_suggestions ST9_applied_texts ST9_applied_counts W2_positions J18_W3_neighbours W7_page_breaks TX21_word_marks IM5_runs U2_replace_page W1_page_index""".split()
 NAMES = sorted(registry.SQL) if os.environ.get("ALL_QUERIES") else SOME
 
 

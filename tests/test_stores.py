@@ -20,14 +20,14 @@ def test_settings():
 
 @pytest.mark.parametrize("key", ["", "/a", "\\a", "a/../b", "..", "c:/x", "a\\..\\b"])
 def test_keys_stay_in_their_folder(tmp_path, key):
-    for store in (stores.Folder(str(tmp_path), "http://x"), stores.Rest("http://x", "k", "b", by=None)):
+    for store in (stores.Files(str(tmp_path), "http://x"), stores.Rest("http://x", "k", "b", by=None)):
         for use in (lambda s: s.put(key, b"", "text/plain"), lambda s: s.exists(key), lambda s: s.delete(key)):
             with pytest.raises(ValueError, match="not a key"):
                 use(store)
 
 
 def test_folders(spark, tmp_path):
-    store = stores.Folder(str(tmp_path), "http://host/")
+    store = stores.Files(str(tmp_path), "http://host/")
     files = spark.createDataFrame([("a/b.txt", bytearray(b"1")), ("c.txt", bytearray(b"2"))], "key string, content binary")
     assert {r["key"]: r["url"] for r in stores.stored(files, store, "text/plain").collect()} == {"a/b.txt": "http://host/files/a/b.txt", "c.txt": "http://host/files/c.txt"}
     assert store.exists("a/b.txt") and (tmp_path / "c.txt").read_bytes() == b"2"
