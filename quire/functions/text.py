@@ -141,3 +141,13 @@ def ago(seconds: Column) -> Column:
         .when(m < 2880, F.concat(up(m / 60.0).cast("string"), F.lit(" h ago")))
         .otherwise(F.concat(up(m / 1440.0).cast("string"), F.lit(" days ago")))
     )
+
+
+def canonical_json(t: Column) -> Column:
+    """JSON with an object's keys in order and no blanks, so that equal values have equal texts."""
+    return F.to_json(F.parse_json(t))
+
+
+def cache_key(t: Column, length: int = 12) -> Column:
+    """The first hex digits of the SHA-1 of a JSON value, however it is written."""
+    return F.substring(F.sha1(canonical_json(t)), 1, length)

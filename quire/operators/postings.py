@@ -12,6 +12,7 @@ lower() has it; an empty needle finds every text; a null text is never found by
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +39,13 @@ def grams(text: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(marked, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
 
 
-def needle_grams(needle: str) -> list[str]:
-    low = needle.lower()
-    return sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
+def runs_of(needle: str, wildcards: bool) -> list[str]:
+    """What a text with needle holds letter by letter: all of it, or what stands between its wildcards."""
+    return [r for r in (re.split("[%_]+", needle.lower()) if wildcards else [needle.lower()]) if r]
+
+
+def needle_grams(runs: list[str]) -> list[str]:
+    return sorted({r[i : i + GRAM] for r in runs for i in range(len(r) - GRAM + 1)})
 
 
 class Index:
@@ -73,25 +78,26 @@ class Index:
         for n in old:
             self.files.delete(n)
 
-    def candidates(self, needle: str) -> DataFrame | None:
-        """Ids of texts that may hold needle; None if any may (an empty needle)."""
-        low = needle.lower()
-        if not low:
+    def candidates(self, needle: str, wildcards: bool = False) -> DataFrame | None:
+        """Ids of texts that may hold needle; None if any may (an empty needle, or nothing but wildcards)."""
+        runs = runs_of(needle, wildcards)
+        if not runs:
             return None
-        if len(low) >= GRAM:
-            wanted = needle_grams(low)
+        wanted = needle_grams(runs)
+        if wanted:
             found = self.postings().where(F.col("gram").isin(*wanted)).distinct()
             return found.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") == len(wanted)).select("id")
-        # all trigrams from the needle itself to the last one that begins with it
+        low = max(runs, key=len)
+        # all trigrams from the run itself to the last one that begins with it
         return self.postings().where((F.col("gram") >= low) & (F.col("gram") < low + "\U0010ffff" * GRAM) & F.startswith("gram", F.lit(low))).select("id").distinct()
 
-    def search(self, rows: DataFrame, id_column: str, fields: list[str], needle: str) -> DataFrame:
-        """Rows in one of whose fields needle stands, whatever its case."""
-        low = F.lit(needle.lower())
+    def search(self, rows: DataFrame, id_column: str, fields: list[str], needle: str, wildcards: bool = False) -> DataFrame:
+        """Rows in one of whose fields needle stands, whatever its case; with wildcards, % and _ in it match as in LIKE."""
         hit = F.lit(False)
         for f in fields:
-            hit |= F.coalesce(F.contains(F.lower(F.col(f)), low), F.lit(not needle))
-        ids = self.candidates(needle)
+            own = F.ilike(F.col(f), F.lit(f"%{needle}%")) if wildcards else F.contains(F.lower(F.col(f)), F.lit(needle.lower()))
+            hit |= F.coalesce(own, F.lit(not needle))
+        ids = self.candidates(needle, wildcards)
         if ids is None:
-            return rows
+            return rows.where(hit)
         return rows.join(ids.withColumnRenamed("id", id_column), id_column, "left_semi").where(hit)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import links
-from quire.operators import catalog
+from quire.operators import catalog, postings
+from quire.operators._order import with_neighbours
 from quire.plans.registry import query
+from quire.sources import scratch
 from quire.sources.adapters import Tables
 
 
@@ -34,6 +36,15 @@ def f1(t):
     return catalog.searched(joined(t), "  e_1 ", limit=1000).select("id")
 
 
+@query("F1_indexed_search", f"SELECT id FROM v_entries WHERE {MATCH.format('e_1')}")
+def f1_indexed(t):
+    """All entries that a search finds, by an index of trigrams."""
+    rows, fields = joined(t), ["entry_id", "prasanga_name", "kavi_name", "publisher_name"]
+    index = postings.Index(t.spark, scratch.folder(t.spark))
+    index.add(rows.select("id", postings.joined([F.col(c) for c in fields]).alias("text")))
+    return index.search(rows, "id", fields, "e_1", wildcards=True).select("id")
+
+
 @query("F2_has_link", "SELECT id FROM v_entries WHERE has_link ORDER BY id LIMIT 200")
 def f2(t):
     return catalog.searched(joined(t), kosha="has", limit=200).select("id")
@@ -88,8 +99,9 @@ def st10(t):
 
 @query("L10_bulk_ids", "SELECT source, list_slice(list(doc_id ORDER BY doc_id), 1, 500) AS ids FROM documents GROUP BY 1")
 def l10(t):
-    doubled = F.sort_array(F.collect_list("doc_id"))
-    return t.raw("documents").groupBy("source").agg(doubled.alias("l")).select("source", catalog.bulk_ids(F.concat("l", "l")).alias("ids"))
+    """The first ids of each source: ranks from a range sort, so no source's ids are collected whole."""
+    rows = with_neighbours(t.raw("documents").select("source", "doc_id").distinct(), "source", ["doc_id"])
+    return rows.where(F.col("position") <= catalog.BULK_MOST).groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
 
 
 @query("TX17_strip_html", r"SELECT page_id, array_to_string(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^\s\x0B]+'), ' ') AS text FROM pages")

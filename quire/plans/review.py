@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import n_words
-from quire.operators import consensus, library, machine, merge, people, tally, versions
+from quire.operators import consensus, library, machine, merge, people, postings, tally, versions
 from quire.operators._order import with_neighbours
 from quire.plans.registry import query
 from quire.plans.views_sql import review_chain
-from quire.sources import scratch
+from quire.sources import keyset, scratch
 from quire.sources.adapters import QUEUE_SCRIPTS, Tables
 from quire.streaming.live_tally import LiveTally
 from quire.streaming.snapshot_log import SnapshotLog
@@ -160,9 +160,9 @@ def p13(t):
 
 @query("P17_version_summary", f"""SELECT book_id, count(*)::VARCHAR || ' touched, ' || (count(*) FILTER (final_text IS NOT NULL))::VARCHAR || ' finalized, ' || CAST(sum(suggestion_count) AS BIGINT)::VARCHAR || ' suggestion(s)' AS summary {TOUCHED} GROUP BY 1""")
 def p17(t):
-    from quire.operators.export import payloads, summaries
+    from quire.operators.export import summaries
 
-    return summaries(payloads(light(t), t.suggestions, t.users))
+    return summaries(library.touched(light(t)))
 
 
 @query("P18_status_pills", """SELECT snippet_id, CASE WHEN final_text IS NOT NULL THEN 'finalized' WHEN suggestion_count > 0 THEN 'awaiting approval' ELSE 'untouched' END AS pill,
@@ -563,9 +563,7 @@ def a21(t):
 
 @query("ST9_versions", f"SELECT book_id, 'export' AS source, count(*) AS n_snippets {TOUCHED} GROUP BY 1")
 def st9(t):
-    from quire.operators.export import payloads
-
-    return payloads(light(t), t.suggestions, t.users).select("book_id", F.lit("export").alias("source"), F.size("snippets").cast("long").alias("n_snippets"))
+    return library.touched(light(t)).groupBy("book_id").agg(F.lit("export").alias("source"), F.count("*").alias("n_snippets"))
 
 
 APPLIED = """, pt AS (SELECT s.book_id, s.page_index::BIGINT * 1048576 + s.seq AS n, s.snippet_id, s.doc, CASE WHEN doc % 2 = 0 THEN 'sync ' || s.ai_text ELSE '' END AS working_text, CASE WHEN doc % 4 = 0 THEN 'fin ' || s.ai_text END AS final_text, 'p' || doc % 8 || '@x.org' AS by_email, s.ai_text
@@ -788,3 +786,39 @@ def rate(t):
     from quire.streaming.review_stream import per_minute
 
     return per_minute(t.raw("events"))
+
+
+@query("rate_limits_by_route", """SELECT user_id, route, since, most, n, n > most AS over FROM (SELECT user_id, route, CASE WHEN route = 'apply' THEN date_trunc('hour', ts) ELSE date_trunc('minute', ts) END AS since, CASE route WHEN 'apply' THEN 5 WHEN 'read' THEN 300 ELSE 60 END AS most, count(*) AS n
+FROM (SELECT user_id % 20 AS user_id, ts, CASE event_type WHEN 'signup' THEN 'apply' WHEN 'view' THEN 'read' WHEN 'click' THEN 'suggest' WHEN 'purchase' THEN 'finalize' ELSE 'image' END AS route FROM events) WHERE route <> 'image' GROUP BY ALL)""", views=False)
+def rate_routes(t):
+    from quire.streaming.review_stream import per_route
+
+    routes = {"signup": "apply", "view": "read", "click": "suggest", "purchase": "finalize"}
+    route = F.lit("image")
+    for kind, name in routes.items():
+        route = F.when(F.col("event_type") == kind, name).otherwise(route)
+    rows = per_route(t.raw("events").select((F.col("user_id") % 20).alias("user_id"), route.alias("route"), "ts"))
+    return rows.select("user_id", "route", F.col("since").cast("timestamp_ntz").alias("since"), F.col("most").cast("int").alias("most"), "n", (F.col("n") > F.col("most")).alias("over"))
+
+
+@query("F4_indexed_search", "SELECT id, name, role FROM v_users WHERE role <> 'guest' AND (contains(lower(name), '0007') OR contains(lower(email), '0007'))")
+def f4_indexed(t):
+    """The search of people by an index of trigrams."""
+    people_ = t.users.where("role <> 'guest'")
+    index = postings.Index(t.spark, scratch.folder(t.spark))
+    index.add(people_.select("id", postings.joined([F.col("name"), F.col("email")]).alias("text")))
+    return index.search(people_, "id", ["name", "email"], "0007").select("id", "name", "role")
+
+
+@query("L2_keyset_pages", "SELECT page_index, seq, snippet_id, ai_text FROM v_snippets WHERE book_id = 'src2' ORDER BY page_index, seq, snippet_id OFFSET 60 LIMIT 30")
+def l2_keyset(t):
+    """The third page of thirty snippets, reached by cursors."""
+    table = keyset.Clustered(t.spark, scratch.folder(t.spark), ["page_index", "seq", "snippet_id"])
+    rows = t.snippets.where("book_id = 'src2'").select("page_index", "seq", "snippet_id", "ai_text")
+    for part in (0, 1):  # half of the rows come later
+        table.add(rows.where(F.col("page_index") % 2 == part))
+    cursor = None
+    for _ in range(2):
+        last = table.page(cursor, 30).select(*table.key).collect()[-1:]
+        cursor = tuple(last[0]) if last else cursor
+    return table.page(cursor, 30)

@@ -66,9 +66,6 @@ def tx1(t):
     return t.raw("documents").select("doc_id", T.normalised(F.col("text")).alias("text"))
 
 
-FOREIGN = r"length(regexp_replace(s, '[\s\x1C-\x1F।॥|/Il.,:;\-—''\x22()\[\]0-9A-Za-zÀ-ɏ\x5B-\x60\x7B-\xBF]', '', 'g')) / greatest(length(s), 1)"
-
-
 @query("TX2_flags", """SELECT doc_id, CASE WHEN complete THEN len(list_distinct([ne, nt, ns])) > 1 END AS disagreement, CASE WHEN complete THEN len(list_distinct([ne, nt, ns])) < 3 END AS majority_agreement,
 CASE WHEN complete THEN conf < 0.90::DOUBLE OR coalesce(s_conf < 0.90::DOUBLE, false) OR doubtful END AS low_confidence FROM v_readings""")
 def tx2(t):
@@ -171,3 +168,12 @@ def s5(t):
 @query("S7_cache_keys", "SELECT event_id, substr(sha1(props), 1, 12) AS key FROM events", views=False)
 def s7(t):
     return t.raw("events").select("event_id", F.substring(F.sha1("props"), 1, 12).alias("key"))
+
+
+@query("S7_canonical_keys", """SELECT event_id, substr(sha1('{"a":[' || event_id % 4 || ',null],"k":' || json_extract_string(props, '$.k') || ',"t":{"x":"é","y":true}}'), 1, 12) AS key FROM events""", views=False)
+def s7_canonical(t):
+    """A value written in two ways, by turns, has one key."""
+    k, a = F.get_json_object("props", "$.k"), (F.col("event_id") % 4).cast("string")
+    one = F.concat(F.lit('{"t": {"y": true, "x": "é"}, "k": '), k, F.lit(', "a": ['), a, F.lit(", null]}"))
+    two = F.concat(F.lit('{ "a":['), a, F.lit(',null],"t":{"x":"\\u00e9","y":true},"k":'), k, F.lit("}"))
+    return t.raw("events").select("event_id", T.cache_key(F.when(F.col("event_id") % 2 == 0, one).otherwise(two)).alias("key"))

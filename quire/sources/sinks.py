@@ -107,10 +107,6 @@ def archived(spark: SparkSession, texts: str, titles: DataFrame, path: str) -> N
                     entry.write(part.encode())
 
 
-def versions(payloads: DataFrame, path: str) -> None:
-    payloads.select("book_id", F.to_json(F.struct("book_id", "snippets")).alias("payload")).write.partitionBy("book_id").text(path)
-
-
 def pairs(named: DataFrame, read: Callable[[str], bytes | None], write: Callable[[str, bytes], None]) -> DataFrame:
     """Ground-truth pairs (stem, image_path, refined_text) written on the executors; (stem, written) comes back. A missing
     image is skipped; its number stays used. Writes are idempotent by name, so that a task can run again."""

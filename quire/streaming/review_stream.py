@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +28,37 @@ def over_limit(actions: DataFrame, limit: int = LIMIT, late: str = "5 minutes")
     return per_minute(actions.withWatermark("ts", late)).where(F.col("n") > limit)
 
 
+# Requests that a person may make of a route and the seconds they count in; '*' is every other route, null no limit.
+LIMITS = {"*": (300, 60), "suggest": (60, 60), "finalize": (60, 60), "accept": (60, 60), "apply": (5, 3600), "image": None, "ingest": None}
+
+
+def limits(table: dict[str, tuple[int, int] | None] = LIMITS) -> tuple[Column, Column]:
+    """The limit of the column route and the seconds it counts in, null where there is none."""
+    most = seconds = F.lit(None).cast("long")
+    rest = table.get("*")
+    if rest:
+        most, seconds = F.lit(rest[0]).cast("long"), F.lit(rest[1]).cast("long")
+    for route, own in table.items():
+        if route != "*":
+            most = F.when(F.col("route") == route, F.lit(own[0] if own else None).cast("long")).otherwise(most)
+            seconds = F.when(F.col("route") == route, F.lit(own[1] if own else None).cast("long")).otherwise(seconds)
+    return most, seconds
+
+
+def per_route(requests: DataFrame, table: dict[str, tuple[int, int] | None] = LIMITS) -> DataFrame:
+    """(user_id, route, since, most, n) of requests (user_id, route, ts) in each route's own windows, which begin at whole
+    multiples of their length. Requests without a user and routes without a limit aren't counted."""
+    most, seconds = limits(table)
+    held = requests.where("user_id IS NOT NULL").withColumns({"most": most, "_s": seconds}).where("_s IS NOT NULL")
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    since = F.timestamp_seconds(second - F.pmod(second, F.col("_s")))
+    return held.groupBy("user_id", "route", since.alias("since"), "most").agg(F.count("*").alias("n"))
+
+
+def over_limits(requests: DataFrame, table: dict[str, tuple[int, int] | None] = LIMITS) -> DataFrame:
+    return per_route(requests, table).where("n > most")
+
+
 def seen_once_a_minute(actions: DataFrame) -> DataFrame:
     """At most one last-seen update per user and minute."""
     return actions.withWatermark("ts", "1 minute").withColumn("minute", F.date_trunc("minute", "ts")).dropDuplicatesWithinWatermark(["user_id", "minute"])

@@ -183,6 +183,37 @@ def test_refine_falls_back_row_by_row(spark):
     assert got == {1: ("better", "m", None), 2: ("bad", "fallback-no-llm", "ValueError: no answer")}
     prompts = rows.select("id", refine.three_reading_prompt(F.lit(True), F.lit(False)).alias("p"), refine.one_reading_prompt("tesseract").alias("q")).orderBy("id").collect()
     assert "Reading C: (empty)" in prompts[1]["p"] and "good" in prompts[0]["p"] and prompts[1]["q"] is None
+    own = rows.select("id", refine.three_reading_prompt(F.lit(False), F.lit(False), "Rules {{x}}: {c}|{a}").alias("p")).orderBy("id").collect()
+    assert [r["p"] for r in own] == ["Rules {x}: x|good", "Rules {x}: (empty)|bad"]
+    with pytest.raises(KeyError):
+        refine.three_reading_prompt(F.lit(False), F.lit(False), "{unknown}")
+
+
+def test_one_reading_is_refined_and_a_blank_one_never_sent(spark):
+    from quire.operators import refine
+
+    rows = spark.createDataFrame([(1, ("good",)), (2, (" \t",)), (3, None), (4, ("bad",))], "id int, tesseract struct<text:string>")
+
+    def call(prompt):
+        assert prompt.startswith("by tesseract: ")
+        if "bad" in prompt:
+            raise ValueError("no answer")
+        return prompt[14:].upper()
+
+    got = {r["id"]: (r["refined_text"], r["refined_model"], r["refine_failed"]) for r in refine.refined_one(rows, "tesseract", call, "m", wait=0, template="by {engine}: {text}").collect()}
+    assert got == {1: ("GOOD", "m", None), 2: (" \t", None, None), 3: ("", None, None), 4: ("bad", "fallback-no-llm", "ValueError: no answer")}
+
+
+def test_limits_by_route(spark):
+    from datetime import datetime, timedelta
+
+    from quire.streaming import review_stream
+
+    at = datetime(2024, 1, 1, 10, 59, 30)
+    rows = [("u", "apply", at + timedelta(minutes=k)) for k in range(7)] + [("u", "image", at)] * 900 + [("v", "suggest", at)] * 61 + [("v", "read", at)] * 300 + [("w", "read", at)] * 301 + [(None, "suggest", at)] * 3
+    done = review_stream.over_limits(spark.createDataFrame(rows, "user_id string, route string, ts timestamp")).collect()
+    # six of the seven applications are in the hour from eleven on
+    assert sorted((r["user_id"], r["route"], r["n"]) for r in done) == [("u", "apply", 6), ("v", "suggest", 61), ("w", "read", 301)]
 
 
 def test_sync_takes_one_row_of_a_snippet_and_counts_the_rest(spark):

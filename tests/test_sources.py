@@ -220,6 +220,9 @@ def test_search_equals_contains(spark, tmp_path):
                 break
         index.compact()
         assert len(index.tables()) == 1
+    for needle in ("a%b", "_a", "%", "ab_b", "À%İ"):
+        plain = frame.where(F.coalesce(F.ilike("name", F.lit(f"%{needle}%")), F.lit(False)) | F.coalesce(F.ilike("email", F.lit(f"%{needle}%")), F.lit(False)))
+        assert sorted(r["id"] for r in index.search(frame, "id", ["name", "email"], needle, wildcards=True).collect()) == sorted(r["id"] for r in plain.collect()), needle
     plan = index.candidates("abab")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(gram" in plan
 
