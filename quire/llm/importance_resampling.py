@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import LOWER, plainly_named, quoted, record, small_batches, stored
+from quire.llm.common import LOWER, plainly_named, record, small_batches, stored
 
 #: A word is a run of ASCII letters and digits and of all other bytes over 0x7F.
 WORDS = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")

@@ -184,7 +184,8 @@ def fold() -> F.Column:
 
 
 def sampled(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """(doc_id, lang, strips): of each language about most / languages documents of the learning folds, and one at least on average, drawn by a hash."""
+    """(doc_id, lang, strips): of each language about most / languages documents of the learning folds, and one at least on average, drawn
+    by a hash; of all languages together never more than twice `most`."""
     usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & (fold() != 0))
     counts = usable.groupBy("lang").agg(F.count("*").alias("_n"))
     languages = counts.count()
@@ -206,7 +207,8 @@ def sampled(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
                 yield record(["doc_id", "lang", "strips"], [part.column("doc_id"), part.column("lang"), pa.array(out, pa.binary())])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return drawn.select("doc_id", "lang", "text").mapInArrow(strips, f"doc_id {kind}, lang string, strips binary")
+    rows = drawn.select("doc_id", "lang", "text").mapInArrow(strips, f"doc_id {kind}, lang string, strips binary")
+    return rows.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(2 * most)
 
 
 def learned(docs: DataFrame, most: int = SAMPLE_DOCS) -> Network | None:

@@ -212,12 +212,14 @@ def _best_split(binned, g, h, cuts, signs, ridge, least, low, high):
 
 
 def learned(stats: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Trees | None:
-    """Trees fitted to labelled rows of stats, at most about `most`, drawn by a hash of the id."""
+    """Trees fitted to labelled rows of stats, about `most` of them and never more than twice as many, drawn by a hash of the id.
+    Of rows that repeat an id the least by COUNTS counts; labels of one id that differ count as the smallest."""
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = usable.count()
     if n > most:
         usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    rows = stats.join(usable, "doc_id").orderBy("doc_id", *COUNTS).toPandas()
+    each = stats.join(usable, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "quality", "c.*")
+    rows = each.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(2 * most).toPandas().sort_values(["doc_id", *COUNTS], kind="stable")
     y = (rows["quality"].to_numpy(dtype=np.float64) > 0).astype(np.float64) if len(rows) else np.zeros(0)
     if len(np.unique(y)) < 2:
         return None

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import U64, Block, blocks, inside, mix, quoted, record, sequence_hashes, signed, text_bytes
+from quire.llm.common import U64, Block, blocks, inside, mix, quoted, record, sequence_hashes, signed
 from quire.llm.sketch import Repeats, repeats
 
 WINDOW = 20
