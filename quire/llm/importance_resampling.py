@@ -101,10 +101,10 @@ def gains(spark: SparkSession, source: DataFrame, target: DataFrame, n_buckets:
     return per.crossJoin(F.broadcast(total)).select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))  # one row of totals
 
 
-def weighted(docs: DataFrame, gain: list[int], run: int = RUN) -> DataFrame:
-    """docs with n_features, n_words and weight, named so behind _w_."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"_w_{n}", T.LongType()) for n in ("n_features", "n_words", "weight")]])
-    names = [f.name for f in docs.schema.fields]
+def weighted(docs: DataFrame, gain: list[int], run: int = RUN, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns in keep (all of them unless given) with n_features, n_words and weight, named so behind _w_."""
+    names = keep if keep is not None else docs.columns
+    schema = T.StructType([*[docs.schema[c] for c in names], *[T.StructField(f"_w_{n}", T.LongType()) for n in ("n_features", "n_words", "weight")]])
     shared = docs.sparkSession.sparkContext.broadcast(np.array(gain, dtype=np.int64))
     n_buckets = len(gain)
 
@@ -141,19 +141,20 @@ def ranked(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     return placed.withColumn("_p", part).join(F.broadcast(ahead), "_p").withColumn("_rank", F.when(rank <= most, rank)).drop("_p", "_a", "_i", "_tie")
 
 
-def resampled(docs: DataFrame, target: DataFrame, run: int = RUN, n_buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
-    """docs with n_features, weight, score and rank (null where not drawn); target has the column text."""
+def resampled(docs: DataFrame, target: DataFrame, run: int = RUN, n_buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns in keep (doc_id among them; all unless given) with n_features, weight, score and rank (null where not drawn);
+    target has the column text. Texts that aren't kept are not written between the steps."""
     spark = docs.sparkSession
     table = gains(spark, bucket_counts(docs, run, n_buckets), bucket_counts(target, run, n_buckets), n_buckets)
     gain = [0] * n_buckets
     for bucket, value in table.collect():  # as many as there are buckets
         gain[bucket] = value
     new = ("n_features", "weight", "score", "rank")
-    names = [c for c in docs.columns if c not in new]
-    plain, inner = plainly_named(docs, names)
-    plain = plain if "text" in inner else plain.withColumn("text", docs["text"])
+    names = [c for c in (keep if keep is not None else docs.columns) if c not in new]
+    plain, inner = plainly_named(docs, [*names, *["text"][: "text" not in names]])
+    inner = inner[: len(names)]
     id_name = inner[names.index("doc_id")]
-    rows = weighted(plain, gain, run)
+    rows = weighted(plain, gain, run, inner)
     rows = stored(rows.withColumn("_score", F.col("_w_weight") + gumbel(F.col(id_name), seed)))
     eligible = F.col("_w_n_words") >= least_words
     # scores lie within some ten thousand whole numbers, whatever the corpus
@@ -174,7 +175,7 @@ def resampled(docs: DataFrame, target: DataFrame, run: int = RUN, n_buckets: int
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
-    return resampled(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+    return resampled(docs, target, keep=["doc_id"]).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 SQL = r"""
