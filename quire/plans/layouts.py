@@ -111,11 +111,16 @@ def im9(t):
 
     def draw(batches):
         for pdf in batches:
-            for k, size in pdf.itertuples(index=False):
-                crop = np.full((200, 250), 240, np.uint8)
-                crop[30 : 50 + size, 40 : 70 + k % 50] = 20
-                yield pd.DataFrame([(f"p{k}", 250, 200, crop.tobytes())], columns=["path", "width", "height", "content"])
-
-    out = layout.trimmed(t.raw("part").select("p_partkey", "p_size").mapInPandas(draw, layout.PAGES))
-    paper = F.length(F.regexp_replace(F.hex("content"), "14", "")) / 2
+            for at in range(0, len(pdf), 64):  # so many crops at once
+                rows = []
+                for k, size in pdf[at : at + 64].itertuples(index=False):
+                    crop = np.full((200, 250), 240, np.uint8)
+                    crop[30 : 50 + size, 40 : 70 + k % 50] = 20
+                    rows.append((f"p{k}", 250, 200, crop.tobytes()))
+                yield pd.DataFrame(rows, columns=["path", "width", "height", "content"])
+
+    # parts are a small table, their pictures aren't
+    parts = t.raw("part").select("p_partkey", "p_size").repartition(4 * t.spark.sparkContext.defaultParallelism, "p_partkey")
+    out = layout.trimmed(parts.mapInPandas(draw, layout.PAGES))
+    paper = F.length(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\x14")))
     return out.select("path", "width", "height", paper.cast("long").alias("n_paper"))
