@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.diff import CHANGES, diff_changes
 from quire.operators.merge import latest
-from quire.operators.tally import ATTENTION, EDITORS
+from quire.operators.tally import ATTENTION, EDITORS, changes_of
+from quire.sources import scratch
 from quire.streaming.snapshot_log import SnapshotLog
 
 KEY = ["snippet_id", "user_id"]
@@ -33,12 +33,23 @@ class LiveTally:
         log = lambda name, keys: SnapshotLog(spark, f"{path}/{name}", keys, "_batch", buckets=buckets, by=["snippet_id"])
         self.spark, self.votes, self.groups, self.counts = spark, log("votes", KEY), log("groups", CHANGE), log("counts", ["snippet_id"])
 
+    def _brought(self, new: DataFrame, snippets: DataFrame, users: DataFrame) -> DataFrame:
+        """new (KEY, id, ts, kind, text, gone) with name, role and changes; rows that are withdrawn, or whose snippet or person
+        isn't known, have none and are gone."""
+        base = snippets.select("snippet_id", F.coalesce("final_text", "working_text").alias("_base"), F.lit(True).alias("_text"))
+        here = F.coalesce(F.col("_text"), F.lit(False)) & ~F.col("gone") & F.col("kind").isNotNull()
+        # withdrawn texts aren't compared
+        held = new.join(base, "snippet_id", "left").withColumn("_here", here).withColumn("_base", F.when(F.col("_here"), F.col("_base")))
+        held = held.withColumn("changes", changes_of("_base")).drop("_base", "_text")
+        named = held.join(users.select(F.col("id").alias("user_id"), "name", "role", F.lit(True).alias("_user")), "user_id", "left")
+        known = F.col("_here") & F.coalesce(F.col("_user"), F.lit(False))
+        return named.select(*KEY, "id", "ts", "kind", "text", *[F.when(known, F.col(c)).alias(c) for c in ("name", "role", "changes")], (~known).alias("gone"))
+
     def _changed(self, rows: DataFrame, snippets: DataFrame, users: DataFrame) -> DataFrame:
         """rows (KEY, id, ts, kind, text) with the person's name and role and the changes to the snippet's text now."""
         base = snippets.select("snippet_id", F.coalesce("final_text", "working_text").alias("_base"))
-        known = rows.join(base, "snippet_id").join(users.select(F.col("id").alias("user_id"), "name", "role"), "user_id")
-        edits = known.where("kind = 'edit'").withColumn("changes", diff_changes("_base", "text"))
-        return edits.unionByName(known.where("kind <> 'edit'").withColumn("changes", F.array().cast(CHANGES))).drop("_base")
+        known = rows.join(base, "snippet_id").where("kind IS NOT NULL").withColumn("changes", changes_of("_base")).drop("_base")
+        return known.join(users.select(F.col("id").alias("user_id"), "name", "role"), "user_id").select(*rows.columns, "name", "role", "changes")
 
     def apply(self, batch: DataFrame, batch_id: int, snippets: DataFrame, users: DataFrame, texts: DataFrame | None = None, people: DataFrame | None = None) -> None:
         """Takes a batch (KEY, id, ts, kind, text, gone); texts (snippet_id) and people (user_id) have changed since the last one."""
@@ -46,29 +57,34 @@ class LiveTally:
             return
         columns = [*KEY, "id", "ts", "kind", "text"]
         new = latest(batch.select(*columns, F.coalesce("gone", F.lit(False)).alias("gone")), KEY, ["ts", "id"])
+        # what a batch brings is written once with the changes it makes, and read by all three logs
+        folder = scratch.folder(self.spark)
+        self._brought(new, snippets, users).write.option("compression", "zstd").parquet(folder)
+        came = self.spark.read.parquet(folder)
+        new, rows = came.select(*KEY), came.where("NOT gone").drop("gone")
         # a person's votes can be anywhere, a snippet's are in its bucket
         named = new.select("snippet_id") if texts is None else new.select("snippet_id").union(texts.select("snippet_id"))
         held = self.votes.current(buckets=None if people is not None else self.votes.buckets_of(named))
-        rows = self._changed(new.where("NOT gone").drop("gone"), snippets, users)
-        before = None
+        before, due = None, None
         if held is not None:
             alive = held.where("NOT gone").drop("gone", "_batch")
-            before = alive.join(new.select(*KEY), KEY, "left_semi")
-            others = alive.join(new.select(*KEY), KEY, "left_anti")
+            before = alive.join(new, KEY, "left_semi")
+            others = alive.join(new, KEY, "left_anti")
             again = [others.join(t.select(c).distinct(), c, "left_semi") for t, c in ((texts, "snippet_id"), (people, "user_id")) if t is not None]
             if again:
                 due = again[0] if len(again) == 1 else again[0].unionByName(again[1]).dropDuplicates(KEY)
                 before = before.unionByName(due)
-                rows = rows.unionByName(self._changed(due.select(*columns), snippets, users))
+                due = self._changed(due.select(*columns), snippets, users)
+                rows = rows.unionByName(due)
         signed = rows.withColumn("sign", F.lit(1))
         if before is not None:
             signed = signed.unionByName(before.select(*rows.columns).withColumn("sign", F.lit(-1)))
         batch_no = F.lit(batch_id).cast("long").alias("_batch")
         self.groups.upsert(self._groups_after(signed).withColumn("_batch", batch_no), batch_id)
         self.counts.upsert(self._counts_after(signed).withColumn("_batch", batch_no), batch_id)
-        lost = new.join(rows.select(*KEY), KEY, "left_anti").select(*columns, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("name", "role", "changes")], F.lit(True).alias("gone"))
-        kept = rows.select(*columns, "name", "role", "changes", F.lit(False).alias("gone")).unionByName(lost)
+        kept = came if due is None else came.unionByName(due.withColumn("gone", F.lit(False)))
         self.votes.upsert(kept.withColumn("_batch", batch_no), batch_id)
+        scratch.Files(self.spark, folder).delete("")
 
     def _groups_after(self, signed: DataFrame) -> DataFrame:
         """The groups that signed votes touch, with their members after them."""
