@@ -39,13 +39,13 @@ def sk3(t):
 
 @query("SK4_pair_names", f"SELECT doc_id, concat_ws('_', 'kan', book_id, page_number, side, seq, row_number() OVER (ORDER BY doc_id) - 1) AS stem {HUMAN}")
 def sk4(t):
-    return export.pair_names(corrections(t), "kan", ["doc_id"]).select("doc_id", "stem")
+    return export.pair_names(corrections(t).drop("tesseract_text", "refined_text"), "kan", ["doc_id"]).select("doc_id", "stem")
 
 
 @query("SK5_bundle_rows", "SELECT doc_id, complete AS has_easyocr, t AS tesseract FROM v_readings")
 def sk5(t):
     fields = "map<string,struct<easyocr:struct<text:string,avg_confidence:double>,tesseract:struct<text:string,avg_confidence:double>,surya:struct<text:string,avg_confidence:double>>>"
-    rows = export.bundles(t.readings).select(F.explode(F.from_json("bundle", fields)).alias("snippet_id", "r"))
+    rows = export.bundles(t.readings).select(F.explode(F.from_json(export.bundle_members(F.col("line")), fields)).alias("snippet_id", "r"))
     return t.readings.select("doc_id", "snippet_id").join(rows, "snippet_id").select("doc_id", F.col("r.easyocr").isNotNull().alias("has_easyocr"), F.col("r.tesseract.text").alias("tesseract"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.export import bundle_members
+
 READING = "struct<text:string,avg_confidence:double>"
 # The schema is declared: a run of one engine lacks fields that inference would drop.
 RECORD_DDL = (
@@ -54,9 +56,9 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bundle(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (snippet_id, readings) of gzip bundles: one JSON object each."""
+    """Rows (snippet_id, readings) of gzip bundles: one JSON object each, in lines of some members (see export.bundles) or in one."""
     fields = f"map<string,struct<easyocr:{READING},tesseract:{READING},surya:{READING}>>"
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", fields)).alias("snippet_id", "readings"))
+    return spark.read.text(path).select(F.explode(F.from_json(bundle_members(F.col("value")), fields)).alias("snippet_id", "readings"))
 
 
 def memory_log(spark: SparkSession, folder: str) -> DataFrame:

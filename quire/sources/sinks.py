@@ -59,8 +59,9 @@ def json_lines(corrections: DataFrame, path: str) -> None:
 
 
 def gzip_bundles(readings: DataFrame, path: str) -> None:
-    """One gzip JSON object per book, in folders by book."""
-    export.bundles(readings).repartition("book_id").write.partitionBy("book_id").option("compression", "gzip").text(path)
+    """One gzip JSON object per book, in folders by book; lines of it are written as they come, in order."""
+    lines = export.bundles(readings).repartition("book_id").sortWithinPartitions("book_id", "part", "snippet_id")
+    lines.select("book_id", "line").write.partitionBy("book_id").option("compression", "gzip").text(path)
 
 
 def text_files(lines: DataFrame, path: str) -> DataFrame:
