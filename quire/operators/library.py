@@ -156,11 +156,15 @@ def text_blocks(lines: DataFrame) -> DataFrame:
 
 def book_texts(snippets: DataFrame, final: bool = False) -> DataFrame:
     """Each book as one text: lines in reading order, an empty line between pages, one line feed at the end. A row is a book;
-    sinks.text_files writes the same texts without one."""
-    lines = book_lines(snippets, final)
-    held = lines.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "seq", "snippet_id", "value"))).alias("l"))
-    texts = held.select("book_id", F.concat(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), F.lit("\n")).alias("text"))
-    return snippets.select("book_id").distinct().join(texts, "book_id", "left").select("book_id", F.coalesce("text", F.lit("\n")).alias("text"))
+    sinks.text_files writes the same texts without one.
+
+    Lines are joined by blocks of pages first, all over the cluster; a book's row is put together from its few blocks, of which
+    only the texts are held. A book without lines has a row without a block."""
+    joined = lambda *key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, "value"))), lambda x: x["value"]), "")
+    lines = book_lines(snippets, final).withColumn("value", F.concat("value", F.lit("\n")))
+    blocks = lines.groupBy("book_id", "block").agg(joined("page_index", "seq", "snippet_id").alias("value"))
+    empty = snippets.select("book_id").distinct().select("book_id", F.lit(None).cast("int").alias("block"), F.lit("").alias("value"))
+    return blocks.unionByName(empty).groupBy("book_id").agg(F.when(F.count("block") > 0, joined("block")).otherwise("\n").alias("text"))
 
 
 def all_of(*predicates: Column | None) -> Column:
