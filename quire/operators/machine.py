@@ -75,41 +75,58 @@ class Machine:
 
     # -- a batch -----------------------------------------------------------------
 
-    def _after(self, s: Column, e: Column) -> Column:
+    def _after(self, s: Column, e: Column, lost: bool) -> Column:
+        """The state after event e, which is LOST or is not. The state that a rule leads to is found once, rules by their event, and has
+        a name within the expression, else every field would try all rules again."""
         status, event = s["status"], e["event"]
-        fits = [(event == r.event) & status.isin(*r.sources) & (F.lit(True) if r.guard is None else F.coalesce(self.guards[r.guard][1](s, e), F.lit(False))) for r in self.rules]
-        taken, target = F.lit(False), F.when(F.lit(False), F.lit(""))
-        for fit, r in zip(fits, self.rules, strict=True):
-            taken, target = taken | fit, target.when(fit, F.lit(r.target) if r.target else status)
-        after = F.coalesce(target, status)
-        lost = event == LOST
-        out = [after.alias("status")]
-        for n, t, _ in self.fields[1:]:
-            value = F.when(F.lit(False), s[n])
-            for f in self.effects:
-                if f.field == n:
-                    value = value.when(taken & event.isin(*f.events) & (after.isin(*f.states) if f.states else F.lit(True)), f.column(s, e).cast(t))
-            out.append(value.otherwise(s[n]).alias(n))
+        by_event: dict[str, Column] = {}
+        for r in self.rules:
+            if (r.event == LOST) == lost:
+                fit = status.isin(*r.sources) & (F.lit(True) if r.guard is None else F.coalesce(self.guards[r.guard][1](s, e), F.lit(False)))
+                by_event[r.event] = by_event.get(r.event, F.when(F.lit(False), F.lit(""))).when(fit, F.lit(r.target) if r.target else status)
+        target = F.when(F.lit(False), F.lit(""))
+        for name, column in by_event.items():
+            target = column if lost else target.when(event == name, column)
         add = lambda c, if_: (s[c] + F.when(if_, 1).otherwise(0)).cast("long").alias(c)
-        return F.struct(*out, F.when(taken, e["at"]).otherwise(s["at"]).alias("at"), add("taken", taken & ~lost), add("refused", ~taken & ~lost), add("recovered", taken & lost))
+
+        def moved(after: Column) -> Column:
+            """after is null where no rule took the event."""
+            taken = after.isNotNull()
+            out = [F.coalesce(after, status).alias("status")]
+            for n, t, _ in self.fields[1:]:
+                value = F.when(~taken, s[n])
+                for f in self.effects:
+                    events = [x for x in f.events if (x == LOST) == lost]
+                    if f.field == n and events:
+                        value = value.when(event.isin(*events) & (after.isin(*f.states) if f.states else F.lit(True)), f.column(s, e).cast(t))
+                out.append(value.otherwise(s[n]).alias(n))
+            none = F.lit(False)
+            return F.struct(*out, F.when(taken, e["at"]).otherwise(s["at"]).alias("at"), add("taken", none if lost else taken), add("refused", none if lost else ~taken), add("recovered", taken if lost else none))
+
+        return F.element_at(F.transform(F.array(target), moved), 1)
 
     def fold(self, events: DataFrame, keys: list[str], order: list[str], until: int | None = None) -> DataFrame:
         """The state of each key after its events (event, at, payload columns) in order; with until, steps whose lease ends before
-        that time are given up. A key's events are one list: a queue item or book has as many as people and steps made."""
+        that time are given up. A key's events are one list: a queue item or book has as many as people and steps made.
+
+        The fold is part of the aggregation, so that a filter on the state doesn't fold once more."""
         rest = [c for c in events.columns if c not in {*keys, *order, "event"}]
-        lists = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "event", *rest))).alias("e"))
-        kind = lists.schema["e"].dataType.elementType
+        row = F.struct(*order, "event", *rest)
+        kind = events.select(row.alias("e")).schema["e"].dataType
         lost = lambda e: F.struct(*[(F.lit(LOST) if c == "event" else e[c]).alias(c) for c in kind.names])
-        # the lost event goes before each event, so that no expression holds another's result twice
-        both = F.flatten(F.transform("e", lambda e: F.array(lost(e), F.struct(*[e[c].alias(c) for c in kind.names]))))
-        if until is not None:
-            end = F.struct(*[(F.lit(LOST) if c == "event" else F.lit(until) if c == "at" else F.lit(None)).cast(kind[c].dataType).alias(c) for c in kind.names])
-            both = F.concat(both, F.array(end))
+
+        def step(s: Column, e: Column) -> Column:
+            """LOST is offered first; the state between has a name of its own."""
+            return F.element_at(F.transform(F.array(self._after(s, lost(e), True)), lambda x: self._after(x, e, False)), 1)
+
         first = self.start()
         types = dict((n, t) for n, t, _ in self.fields) | dict.fromkeys(("at", "taken", "refused", "recovered"), "long")
         value = lambda n: (F.array() if first[n] == [] else F.lit(first[n])).cast(types[n]).alias(n)
-        done = lists.select(*keys, F.aggregate(both, F.struct(*[value(n) for n in types]), self._after).alias("s"))
-        return done.select(*keys, "s.*")
+        state = F.aggregate(F.array_sort(F.collect_list(row)), F.struct(*[value(n) for n in types]), step)
+        if until is not None:
+            end = F.struct(*[(F.lit(LOST) if c == "event" else F.lit(until) if c == "at" else F.lit(None)).cast(kind[c].dataType).alias(c) for c in kind.names])
+            state = F.element_at(F.transform(F.array(state), lambda s: self._after(s, end, True)), 1)
+        return events.groupBy(*keys).agg(state.alias("s")).select(*keys, "s.*")
 
 
 # -- queue items -------------------------------------------------------------------
