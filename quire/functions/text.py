@@ -47,8 +47,9 @@ def strip(t: Column) -> Column:
 
 
 def normalised(t: Column) -> Column:
-    """Words joined by one blank."""
-    return F.trim(F.regexp_replace(t, f"{BLANK}+", " "))
+    """Words joined by one blank. Only runs of blanks and other blanks than the plain one are looked for; most blanks stay."""
+    other = _BLANKS.replace("\\x1C-\\x20", "\\x1C-\\x1F")
+    return F.trim(F.regexp_replace(t, f"{BLANK}{{2,}}|[{other}]", " "))
 
 
 def blank_to_null(t: Column) -> Column:
@@ -82,14 +83,13 @@ def consensus(*readings: Column) -> Column:
 def mark_floor(mark: str, *readings: Column) -> Column:
     """Most often that a one-character mark stands in any reading; null where it stands in none."""
     counts = [F.length(F.coalesce(r, F.lit(""))) - F.length(F.replace(F.coalesce(r, F.lit("")), F.lit(mark))) for r in readings]
-    most = F.greatest(*counts)
-    return F.when(most > 0, most)
+    return F.nullif(F.greatest(*counts), F.lit(0))
 
 
 def foreign_share(t: Column, script: tuple[int, int] = SCRIPT) -> Column:
     """Characters outside the script and the common ones, blanks not counted, over all characters."""
     kept = "".join(f"\\x{{{ord(c):X}}}" for c in COMMON)
-    alien = F.length(F.regexp_replace(t, f"(?U)[\\s\\x1C-\\x1F{kept}\\x{{{script[0]:X}}}-\\x{{{script[1]:X}}}]", ""))
+    alien = F.length(F.regexp_replace(t, f"(?U)[\\s\\x1C-\\x1F{kept}\\x{{{script[0]:X}}}-\\x{{{script[1]:X}}}]+", ""))
     return alien / F.greatest(F.length(t), F.lit(1))
 
 

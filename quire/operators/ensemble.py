@@ -27,9 +27,12 @@ def flags(readings: DataFrame, script: tuple[int, int] = T.SCRIPT) -> DataFrame:
         if "word_confidences" in readings.schema[e].dataType.names:
             low |= F.coalesce(F.exists(F.col(f"{e}.word_confidences"), lambda c: c < T.LOW_CONFIDENCE), F.lit(False))
     only = lambda c: F.when(full, c)
-    out = readings.withColumn("_distinct", only(F.size(F.array_distinct(F.array(*[T.normalised(t) for t in texts]))))).withColumns({
+    # only texts whose compressed size decides are compressed
+    n = F.length(texts[2])
+    ratio = compressed_share(F.when(full & (n > T.LEAST_RATIO_CHARS) & (n <= T.MOST_CHARS), texts[2]))
+    out = readings.withColumn("_distinct", only(F.size(F.array_distinct(F.transform(F.array_distinct(F.array(*texts)), T.normalised))))).withColumns({
         "disagreement": only(distinct > 1), "majority_agreement": only(distinct < 3), "low_confidence": only(low),
-        "surya_suspect": only(T.suspect(texts[2], compressed_share(texts[2]), script)),
+        "surya_suspect": only(T.suspect(texts[2], ratio, script)),
     })
     pairs = [(a, b) for i, a in enumerate(ENGINES) for b in ENGINES[i + 1 :]]
     return out.drop("_distinct").withColumns({f"sim_{a}_{b}": only(similarity(F.col(f"{a}.text"), F.col(f"{b}.text"))) for a, b in pairs})
@@ -49,8 +52,8 @@ def seed_text(refined: Column) -> Column:
 def fallback_text(majority: Column) -> Column:
     """With a majority the first reading that a later one equals in its words, as it was read; else the first that isn't empty."""
     e, t, s = (F.coalesce(F.col(f"{x}.text"), F.lit("")) for x in ENGINES)
-    ne, nt, ns = (T.normalised(x) for x in (e, t, s))
-    agreed = F.when((ne == nt) | (ne == ns), e).when(nt == ns, t)
+    same = lambda a, b: (a == b) | (T.normalised(a) == T.normalised(b))
+    agreed = F.when(same(e, t) | same(e, s), e).when(same(t, s), t)
     return F.coalesce(F.when(majority, agreed), T.truthy(e, t, s))
 
 
@@ -67,9 +70,11 @@ def hint(majority: Column, suspect: Column, lines: dict[str, str] = LINES) -> Co
     """Lines that tell what the readings agree on, each only where it applies."""
     texts = [F.col(f"{e}.text") for e in ENGINES]
     common = T.consensus(*texts)
+    some = lambda c: F.nullif(c, F.lit(""))
     marks = F.concat_ws(", ", *[F.concat(T.mark_floor(m, *texts).cast("string"), F.lit(f" x {m} or more")) for m in T.DANDAS])
-    told = F.concat_ws("\n", F.when(majority, lines["agree"]), F.when(F.size(common) > 0, F.concat(F.lit(lines["words"]), F.array_join(common, ", "))), F.when(marks != "", F.concat(F.lit(lines["marks"]), marks)), F.when(suspect, lines["doubt"]))
-    return F.when(told != "", F.concat(F.lit("\n"), told, F.lit("\n"))).otherwise(F.lit("\n"))
+    # every part stands once in the expression, else it would be computed once more; an empty line at each end makes the line feeds there
+    told = [F.when(majority, lines["agree"]), F.concat(F.lit(lines["words"]), some(F.array_join(common, ", "))), F.concat(F.lit(lines["marks"]), some(marks)), F.when(suspect, lines["doubt"])]
+    return F.concat_ws("\n", F.lit(""), *told, F.lit(""))
 
 
 def report(flagged: DataFrame) -> DataFrame:
