@@ -56,7 +56,9 @@ class Index:
 
     def add(self, rows: DataFrame) -> None:
         """Adds rows (id, text) that the index doesn't have yet, as files of their own that become visible at once."""
-        self._write(rows.select("id", F.explode(grams(F.col("text"))).alias("gram")))
+        # a text makes many times its size of trigrams, so texts of a small table are dealt to all cores first
+        dealt = rows.select("id", "text").repartition(2 * self.spark.sparkContext.defaultParallelism, "id")
+        self._write(dealt.select("id", F.explode(grams(F.col("text"))).alias("gram")))
 
     def _write(self, pairs: DataFrame) -> str:
         name = uuid.uuid4().hex
