@@ -98,10 +98,15 @@ def dashboard(books: DataFrame, users: DataFrame, suggestions: DataFrame, snippe
     shown = progress(books, snippets)
     return {
         "top_suggesters": top_suggesters(users, suggestions), "top_approved": top_approved(users, suggestions, snippets), "trends": trends(snippets),
-        "participation": participation(books, users, suggestions, snippets), "books": shown, "pending_admin_review": shown.where("needs_attention > 0"),
+        "participation": participation(books, users, suggestions, snippets), "books": shown, "pending_admin_review": pending_admin_review(shown),
     }
 
 
+def pending_admin_review(shown: DataFrame) -> DataFrame:
+    """Of books' progress those that wait for an administrator."""
+    return shown.where("needs_attention > 0")
+
+
 def page_counts(snippets: DataFrame) -> DataFrame:
     """Distinct (page, side) and the last page index of each book."""
     return snippets.groupBy("book_id").agg(F.count_distinct("page_number", "side").alias("page_count"), F.max("page_index").alias("total_pages"))

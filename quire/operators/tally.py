@@ -29,6 +29,14 @@ def each_change(snippets: DataFrame, suggestions: DataFrame, users: DataFrame) -
     return rows.join(users.select(F.col("id").alias("user_id"), "name", "role"), "user_id").withColumn("guest", F.col("role") == "guest")
 
 
+def changed(reviewed: DataFrame) -> DataFrame:
+    """each_change() of suggestions that come with their snippets' current_text and their people's name and role.
+
+    Nothing is joined here, so rows that come dealt by snippet are summed where they are."""
+    rows = reviewed.where("kind IS NOT NULL").withColumn("changes", changes_of("current_text"))
+    return rows.select("snippet_id", F.col("id").alias("suggestion_id"), "ts", "user_id", "name", "role", (F.col("role") == "guest").alias("guest"), "kind", "changes")
+
+
 def groups(each: DataFrame) -> DataFrame:
     """One row per (snippet, change) with who agrees on it; first is the earliest suggestion's (ts, id)."""
     rows = each.select("snippet_id", "suggestion_id", "ts", "user_id", "name", "role", "guest", F.explode("changes").alias("c"))
@@ -49,8 +57,12 @@ def tallied(snippets: DataFrame, suggestions: DataFrame, users: DataFrame) -> Da
     return folded(snippets, each)
 
 
-def folded(snippets: DataFrame, each: DataFrame) -> DataFrame:
-    """tallied() of changes that are there (see each_change).
+#: What a word change says.
+CHANGE = ("start", "end", "original", "replacement", "reviewers", "editors", "guests", "count")
+
+
+def folded(snippets: DataFrame, each: DataFrame, change: tuple[str, ...] = CHANGE) -> DataFrame:
+    """tallied() of changes that are there (see each_change); change names what is asked of a word change.
 
     One aggregation by snippet and change gives the groups and, in a row without a change, the votes; one by snippet puts
     both together. A suggestion's row of votes and its changes come from one explode, so the changes are found once."""
@@ -63,11 +75,10 @@ def folded(snippets: DataFrame, each: DataFrame) -> DataFrame:
         F.count_if(F.col("same") & ~F.col("guest")).alias("confirms_reviewers"), F.count_if(F.col("same") & F.col("guest")).alias("confirms_guests"), F.count_if(~F.col("same")).alias("edit_suggestions"), F.count("*").alias("suggestion_count"),
     )
     order = F.struct((-F.col("count")).alias("k1"), (-F.col("guests")).alias("k2"), F.col("start").alias("k3"), F.col("first").alias("k4"))
-    change = F.struct("start", "end", "original", "replacement", "reviewers", "editors", "guests", "count")
     vote = F.col("vote")
     numbers = ("confirms_reviewers", "confirms_guests", "edit_suggestions", "suggestion_count")
     lists = per.groupBy("snippet_id").agg(
-        F.array_sort(F.collect_list(F.when(~vote, F.struct(order.alias("o"), change.alias("g"))))).alias("l"), F.max(F.when(~vote, F.col("count"))).alias("most"), *[F.max(F.when(vote, F.col(c))).alias(c) for c in numbers],
+        F.array_sort(F.collect_list(F.when(~vote, F.struct(order.alias("o"), F.struct(*change).alias("g"))))).alias("l"), F.max(F.when(~vote, F.col("count"))).alias("most"), *[F.max(F.when(vote, F.col(c))).alias(c) for c in numbers],
     )
     lists = lists.withColumn("word_changes", F.when(F.size("l") > 0, F.transform("l", lambda x: x["g"]))).drop("l")
     rows = snippets.join(lists, "snippet_id", "left")
@@ -86,7 +97,16 @@ def approval_plan(tallies: DataFrame) -> DataFrame:
     """For every snippet that isn't final: its text before and after the approvable changes, and how many they are."""
     todo = tallies.where("final_text IS NULL").withColumn("plan", F.coalesce(auto_approvable(F.col("word_changes"), F.col("confirms_reviewers")), F.array().cast(tallies.schema["word_changes"].dataType)))
     slim = F.transform("plan", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), g["original"].alias("original"), g["replacement"].alias("replacement")))
-    return todo.select("snippet_id", "book_id", "page_index", F.col("working_text").alias("before"), apply_changes("working_text", slim).alias("after"), F.size("plan").cast("long").alias("changes_applied"))
+    some = F.size("plan") > 0  # other texts stay as they are and aren't sent to Python
+    after = F.when(some, apply_changes(F.when(some, F.col("working_text")), slim)).otherwise(F.col("working_text"))
+    return todo.select("snippet_id", "book_id", "page_index", F.col("working_text").alias("before"), after.alias("after"), F.size("plan").cast("long").alias("changes_applied"))
+
+
+def change_order(each: DataFrame) -> DataFrame:
+    """(snippet_id, ordered) of each_change(): a snippet's word changes, most agreed first."""
+    order = F.struct(-F.col("count"), -F.col("guests"), "start", "first")
+    told = F.struct(order.alias("o"), F.concat_ws("/", "count", "guests", "start", "replacement").alias("text"))
+    return groups(each).groupBy("snippet_id").agg(F.array_sort(F.collect_list(told))["text"].alias("ordered"))
 
 
 def word_marks(changes: DataFrame) -> DataFrame:

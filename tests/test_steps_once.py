@@ -149,3 +149,38 @@ def test_store_finds_tables_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(versions, "applied", lambda *a: (held.append(real(*a)), held[0])[1])
     store.apply(version)
     assert "max_by" not in plan(held[0].counts) and set(store.table("snippets").columns) == set(t.snippets.columns)
+
+
+def test_texts_travel_once_and_after_people(spark):
+    """A state without texts makes each piece's text for the comparison only; people and labels are joined to rows without any."""
+    t = Tables(spark, SMALL)
+    made = plan(review.marked(t).select("snippet_id", "final_text", "attention"))
+    assert made.count("array_join(transform(") == 1
+    above = plan(review.each(t)).split("array_join(transform(")[0]
+    assert "Join LeftOuter" in above and "Join Inner, (doc" in above.replace("((doc", "(doc") and "c_custkey" not in plan(t.pieces)
+    assert "labels" not in str(t.pieces.inputFiles())
+
+
+def test_pieces_carry_no_other_words(spark):
+    made = plan(Tables(spark, SMALL).pieces)
+    explode = next(x for x in made.splitlines() if "Generate" in x)
+    assert "slice(" in explode
+
+
+def test_rows_of_few_files_are_dealt_whatever_their_size(spark, monkeypatch):
+    from quire.sources import adapters
+
+    monkeypatch.setattr(adapters, "SHARE", 1 << 10)
+    rows = Tables(spark, SMALL).spread("documents", "doc_id")
+    assert rows.rdd.getNumPartitions() > 100 and rows.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_texts_without_a_plan_are_not_sent(spark):
+    assert "_apply(CASE WHEN" in plan(tally.approval_plan(review.state(Tables(spark, SMALL), review.PLANNED)))
+
+
+def test_replaced_word():
+    a, b = "x y  z ".split(), "x fix\nmore z".split()
+    assert diff._cut("x y  z ", a, 1, 3) == "y  z" and diff._cut("x fix\nmore z", b, 1, 3) == "fix\nmore" and diff._cut("x", ["x"], 0, 1) == "x" and diff._cut("x", ["x"], 1, 1) == ""
+    assert diff.word_changes("x y z", "x z") == [{"start": 1, "end": 2, "original": "y", "replacement": ""}]
+    assert diff.word_changes("x y z", "x y z") == []
