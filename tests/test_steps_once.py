@@ -184,3 +184,18 @@ def test_replaced_word():
     assert diff._cut("x y  z ", a, 1, 3) == "y  z" and diff._cut("x fix\nmore z", b, 1, 3) == "fix\nmore" and diff._cut("x", ["x"], 0, 1) == "x" and diff._cut("x", ["x"], 1, 1) == ""
     assert diff.word_changes("x y z", "x z") == [{"start": 1, "end": 2, "original": "y", "replacement": ""}]
     assert diff.word_changes("x y z", "x y z") == []
+
+
+def test_applied_counts_read_no_text(spark, tmp_path, monkeypatch):
+    """Changes are found while suggestions are merged and written with them; texts don't go through the join with people."""
+    t = Tables(spark, SMALL)
+    store = versions.ReviewStore(spark, str(tmp_path))
+    store.put({"users": t.users, "snippets": t.snippets})
+    t = t.over(store.table("snippets"))
+    votes = t.suggestions_beside.select("snippet_id", "user_id", "kind", "text", "ts", tally.changes_of("current_text").alias("changes"))
+    store.put({"suggestions": votes, "counts": lambda done: versions.counted(t.snippets, done["suggestions"], t.users)})
+    assert store.table("suggestions").columns == ["snippet_id", "user_id", "kind", "text", "ts"]
+    version, held, real = store.save(review.sent_payload(t), "import"), [], versions.applied
+    monkeypatch.setattr(versions, "applied", lambda *a: (held.append(real(*a)), held[0])[1])
+    store.apply(version)
+    assert "ArrowEvalPython" not in plan(held[0].counts)
