@@ -106,3 +106,30 @@ def test_a_job_that_dies_between_the_logs(spark, tmp_path):
         apply(spark, live, k, rows, *rest)
         all_ += [r for r in rows if r[0] != "unknown" and r[1] < 6]
     assert kept(live) == counted(spark, all_, *batches[-1][1:3]) and hits >= 3
+
+
+def test_texts_are_beside_the_logs(spark, tmp_path):
+    """No log moves a text; tables of texts that hold mostly what is gone become one, from which new texts are compared."""
+    texts, people = {"s": ("a b c", None)}, {1: "editor", 2: "editor"}
+    live, at = LiveTally(spark, str(tmp_path), buckets=2), datetime(2024, 1, 1)
+    vote = lambda u, n, text, gone=False: ("s", u, n, at + timedelta(minutes=n), "edit", text, gone)
+    for k in range(14):
+        apply(spark, live, k, [vote(1, k, f"a x{k} c"), vote(2, k, "a b d", k == 13)], texts, people, [], [])
+    names = live._text_tables()
+    assert "text" not in live.votes.current().columns and names[0].endswith("-all") and len(names) < 14 and names == live.texts.names()
+    texts = {"s": ("a y c", None)}
+    apply(spark, live, 14, [], texts, people, ["s"], [])
+    assert kept(live) == counted(spark, [vote(1, 13, "a x13 c")], texts, people)
+
+
+def test_batches_that_bring_their_snippets_texts(spark, tmp_path):
+    live = LiveTally(spark, str(tmp_path), buckets=2)
+    snippets, users = frames(spark, {"s": ("a b c", None)}, {1: "editor"})
+    rows = [("s", 1, 1, datetime(2024, 1, 1), "edit", "a x c", False, "a b c"), ("unknown", 1, 2, datetime(2024, 1, 1), "edit", "a x c", False, None)]
+    live.apply(spark.createDataFrame(rows, BATCH + ", current_text string"), 0, snippets, users)
+    assert kept(live) == counted(spark, [rows[0][:7]], {"s": ("a b c", None)}, {1: "editor"})
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    live = LiveTally(spark, str(tmp_path), buckets=1)
+    assert live.votes._dealt(spark.range(1000).selectExpr("concat('s', id) AS snippet_id")).select("_p").distinct().count() > 1

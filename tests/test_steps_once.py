@@ -199,3 +199,17 @@ def test_applied_counts_read_no_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(versions, "applied", lambda *a: (held.append(real(*a)), held[0])[1])
     store.apply(version)
     assert "ArrowEvalPython" not in plan(held[0].counts)
+
+
+def test_rows_meet_whole_documents(spark):
+    """Suggestions find their texts by document, as documents come dealt; no snippet's text is dealt again."""
+    made = plan(Tables(spark, SMALL).suggestions)
+    assert "Generate explode" not in made and made.count("array_join(transform(") == 1
+
+
+def test_kept_tally_moves_no_text(spark, tmp_path, monkeypatch):
+    """What the kept tallies take is cut from the documents once, for all batches."""
+    cut, real = [], Tables.with_texts
+    monkeypatch.setattr(Tables, "with_texts", lambda *a: (cut.append(1), real(*a))[1])
+    live = review.kept_tally(Tables(spark, SMALL))
+    assert len(cut) == 1 and "text" not in live.votes.current().columns
